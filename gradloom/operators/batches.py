@@ -29,7 +29,7 @@ class Batch:
         if not self._loaded:
             self.targets = self._targets.repartition(*self.keys).persist(StorageLevel.MEMORY_AND_DISK)
             if self._features is not None:
-                self.by_example = SpreadRows(self._features, self.keys).persist()
+                self.by_example = SpreadRows.place(self._features, self.keys)
             self._loaded = True
         return self
 
@@ -45,7 +45,7 @@ class Batch:
         if fits_broadcast(dim):
             return self.by_example.plain
         if self._by_feature is None:
-            self._by_feature = SpreadRows(self._features, ["fea_id"]).persist()
+            self._by_feature = SpreadRows.place(self._features, ["fea_id"])
         return self._by_feature
 
     def release(self) -> None:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from gradloom.functions.losses import pair_slope, pair_value
 from gradloom.operators.scoring import fm_sums, fm_score_expr
 from gradloom.operators.vectors import lengthen, widen
-from gradloom.plans.joins import lookup
+from gradloom.plans.joins import SpreadRows, hot_hashes, lookup
 
 RANK_KEYS = ["link_id", "iter", "i"]
 
@@ -61,23 +61,29 @@ def link_violations(positives: DataFrame, negatives: DataFrame) -> DataFrame:
     return repeated.unionByName(orphans.select("link_id", F.lit("no positive").alias("reason")))
 
 
-def pair_up(pos: DataFrame, neg: DataFrame, names: list[str]) -> DataFrame:
+def hot_links(negatives: DataFrame) -> list[int]:
+    """Hashes of links owning so many negatives that their pairs must be split."""
+    return hot_hashes(negatives, ["link_id"])
+
+
+def pair_up(pos: DataFrame, neg: DataFrame, names: list[str], hot: list[int] | None = None) -> DataFrame:
     """One row per negative with its positive's columns: ``pos_*`` and ``neg_*``.
 
-    A link may own any number of negatives; hot links are split by the lookup.
+    A link may own any number of negatives: hot links are split.  Pass ``hot``
+    when the links of ``neg`` are known from a cheaper table.
     """
     ours = pos.select("link_id", *[F.col(n).alias(f"pos_{n}") for n in names])
     theirs = neg.select(*RANK_KEYS, *[F.col(n).alias(f"neg_{n}") for n in names])
-    return lookup(theirs, ours, ["link_id"])
+    return SpreadRows(theirs, ["link_id"], hot).join(ours)
 
 
-def pair_losses(pos: DataFrame, neg: DataFrame) -> DataFrame:
+def pair_losses(pos: DataFrame, neg: DataFrame, hot: list[int] | None = None) -> DataFrame:
     """``link_id, iter, i, loss, weight, dpos`` per negative.
 
     Inputs carry ``score, weight, rel_weight``; ``dpos`` is the derivative by
     the positive's score and its opposite the one by the negative's.
     """
-    pairs = pair_up(pos, neg, ["score", "weight", "rel_weight"])
+    pairs = pair_up(pos, neg, ["score", "weight", "rel_weight"], hot)
     return pair_terms(pairs, F.col("pos_score"), F.col("neg_score"))
 
 

@@ -16,12 +16,10 @@ from pyspark.sql import functions as F
 
 # A broadcast side never has more rows than this (a few tens of MB).
 BROADCAST_ROWS = 500_000
-# Keys above this share of the rows are split; at most 1/HOT_SHARE such keys exist.
-HOT_SHARE = 0.005
 # Number of sub-keys a hot key is split into.
 SALTS = 32
 
-_HASH, _HOT, _SALT = "__key_hash", "__hot", "__salt"
+_HASH, _SALT = "__key_hash", "__salt"
 
 
 def fits_broadcast(rows: int | None) -> bool:
@@ -32,63 +30,64 @@ def key_hash(keys: Sequence[str]) -> Column:
     return F.xxhash64(*[F.col(k) for k in keys])
 
 
-def hot_keys(rows: DataFrame, keys: Sequence[str], share: float = HOT_SHARE) -> DataFrame:
-    """Hashes of all keys that may hold more than ``share`` of the rows.
+def hot_share(rows: DataFrame) -> float:
+    """Share of the rows from which a key counts as hot: half of an average partition."""
+    partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return 1.0 / min(max(2 * partitions, 200), 2000)
 
-    The frequent-items sketch keeps at most ``1/share`` counters, merges
-    without a shuffle of the rows and never misses a key above the share;
-    extra keys only cost a little replication.
+
+def hot_candidates(rows: DataFrame, keys: Sequence[str]) -> list[int]:
+    """Hashes of all keys that may hold more than the hot share of the rows.
+
+    The frequent-items sketch keeps at most 2,000 counters, merges without
+    shuffling the rows and never misses a key above the share.  It may report
+    keys below it, which only costs a few extra copies in a join.
     """
-    sketch = rows.select(key_hash(keys).alias(_HASH)).freqItems([_HASH], share)
-    return sketch.select(F.explode(f"{_HASH}_freqItems").alias(_HASH)).withColumn(_HOT, F.lit(True))
+    sketch = rows.select(key_hash(keys).alias(_HASH)).freqItems([_HASH], hot_share(rows))
+    return list(sketch.first()[0] or [])
+
+
+def hot_hashes(rows: DataFrame, keys: Sequence[str]) -> list[int]:
+    """The candidates that truly are hot, by a count of their rows."""
+    candidates = hot_candidates(rows, keys)
+    if not candidates:
+        return []
+    hashed = rows.select(key_hash(keys).alias(_HASH))
+    seen = F.when(F.col(_HASH).isin(candidates), F.col(_HASH))
+    counts = hashed.groupBy(seen.alias(_HASH)).count().collect()  # one row per candidate, one for the rest
+    # Below a few thousand rows one task handles any key.
+    floor = max(hot_share(rows) * sum(r["count"] for r in counts), 10_000)
+    return [r[_HASH] for r in counts if r[_HASH] is not None and r["count"] > floor]
 
 
 class SpreadRows:
-    """A row table whose hot keys are split, ready for repeated joins on ``keys``."""
+    """A row table whose hot keys are split over sub-keys, for joins on ``keys``.
+
+    The hot keys are found once, so both sides of every join agree on them.
+    """
 
-    def __init__(self, rows: DataFrame, keys: Sequence[str], salts: int = SALTS, share: float = HOT_SHARE):
+    def __init__(self, rows: DataFrame, keys: Sequence[str], hashes: list[int] | None = None, salts: int = SALTS):
         self.keys = list(keys)
         self.salts = salts
-        self.share = share
-        self.source = rows
-        self.hot = hot_keys(rows, self.keys, share)
+        self.hashes = hot_candidates(rows, self.keys) if hashes is None else hashes
         self.placed = False
-        self.hashes: list[int] | None = None
-        self._spread()
-
-    def _mark(self, df: DataFrame) -> DataFrame:
-        hashed = df.withColumn(_HASH, key_hash(self.keys))
-        if self.hashes is not None:
-            return hashed.withColumn(_HOT, F.col(_HASH).isin(self.hashes))
-        return hashed.join(F.broadcast(self.hot), _HASH, "left")  # at most 1/share rows
-
-    def _spread(self) -> None:
-        if self.hashes == []:
-            self.rows = self.source
-            return
-        others = [c for c in self.source.columns if c not in self.keys] or self.keys
-        sub_key = F.pmod(F.xxhash64(*[F.col(c) for c in others]), F.lit(self.salts))
-        salt = F.when(F.col(_HOT), sub_key).otherwise(F.lit(0)).cast("int")
-        self.rows = self._mark(self.source).withColumn(_SALT, salt).drop(_HASH, _HOT)
-
-    def persist(self) -> "SpreadRows":
-        """Place rows by (keys, sub-key) once, so later joins move only the keyed table.
-
-        The candidates of the sketch are counted here, which leaves the truly
-        hot keys: fewer than ``1/share`` hashes, and usually none.
-        """
-        hashed = self.source.select(key_hash(self.keys).alias(_HASH))
-        counts = hashed.join(F.broadcast(self.hot), _HASH).groupBy(_HASH).count()
-        found = counts.orderBy(F.desc("count")).limit(int(2 / self.share)).collect()
-        total = self.source.count()
-        # Below a few thousand rows one task handles any key.
-        floor = max(self.share * total, 10_000)
-        self.hashes = [r[_HASH] for r in found if r["count"] > floor]
-        self._spread()
-        placement = [*self.keys, _SALT] if self.hashes else self.keys
-        self.rows = self.rows.repartition(*placement).persist(StorageLevel.MEMORY_AND_DISK)
-        self.placed = True
-        return self
+        self.rows = rows
+        if self.hashes:
+            others = [c for c in rows.columns if c not in self.keys] or self.keys
+            sub_key = F.pmod(F.xxhash64(*[F.col(c) for c in others]), F.lit(salts))
+            self.rows = rows.withColumn(_SALT, F.when(self._is_hot(), sub_key).otherwise(F.lit(0)).cast("int"))
+
+    @staticmethod
+    def place(rows: DataFrame, keys: Sequence[str]) -> "SpreadRows":
+        """Cache rows placed by (keys, sub-key), so repeated joins move only the keyed table."""
+        spread = SpreadRows(rows, keys, hot_hashes(rows, keys))
+        placement = [*spread.keys, _SALT] if spread.hashes else spread.keys
+        spread.rows = spread.rows.repartition(*placement).persist(StorageLevel.MEMORY_AND_DISK)
+        spread.placed = True
+        return spread
+
+    def _is_hot(self) -> Column:
+        return key_hash(self.keys).isin(self.hashes)
 
     @property
     def plain(self) -> DataFrame:
@@ -100,14 +99,10 @@ class SpreadRows:
             self.rows.unpersist()
 
     def join(self, table: DataFrame, how: str = "inner") -> DataFrame:
-        if self.hashes == []:
+        if not self.hashes:
             return self.rows.join(table, self.keys, how)
         every = F.sequence(F.lit(0), F.lit(self.salts - 1))
-        copies = (
-            self._mark(table)
-            .withColumn(_SALT, F.explode(F.when(F.col(_HOT), every).otherwise(F.array(F.lit(0)))))
-            .drop(_HASH, _HOT)
-        )
+        copies = table.withColumn(_SALT, F.explode(F.when(self._is_hot(), every).otherwise(F.array(F.lit(0)))))
         return self.rows.join(copies, [*self.keys, _SALT], how).drop(_SALT)
 
 

@@ -279,6 +279,7 @@ class PairRanking(BatchObjective):
         self.row_dim = row_dim
         self.sample, self.featurize = sample, featurize
         self._sampled: tuple[int, Batch] | None = None
+        self._hot: list[int] = []
 
     def _pairs_of(self, positives: Batch) -> Batch:
         """The positive batch and its negatives as one keyed batch, cached while current."""
@@ -290,6 +291,7 @@ class PairRanking(BatchObjective):
         neg = self.sample(positives.targets)
         both = pos.unionByName(neg)
         batch = Batch(both, self.featurize(both), positives.number, R.RANK_KEYS).load()
+        self._hot = R.hot_links(batch.targets)
         self._sampled = positives.number, batch
         return batch
 
@@ -298,7 +300,7 @@ class PairRanking(BatchObjective):
 
     def _pair_losses(self, scored: DataFrame) -> DataFrame:
         positive = F.col("iter") < 0
-        return R.pair_losses(scored.filter(positive), scored.filter(~positive))
+        return R.pair_losses(scored.filter(positive), scored.filter(~positive), self._hot)
 
     def value(self, x: DataFrame) -> float:
         batch = self._pairs_of(self.cycle.next())
@@ -343,7 +345,7 @@ class PairRanking(BatchObjective):
         scored = pairs_batch.targets.join(sums.withColumns(quadratic), R.RANK_KEYS, "left")
         scored = scored.withColumns({n: F.coalesce(n, F.lit(0.0)) for n in names})
         positive = F.col("iter") < 0
-        pairs = R.pair_up(scored.filter(positive), scored.filter(~positive), [*names, "weight", "rel_weight"])
+        pairs = R.pair_up(scored.filter(positive), scored.filter(~positive), [*names, "weight", "rel_weight"], self._hot)
 
         def score(side, a, slope=False):
             c0, c1, c2 = (F.col(f"{side}_c{i}") for i in range(3))

@@ -106,8 +106,10 @@ def load_state(spark: SparkSession, path: str) -> State:
 class Minimizer:
     """The iteration shared by all methods.
 
-    ``max_iter < 0`` means no limit.  ``checkpoint_every`` iterations the state
-    is written to the checkpoint folder, which bounds plans and recovery.
+    ``max_iter < 0`` means no limit.  Every ``checkpoint_every`` iterations the
+    state is written to the checkpoint folder, which bounds plans and recovery.
+    A state enters the next one's plan several times, so plans grow quickly
+    when that is rare.
     """
 
     # State columns beyond x and g that a method starts with.
@@ -118,7 +120,7 @@ class Minimizer:
         max_iter: int = -1,
         tolerance: float = 1e-6,
         lower_fun_tolerance: float = 0.0,
-        checkpoint_every: int = 4,
+        checkpoint_every: int = 1,
         hold_batch: bool = True,
     ):
         self.max_iter = max_iter
@@ -249,10 +251,10 @@ class Minimizer:
             *keys, F.col("x_new").alias("x"), F.col("g_new").alias("g"), *[c.alias(n) for n, c in carried.items()]
         )
         iteration, history = state.iteration + 1, self.next_history(state)
+        table = table.persist(StorageLevel.MEMORY_AND_DISK)
         if self.checkpoint_every > 0 and iteration % self.checkpoint_every == 0:
-            table = self._place(cut(table), objective)
-        else:
-            table = table.persist(StorageLevel.MEMORY_AND_DISK)
+            cached, table = table, self._place(cut(table), objective)
+            cached.unpersist()
         gram = gram_matrix(table, self.gram_columns(history))  # also materializes the table
         objective.tidy()
         grad_norm = math.sqrt(gram[-1, -1])

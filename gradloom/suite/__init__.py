@@ -5,6 +5,6 @@ from __future__ import annotations
 
 def load_cases():
     """All registered cases by name."""
-    from gradloom.suite import base, examples, vectors  # noqa: F401
+    from gradloom.suite import base, batches, examples, optimizers, ranking, sources, transport, vectors  # noqa: F401
 
     return dict(base.CASES)

@@ -29,7 +29,7 @@ def case(name: str, sql: str | None = None):
     def register(run):
         if name in CASES:
             raise ValueError(f"case {name} is registered twice")
-        CASES[name] = Case(name, run, with_fixtures(sql) if sql else None)
+        CASES[name] = Case(name, run, sql)
         return run
 
     return register
@@ -61,19 +61,21 @@ CTES: dict[str, str] = {}
 
 
 def with_fixtures(body: str) -> str:
-    """Prefix the fixtures a statement uses, in order of definition."""
+    """Prefix the fixtures a statement uses, each after those it uses itself."""
     own, rest = re.match(r"\s*(?:WITH\s+(RECURSIVE\s+)?)?(.*)", body, re.S | re.I).groups()
     chained = body.lstrip().upper().startswith("WITH ")
-    used: set[str] = set()
+    used: list[str] = []
 
     def visit(text: str) -> None:
-        for word in set(re.findall(r"\b[a-z_][a-z0-9_]*\b", text)):
-            if word in CTES and word not in used:
-                used.add(word)
+        for word in re.findall(r"\b[a-z_][a-z0-9_]*\b", text):
+            if word in CTES and word not in used and word not in open_names:
+                open_names.add(word)
                 visit(CTES[word])
+                used.append(word)
 
+    open_names: set[str] = set()
     visit(body)
-    parts = [f"{n} AS ({CTES[n]})" for n in CTES if n in used]
+    parts = [f"{n} AS ({CTES[n]})" for n in used]
     if not parts:
         return body
     if chained:
@@ -238,11 +240,11 @@ CTES["rank_loss"] = """SELECT link_id, iter, i, -weight * ln(sig + 1e-24) AS los
   -weight * sig * (1 - sig) / (sig + 1e-24) AS dpos FROM rank_pair"""
 CTES["rank_slope"] = """SELECT link_id, iter, i, -dpos AS dscore FROM rank_loss
   UNION ALL SELECT link_id, -1, 0, sum(dpos) FROM rank_loss GROUP BY 1"""
-CTES["rank_grad"] = """SELECT f.fea_id AS idx, v.k, sum(f.value * sl.dscore * (s.s - v.v * f.value))
-    / (SELECT sum(weight) FROM rank_loss) AS g
+CTES["rank_pull"] = """SELECT f.fea_id, s.k, sum(f.value * sl.dscore * s.s) AS a, sum(f.value * f.value * sl.dscore) AS c
   FROM rank_fea f JOIN rank_slope sl ON f.link_id = sl.link_id AND f.iter = sl.iter AND f.i = sl.i
-  JOIN rank_v v ON v.idx = f.fea_id
-  JOIN rank_sum s ON s.link_id = f.link_id AND s.iter = f.iter AND s.i = f.i AND s.k = v.k GROUP BY 1, 2"""
+  JOIN rank_sum s ON s.link_id = f.link_id AND s.iter = f.iter AND s.i = f.i GROUP BY 1, 2"""
+CTES["rank_grad"] = """SELECT p.fea_id AS idx, p.k, (p.a - v.v * p.c) / (SELECT sum(weight) FROM rank_loss) AS g
+  FROM rank_pull p JOIN rank_v v ON v.idx = p.fea_id AND v.k = p.k"""
 
 
 def rank_pos(spark, sf) -> DataFrame:
@@ -293,8 +295,8 @@ def rank_v(spark, sf) -> DataFrame:
 # --- transport between customers and suppliers -----------------------------------
 
 EPS = 0.1
-CTES["ot_x"] = "SELECT c_custkey AS id, c_acctbal / 10000.0::DOUBLE AS p0, c_nationkey / 25.0::DOUBLE AS p1 FROM customer"
-CTES["ot_y"] = "SELECT s_suppkey AS id, s_acctbal / 10000.0::DOUBLE AS p0, s_nationkey / 25.0::DOUBLE AS p1 FROM supplier"
+CTES["ot_x"] = "SELECT c_custkey AS id, c_acctbal / 9973.0::DOUBLE AS p0, c_nationkey / 23.0::DOUBLE AS p1 FROM customer"
+CTES["ot_y"] = "SELECT s_suppkey AS id, s_acctbal / 9973.0::DOUBLE AS p0, s_nationkey / 23.0::DOUBLE AS p1 FROM supplier"
 CTES["pot0"] = """SELECT 'u' AS side, id AS idx, (id % 7) / 16.0::DOUBLE AS p FROM ot_x
   UNION ALL SELECT 'v', id, (id % 5) / 16.0::DOUBLE FROM ot_y"""
 CTES["ot_cost"] = """SELECT x.id AS i, y.id AS j, 0.5::DOUBLE * ((x.p0 - y.p0) * (x.p0 - y.p0) + (x.p1 - y.p1) * (x.p1 - y.p1)) AS c
@@ -308,7 +310,7 @@ CTES["ot_mass"] = """SELECT 'u' AS side, i AS idx, sum(e) AS mass FROM ot_exp GR
 
 def ot_points(spark, sf, table: str, prefix: str) -> DataFrame:
     key = {"c": "c_custkey", "s": "s_suppkey"}[prefix]
-    p = F.array(F.col(f"{prefix}_acctbal") / 10000.0, F.col(f"{prefix}_nationkey") / 25.0)
+    p = F.array(F.col(f"{prefix}_acctbal") / 9973.0, F.col(f"{prefix}_nationkey") / 23.0)
     return read(spark, sf, table).select(F.col(key).alias("id"), p.alias("p"))
 
 

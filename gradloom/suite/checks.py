@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import math
+import tempfile
 import time
 
+from gradloom.suite.base import with_fixtures
+
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 
 
@@ -12,6 +15,10 @@ def duck(sf: str):
     import duckdb
 
     con = duckdb.connect()
+    spill = tempfile.mkdtemp(prefix='run-', dir='/tmp')
+    con.execute(f"SET temp_directory = '{spill}'")
+    con.execute("SET max_temp_directory_size = '4GB'")
+    con.execute("SET memory_limit = '8GB'")
     for t in TABLES.split():
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     return con
@@ -35,7 +42,7 @@ def compare(spark, con, case, sf):
     spent = time.time() - started
     if case.sql is None:
         return spent, len(got), None
-    cur = con.execute(case.sql)
+    cur = con.execute(with_fixtures(case.sql))
     names = [d[0] for d in cur.description]
     want_names, want = _rows(names, cur.fetchall())
     problem = None
