@@ -15,9 +15,13 @@ HOLD, NO_HOLD, REFRESH = "hold", "no_hold", "refresh_on_hold"
 
 
 class Batch:
-    """Targets and features of one batch, cached in the placements scoring needs."""
+    """Targets and features of one batch, cached in the placements scoring needs.
 
-    def __init__(self, targets: DataFrame, features: DataFrame | None, number: int = 0, keys=("ex_id",)):
+    ``features`` is a table, a function that makes it from the cached targets,
+    or None for a batch without any.
+    """
+
+    def __init__(self, targets: DataFrame, features, number: int = 0, keys=("ex_id",)):
         self.number = number
         self.keys = list(keys)
         self._targets, self._features = targets, features
@@ -28,6 +32,8 @@ class Batch:
     def load(self) -> "Batch":
         if not self._loaded:
             self.targets = self._targets.repartition(*self.keys).persist(StorageLevel.MEMORY_AND_DISK)
+            if callable(self._features):
+                self._features = self._features(self.targets)
             if self._features is not None:
                 self.by_example = SpreadRows.place(self._features, self.keys)
             self._loaded = True

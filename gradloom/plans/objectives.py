@@ -290,7 +290,7 @@ class PairRanking(BatchObjective):
         pos = R.as_positives(positives.targets)
         neg = self.sample(positives.targets)
         both = pos.unionByName(neg)
-        batch = Batch(both, self.featurize(both), positives.number, R.RANK_KEYS).load()
+        batch = Batch(both, self.featurize, positives.number, R.RANK_KEYS).load()
         self._hot = R.hot_links(batch.targets)
         self._sampled = positives.number, batch
         return batch
