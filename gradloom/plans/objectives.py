@@ -29,10 +29,16 @@ class Objective:
     keys: Sequence[str] = ("idx",)
     # Columns the optimizer's state is placed by; a subset of ``keys``.
     placement: Sequence[str] = ("idx",)
+    # Number of coordinates, where known.
+    dim: int | None = None
 
     def value_grad(self, x: DataFrame) -> tuple[float, DataFrame]:
         raise NotImplementedError
 
+    def evaluate(self, x: DataFrame) -> tuple[float, DataFrame]:
+        """Like ``value_grad``, but the gradient may leave out coordinates where it is 0."""
+        return self.value_grad(x)
+
     def value(self, x: DataFrame) -> float:
         return self.value_grad(x)[0]
 
@@ -72,7 +78,7 @@ class FullLine:
         out = []
         keys = list(self.objective.keys)
         for a in alphas:
-            value, grad = self.objective.value_grad(self.xd.select(*keys, self.point(a).alias("v")))
+            value, grad = self.objective.evaluate(self.xd.select(*keys, self.point(a).alias("v")))
             slope = grad.join(self.xd.select(*keys, "d"), keys).agg(F.sum(F.col("g") * F.col("d"))).first()[0]
             self.objective.tidy()
             out.append((value, slope or 0.0))
@@ -152,6 +158,10 @@ class BatchObjective(Objective):
         raise NotImplementedError
 
     def value_grad(self, x: DataFrame) -> tuple[float, DataFrame]:
+        value, grad = self.evaluate(x)
+        return value, G.fill_gradient(x, grad, self.keys)
+
+    def evaluate(self, x: DataFrame) -> tuple[float, DataFrame]:
         batch = self.cycle.next()
         losses = self._keep(self.losses(batch, x))
         value = G.forward(losses).first()["loss"]
@@ -174,8 +184,7 @@ class LinearModel(BatchObjective):
 
     def gradient_of(self, batch, losses, x):
         grad = G.push_back(batch.by_example, losses, ["dscore"])
-        grad = grad.select("idx", (F.col("dscore") / F.lit(batch.total_weight)).alias("g"))
-        return G.fill_gradient(x, grad)
+        return grad.select("idx", (F.col("dscore") / F.lit(batch.total_weight)).alias("g"))
 
     def held_line(self, batch, xd):
         features = batch.for_scoring(self.dim)
@@ -223,8 +232,7 @@ class SoftmaxModel(BatchObjective):
         return G.multilabel_losses(batch.targets, scores, self.row_dim)
 
     def gradient_of(self, batch, losses, x):
-        grad = G.backward_matrix(batch.by_example, losses, self.row_dim, batch.total_weight)
-        return G.fill_gradient(x, grad, self.keys)
+        return G.backward_matrix(batch.by_example, losses, self.row_dim, batch.total_weight)
 
     def held_line(self, batch, xd):
         rng = range(self.row_dim)
@@ -306,7 +314,7 @@ class PairRanking(BatchObjective):
         batch = self._pairs_of(self.cycle.next())
         return G.forward(self._pair_losses(self._scored(batch, x))).first()["loss"]
 
-    def value_grad(self, x: DataFrame) -> tuple[float, DataFrame]:
+    def evaluate(self, x: DataFrame) -> tuple[float, DataFrame]:
         batch = self._pairs_of(self.cycle.next())
         scored = self._keep(self._scored(batch, x))
         losses = self._keep(self._pair_losses(scored))
@@ -316,8 +324,7 @@ class PairRanking(BatchObjective):
 
     def _push(self, batch, sums, losses, x, total_weight):
         slopes = sums.join(R.pair_slopes(losses), R.RANK_KEYS)
-        grad = R.push_back_fm(batch.by_example, slopes, x, self.row_dim, total_weight)
-        return G.fill_gradient(x, grad, self.keys)
+        return R.push_back_fm(batch.by_example, slopes, x, self.row_dim, total_weight)
 
     def held_line(self, batch, xd):
         """Scores are quadratic in the step: three coefficients per example."""
@@ -465,7 +472,7 @@ class Combined(Objective):
         if tuple(f1.keys) != tuple(f2.keys):
             raise ValueError("objectives of different parameter tables")
         self.parts = [(float(a1), f1), (float(a2), f2)]
-        self.keys, self.placement = f1.keys, f1.placement
+        self.keys, self.placement, self.dim = f1.keys, f1.placement, f1.dim
 
     def value_grad(self, x):
         (a1, (v1, g1)), (a2, (v2, g2)) = ((a, f.value_grad(x)) for a, f in self.parts)
@@ -478,6 +485,10 @@ class Combined(Objective):
         total = F.lit(a1) * F.coalesce("g1", F.lit(0.0)) + F.lit(a2) * F.coalesce("g2", F.lit(0.0))
         return both.select(*keys, total.alias("g"))
 
+    def evaluate(self, x):
+        (a1, (v1, g1)), (a2, (v2, g2)) = ((a, f.evaluate(x)) for a, f in self.parts)
+        return a1 * v1 + a2 * v2, self._add(g1, g2)
+
     def value(self, x):
         return sum(a * f.value(x) for a, f in self.parts)
 

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from gradloom.functions import elementwise as E
 from gradloom.operators.vectors import gram_matrix
+from gradloom.plans.joins import fits_broadcast
 from gradloom.plans.lineage import cut
 from gradloom.plans.linesearch import (
     Backtracking,
@@ -203,14 +204,18 @@ class Minimizer:
             yield state
 
     def _place(self, table: DataFrame, objective: Objective) -> DataFrame:
-        return table.repartition(*objective.placement).persist(StorageLevel.MEMORY_AND_DISK)
+        """Cache the state; a large one by key, so the joins of an iteration leave it in place."""
+        if not fits_broadcast(objective.dim):
+            table = table.repartition(*objective.placement)
+        return table.persist(StorageLevel.MEMORY_AND_DISK)
 
     def _start(self, objective: Objective, x0: DataFrame) -> State:
         keys = tuple(objective.keys)
-        value, grad = objective.value_grad(x0)
+        value, grad = objective.evaluate(x0)
         table = x0.withColumnRenamed("v", "x").join(grad, list(keys), "left")
         table = table.select(*keys, "x", F.coalesce("g", F.lit(0.0)).alias("g"))
-        table = self._place(table.withColumns({n: F.lit(v) for n, v in self.extra_columns.items()}), objective)
+        # Cut here too: the first state's plan holds the model's whole input.
+        table = self._place(cut(table.withColumns({n: F.lit(v) for n, v in self.extra_columns.items()})), objective)
         gram = gram_matrix(table, self.gram_columns(0))
         objective.tidy()
         adjusted = self.adjusted(table, value)
@@ -236,7 +241,7 @@ class Minimizer:
             if grad is not None:
                 value = probes.at(alpha).value
             else:
-                value, grad = objective.value_grad(moved.select(*state.keys, F.col("x_new").alias("v")))
+                value, grad = objective.evaluate(moved.select(*state.keys, F.col("x_new").alias("v")))
             return self._settle(objective, state, moved, direction, alpha, value, grad)
         finally:
             if line is not None:
@@ -251,10 +256,10 @@ class Minimizer:
             *keys, F.col("x_new").alias("x"), F.col("g_new").alias("g"), *[c.alias(n) for n, c in carried.items()]
         )
         iteration, history = state.iteration + 1, self.next_history(state)
-        table = table.persist(StorageLevel.MEMORY_AND_DISK)
         if self.checkpoint_every > 0 and iteration % self.checkpoint_every == 0:
-            cached, table = table, self._place(cut(table), objective)
-            cached.unpersist()
+            table = self._place(cut(table), objective)
+        else:
+            table = table.persist(StorageLevel.MEMORY_AND_DISK)
         gram = gram_matrix(table, self.gram_columns(history))  # also materializes the table
         objective.tidy()
         grad_norm = math.sqrt(gram[-1, -1])
@@ -482,7 +487,7 @@ class ProjectedLine:
         for a in alphas:
             point = E.orthant_project(F.col("x") + F.lit(float(a)) * F.col("d"), F.col("home"))
             at = self.xd.select(*self.keys, "d", point.alias("v"))
-            value, grad = self.objective.value_grad(at.select(*self.keys, "v"))
+            value, grad = self.objective.evaluate(at.select(*self.keys, "v"))
             weight = self.owner.weight(self.keys)
             pseudo = E.pseudo_gradient(F.col("v"), F.coalesce("g", F.lit(0.0)), weight)
             row = at.join(grad, self.keys, "left").agg(F.sum(weight * F.abs("v")), F.sum(pseudo * F.col("d"))).first()
