@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import os
 import statistics
+import sys
 import time
 
 from pyspark.sql import functions as F
@@ -28,6 +29,14 @@ CPUS = os.environ.get("BENCH_CPUS", "8")
 REPEATS = int(os.environ.get("BENCH_REPEATS", "3"))
 
 
+class Timings(dict):
+    """Reports every entry on stderr as it comes in."""
+
+    def __setitem__(self, name, value):
+        super().__setitem__(name, value)
+        print(f"{name} {value:.3f}", file=sys.stderr, flush=True)
+
+
 def sink(df) -> None:
     df.write.format("noop").mode("overwrite").save()
 
@@ -72,7 +81,7 @@ def main() -> None:
         },
     )
     spark.sparkContext.setLogLevel("ERROR")
-    seconds, extra = {}, {}
+    seconds, extra = Timings(), Timings()
     dim = B.dim(spark, SF_DIR)
     x = B.w0(spark, SF_DIR).persist()
     reg = BatchCycle(B.ex_reg(spark, SF_DIR), B.fea(spark, SF_DIR))

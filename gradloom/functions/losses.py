@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from typing import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed value: keeps logarithms and quotients finite for saturated scores.
@@ -71,21 +71,33 @@ def pair_slope(pos: Column, neg: Column, w: Column) -> Column:
     return -w * hit * miss / (hit + F.lit(GUARD))
 
 
-def softmax(scores: list[Column]) -> list[Column]:
-    """Probabilities over wide score columns, shifted by the largest score."""
-    top = F.greatest(*scores) if len(scores) > 1 else scores[0]
-    parts = [F.exp(s - top) for s in scores]
-    total = sum(parts[1:], parts[0])
-    return [e / total for e in parts]
+def with_softmax(df: DataFrame, scores: list[Column], names: list[str]) -> DataFrame:
+    """Add probabilities over wide scores, shifted by the largest score.
 
+    Built in steps: each step's columns are used many times by the next, and
+    as one expression they would multiply.
+    """
+    top, total = f"{names[0]}_top", f"{names[0]}_total"
+    df = df.withColumn(top, F.greatest(*scores) if len(scores) > 1 else scores[0])
+    df = df.withColumns({n: F.exp(s - F.col(top)) for n, s in zip(names, scores)})
+    df = df.withColumn(total, sum((F.col(n) for n in names[1:]), F.col(names[0])))
+    return df.withColumns({n: F.col(n) / F.col(total) for n in names}).drop(top, total)
 
-def multilabel_value(probs: list[Column], targets: list[Column], w: Column) -> Column:
-    terms = [t * F.log(p + F.lit(GUARD)) for p, t in zip(probs, targets)]
+
+def with_pull(df: DataFrame, probs: list[str], targets: list[str], name: str) -> DataFrame:
+    """Add the sum over classes that all slopes of a row share."""
+    return df.withColumn(name, sum((_pull(p, t) for p, t in zip(probs[1:], targets[1:])), _pull(probs[0], targets[0])))
+
+
+def _pull(prob: str, target: str) -> Column:
+    return F.col(target) * F.col(prob) / (F.col(prob) + F.lit(GUARD))
+
+
+def multilabel_value(probs: list[str], targets: list[str], w: Column) -> Column:
+    terms = [F.col(t) * F.log(F.col(p) + F.lit(GUARD)) for p, t in zip(probs, targets)]
     return -w * sum(terms[1:], terms[0])
 
 
-def multilabel_slopes(probs: list[Column], targets: list[Column], w: Column) -> list[Column]:
+def multilabel_slopes(probs: list[str], targets: list[str], pull: str, w: Column) -> list[Column]:
     """Gradient by each class score, through the softmax Jacobian."""
-    pulls = [t * p / (p + F.lit(GUARD)) for p, t in zip(probs, targets)]
-    pull = sum(pulls[1:], pulls[0])
-    return [w * (p * pull - a) for p, a in zip(probs, pulls)]
+    return [w * (F.col(p) * F.col(pull) - _pull(p, t)) for p, t in zip(probs, targets)]

@@ -31,7 +31,8 @@ class Batch:
 
     def load(self) -> "Batch":
         if not self._loaded:
-            self.targets = self._targets.repartition(*self.keys).persist(StorageLevel.MEMORY_AND_DISK)
+            placed = self._targets.repartition(*self.keys).sortWithinPartitions(*self.keys)
+            self.targets = placed.persist(StorageLevel.MEMORY_AND_DISK)
             if callable(self._features):
                 self._features = self._features(self.targets)
             if self._features is not None:

@@ -20,16 +20,22 @@ def point_losses(examples: DataFrame, scores: DataFrame, loss: L.PointLoss) -> D
     return scored.select("ex_id", loss.value(*args).alias("loss"), loss.slope(*args).alias("dscore"), "weight")
 
 
+def with_probabilities(wide: DataFrame, row_dim: int) -> DataFrame:
+    """Add class probabilities ``p0 ..`` of wide scores ``score0 ..``."""
+    rng = range(row_dim)
+    return L.with_softmax(wide, [F.col(f"score{i}") for i in rng], [f"p{i}" for i in rng])
+
+
 def softmax_long(wide: DataFrame, row_dim: int) -> DataFrame:
     """Class probabilities ``ex_id, k, prob`` of wide scores."""
-    probs = L.softmax([F.col(f"score{i}") for i in range(row_dim)])
-    return wide.select("ex_id", F.posexplode(F.array(*probs)).alias("k", "prob"))
+    return lengthen(with_probabilities(wide, row_dim), row_dim, "p", "prob", ["ex_id"])
 
 
 def softmax_jacobian(wide: DataFrame, row_dim: int) -> DataFrame:
     """Jacobian p_i(delta_ik - p_k) per example: ``ex_id, i, k, jac``."""
-    probs = F.array(*L.softmax([F.col(f"score{i}") for i in range(row_dim)]))
-    rows = wide.select("ex_id", probs.alias("p")).select("ex_id", "p", F.posexplode("p").alias("i", "p_i"))
+    probs = F.array(*[F.col(f"p{i}") for i in range(row_dim)])
+    rows = with_probabilities(wide, row_dim).select("ex_id", probs.alias("p"))
+    rows = rows.select("ex_id", "p", F.posexplode("p").alias("i", "p_i"))
     cells = rows.select("ex_id", "i", "p_i", F.posexplode("p").alias("k", "p_k"))
     delta = F.when(F.col("i") == F.col("k"), 1.0).otherwise(0.0)
     return cells.select("ex_id", "i", "k", (F.col("p_i") * (delta - F.col("p_k"))).alias("jac"))
@@ -45,13 +51,12 @@ def multilabel_losses(targets_wide: DataFrame, scores_wide: DataFrame, row_dim:
     """``ex_id, loss, dscore0 .., weight`` of the multi-label softmax loss."""
     names = [f"score{i}" for i in range(row_dim)]
     scored = with_all(targets_wide, scores_wide, names)
-    probs = [f"p{i}" for i in range(row_dim)]
-    scored = scored.withColumns(dict(zip(probs, L.softmax([F.col(n) for n in names]))))
-    ps, ts = [F.col(p) for p in probs], [F.col(f"t{i}") for i in range(row_dim)]
-    slopes = L.multilabel_slopes(ps, ts, F.col("weight"))
+    probs, targets = ([f"{c}{i}" for i in range(row_dim)] for c in "pt")
+    scored = L.with_pull(with_probabilities(scored, row_dim), probs, targets, "pull")
+    slopes = L.multilabel_slopes(probs, targets, "pull", F.col("weight"))
     return scored.select(
         "ex_id",
-        L.multilabel_value(ps, ts, F.col("weight")).alias("loss"),
+        L.multilabel_value(probs, targets, F.col("weight")).alias("loss"),
         *[s.alias(f"dscore{i}") for i, s in enumerate(slopes)],
         "weight",
     )

@@ -82,7 +82,9 @@ class SpreadRows:
         """Cache rows placed by (keys, sub-key), so repeated joins move only the keyed table."""
         spread = SpreadRows(rows, keys, hot_hashes(rows, keys))
         placement = [*spread.keys, _SALT] if spread.hashes else spread.keys
-        spread.rows = spread.rows.repartition(*placement).persist(StorageLevel.MEMORY_AND_DISK)
+        # Sorted once, so that merge joins need not sort these rows again.
+        placed = spread.rows.repartition(*placement).sortWithinPartitions(*placement)
+        spread.rows = placed.persist(StorageLevel.MEMORY_AND_DISK)
         spread.placed = True
         return spread
 

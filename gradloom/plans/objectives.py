@@ -92,19 +92,28 @@ class FullLine:
 
 
 class SumLine:
-    """A line whose per-row state is cached; ``terms`` gives value and slope columns at a step."""
+    """A line whose per-row state is cached.
 
-    def __init__(self, table: DataFrame, terms: Callable[[float], tuple[Column, Column]], scale: float, finish=None):
+    ``terms(a)`` gives value and slope columns at a step.  ``stage(table, tag,
+    a)`` may first add columns for a step, whose names end in the tag.
+    """
+
+    def __init__(self, table: DataFrame, terms: Callable, scale: float, finish=None, stage: Callable | None = None):
         self.table = table.persist(StorageLevel.MEMORY_AND_DISK)
         self.terms, self.scale = terms, scale
         self._finish = finish
+        self._stage = stage
 
     def probe(self, alphas: Sequence[float]) -> list[tuple[float, float]]:
-        sums = []
+        sums, table = [], self.table
         for n, a in enumerate(alphas):
-            value, slope = self.terms(float(a))
+            if self._stage:
+                table = self._stage(table, f"_{n}", float(a))
+                value, slope = self.terms(f"_{n}")
+            else:
+                value, slope = self.terms(float(a))
             sums += [F.sum(value).alias(f"v{n}"), F.sum(slope).alias(f"s{n}")]
-        row = self.table.agg(*sums).first()
+        row = table.agg(*sums).first()
         return [((row[f"v{n}"] or 0.0) * self.scale, (row[f"s{n}"] or 0.0) * self.scale) for n in range(len(alphas))]
 
     def finish(self, alpha: float):
@@ -243,21 +252,26 @@ class SoftmaxModel(BatchObjective):
         targets = batch.targets.withColumnsRenamed({f"t{i}": f"y{i}" for i in rng})
         table = S.with_all(targets, sums, names)
 
-        def parts(a):
-            probs = L.softmax([F.col(f"s{i}") + F.lit(a) * F.col(f"t{i}") for i in rng])
-            return probs, [F.col(f"y{i}") for i in rng], F.col("weight")
+        labels = [f"y{i}" for i in rng]
 
-        def terms(a):
-            slopes = L.multilabel_slopes(*parts(a))
-            along = [g * F.col(f"t{i}") for i, g in enumerate(slopes)]
-            return L.multilabel_value(*parts(a)), sum(along[1:], along[0])
+        def stage(df, tag, a):
+            probs = [f"p{i}{tag}" for i in rng]
+            df = L.with_softmax(df, [F.col(f"s{i}") + F.lit(a) * F.col(f"t{i}") for i in rng], probs)
+            return L.with_pull(df, probs, labels, f"pull{tag}")
+
+        def slopes(tag):
+            return L.multilabel_slopes([f"p{i}{tag}" for i in rng], labels, f"pull{tag}", F.col("weight"))
+
+        def terms(tag):
+            along = [g * F.col(f"t{i}") for i, g in enumerate(slopes(tag))]
+            return L.multilabel_value([f"p{i}{tag}" for i in rng], labels, F.col("weight")), sum(along[1:], along[0])
 
         def finish(a):
-            slopes = L.multilabel_slopes(*parts(a))
-            losses = table.select("ex_id", *[g.alias(f"dscore{i}") for i, g in enumerate(slopes)])
+            staged = stage(table, "_at", a)
+            losses = staged.select("ex_id", *[g.alias(f"dscore{i}") for i, g in enumerate(slopes("_at"))])
             return self.gradient_of(batch, losses, xd)
 
-        return SumLine(table, terms, 1.0 / batch.total_weight, finish)
+        return SumLine(table, terms, 1.0 / batch.total_weight, finish, stage)
 
 
 def linear_softmax(cycle: BatchCycle, dim: int, row_dim: int) -> SoftmaxModel:

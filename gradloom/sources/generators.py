@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gradloom.functions.losses import softmax
+from gradloom.functions.losses import with_softmax
 
 
 def uniform(seed: int, *keys: str) -> Column:
@@ -66,13 +66,14 @@ def label_by_softmax_draw(scores: DataFrame, row_dim: int, draw: Column | None =
 
     The class is the first whose cumulative probability exceeds the draw.
     """
-    probs = softmax([F.col(f"score{i}") for i in range(row_dim)])
-    u = uniform(seed, "ex_id") if draw is None else draw
+    names = [f"p{i}" for i in range(row_dim)]
+    rows = with_softmax(scores, [F.col(f"score{i}") for i in range(row_dim)], names)
+    rows = rows.withColumn("u", uniform(seed, "ex_id") if draw is None else draw)
     running, below = F.lit(0.0), F.lit(0)
-    for p in probs[:-1]:
-        running = running + p
+    for name in names[:-1]:
+        running = running + F.col(name)
         below = below + F.when(running <= F.col("u"), 1).otherwise(0)
-    return scores.withColumn("u", u).select("ex_id", below.cast("int").alias("cls"))
+    return rows.select("ex_id", below.cast("int").alias("cls"))
 
 
 def ball_points(ids: DataFrame, d: int, seed: int = 0, radius: float = 1.0, centre: Column | None = None) -> DataFrame:
