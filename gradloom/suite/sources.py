@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -39,13 +39,8 @@ from gradloom.suite.examples import scores
 
 
 def scratch(spark) -> str:
-    """A fresh folder under the shared checkpoint folder."""
-    root = checkpoint_dir(spark)
-    if root.startswith(("/", "file:")):
-        return tempfile.mkdtemp(prefix="tables-", dir=root.removeprefix("file:"))
-    import uuid
-
-    return f"{root}/tables-{uuid.uuid4().hex}"
+    """A fresh folder name under the shared checkpoint folder."""
+    return f"{checkpoint_dir(spark)}/tables-{uuid.uuid4().hex}"
 
 
 # --- sources and sinks -------------------------------------------------------------
