@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradloom.llm import curriculum, langid
+from gradloom.llm import curriculum, langid, warc
+from gradloom.llm.storage import new_folder
 from gradloom.llm.tokens import remainder
 
 
@@ -15,6 +16,27 @@ def _read(spark: SparkSession, sf: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{table}.parquet")
 
 
+def op2_warc(spark: SparkSession, sf: str) -> DataFrame:
+    """Every page written to archives and found again through the capture index."""
+    pages, folder = _read(spark, sf, "pages"), new_folder(spark, "warc")
+    index = warc.build_index(warc.write(pages, folder), folder)
+    wanted = pages.select(warc.url_key(F.col("url")).alias("urlkey"), F.col("page_id").alias("key"))
+    records = warc.read(warc.lookup(index, wanted), folder)
+    return records.select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP2_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+o AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS owner FROM p)
+SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    (((('0x' || substr(h, (i // 4 * 5 + 1)::BIGINT, 5))::INTEGER >> (15 - 5 * (i % 4))::INTEGER) & 31) + 1)::BIGINT, 1)), '') AS payload_digest,
+  CASE WHEN page_id = owner THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = owner THEN NULL ELSE owner END AS refers_to
+FROM o
+"""
+
+
 def op8_curriculum(spark: SparkSession, sf: str) -> DataFrame:
     """Sizes, targets, words taken and first training position of every document."""
     done = curriculum.mix(_read(spark, sf, "documents"), weights=(5, 2, 1), most=3.0, tilt=0.5)
@@ -61,7 +83,8 @@ def op9_language(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_warc": op2_warc,
     "op8_curriculum": op8_curriculum,
     "op9_language": op9_language,
 }
-SQL: dict[str, str] = {"op8_curriculum": OP8_SQL}
+SQL: dict[str, str] = {"op2_warc": OP2_SQL, "op8_curriculum": OP8_SQL}
