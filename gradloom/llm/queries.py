@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradloom.llm import curriculum, langid, warc
+from gradloom.llm import curriculum, decontaminate, langid, warc
 from gradloom.llm.storage import new_folder
 from gradloom.llm.tokens import remainder
 
@@ -37,6 +37,11 @@ FROM o
 """
 
 
+def op5_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents that carry a benchmark item, literally or with other numbers, names or units."""
+    return decontaminate.matches(_read(spark, sf, "documents"), _read(spark, sf, "benchmark"))
+
+
 def op8_curriculum(spark: SparkSession, sf: str) -> DataFrame:
     """Sizes, targets, words taken and first training position of every document."""
     done = curriculum.mix(_read(spark, sf, "documents"), weights=(5, 2, 1), most=3.0, tilt=0.5)
@@ -84,6 +89,7 @@ def op9_language(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_warc": op2_warc,
+    "op5_decontaminate": op5_decontaminate,
     "op8_curriculum": op8_curriculum,
     "op9_language": op9_language,
 }
