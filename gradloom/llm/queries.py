@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradloom.llm import curriculum, decontaminate, langid, warc
+from gradloom.llm import curriculum, decontaminate, hamming, langid, warc
 from gradloom.llm.storage import new_folder
 from gradloom.llm.tokens import remainder
 
@@ -37,6 +37,24 @@ FROM o
 """
 
 
+def op4_nearest(spark: SparkSession, sf: str) -> DataFrame:
+    """The ten nearest vectors, by Hamming distance of sign codes, of every twentieth vector."""
+    rows = _read(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), hamming.sign_code(F.col("embedding")).alias("code"))
+    found = hamming.search(rows, rows.where("id % 20 = 0"), k=10)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "distance")
+
+
+OP4_SQL = """
+WITH c AS (
+  SELECT vec_id, list_sum(list_transform(range(1, 65), lambda i: CASE WHEN embedding[i] > 0 THEN 1::UBIGINT << (i - 1)::UBIGINT ELSE 0::UBIGINT END))::UBIGINT AS code
+  FROM embeddings),
+d AS (
+  SELECT q.vec_id AS query_id, r.vec_id, bit_count(xor(q.code, r.code))::BIGINT AS distance
+  FROM c q JOIN c r ON q.vec_id <> r.vec_id WHERE q.vec_id % 20 = 0)
+SELECT * FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank, vec_id, distance FROM d) WHERE rank <= 10
+"""
+
+
 def op5_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
     """Documents that carry a benchmark item, literally or with other numbers, names or units."""
     return decontaminate.matches(_read(spark, sf, "documents"), _read(spark, sf, "benchmark"))
@@ -89,8 +107,9 @@ def op9_language(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_warc": op2_warc,
+    "op4_nearest": op4_nearest,
     "op5_decontaminate": op5_decontaminate,
     "op8_curriculum": op8_curriculum,
     "op9_language": op9_language,
 }
-SQL: dict[str, str] = {"op2_warc": OP2_SQL, "op8_curriculum": OP8_SQL}
+SQL: dict[str, str] = {"op2_warc": OP2_SQL, "op4_nearest": OP4_SQL, "op8_curriculum": OP8_SQL}
