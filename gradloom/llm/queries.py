@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradloom.llm import curriculum, decontaminate, hamming, langid, warc
+from gradloom.llm import curriculum, decontaminate, hamming, langid, quality, warc
 from gradloom.llm.storage import new_folder
 from gradloom.llm.tokens import remainder
 
@@ -60,6 +60,14 @@ def op5_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
     return decontaminate.matches(_read(spark, sf, "documents"), _read(spark, sf, "benchmark"))
 
 
+def op6_quality(spark: SparkSession, sf: str) -> DataFrame:
+    """Quality of every document, learned from labels of three quarters of the ids."""
+    docs = _read(spark, sf, "documents").withColumn("held_out", remainder("doc_id", 4) == 2)
+    model = quality.fit(docs.where(~F.col("held_out")), _read(spark, sf, "labels"))
+    done = quality.score(docs, model, keep=("doc_id", "held_out"))
+    return done.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
 def op8_curriculum(spark: SparkSession, sf: str) -> DataFrame:
     """Sizes, targets, words taken and first training position of every document."""
     done = curriculum.mix(_read(spark, sf, "documents"), weights=(5, 2, 1), most=3.0, tilt=0.5)
@@ -109,6 +117,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_warc": op2_warc,
     "op4_nearest": op4_nearest,
     "op5_decontaminate": op5_decontaminate,
+    "op6_quality": op6_quality,
     "op8_curriculum": op8_curriculum,
     "op9_language": op9_language,
 }
