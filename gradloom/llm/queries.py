@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradloom.llm import curriculum, decontaminate, hamming, langid, quality, warc
+from gradloom.llm import curriculum, decontaminate, hamming, langid, ngram, quality, warc
 from gradloom.llm.storage import new_folder
 from gradloom.llm.tokens import remainder
 
@@ -16,6 +16,13 @@ def _read(spark: SparkSession, sf: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{table}.parquet")
 
 
+def op1_ngram(spark: SparkSession, sf: str, order: int = 2) -> DataFrame:
+    """Probability of every document under a model of nine tenths of them, and under plain unigrams."""
+    docs = _read(spark, sf, "documents").withColumn("held_out", remainder("doc_id", 10) == 0)
+    model = ngram.train(docs.where(~F.col("held_out")), new_folder(spark, "ngram"), order)
+    return ngram.score(docs, model, keep=("doc_id", "held_out"))
+
+
 def op2_warc(spark: SparkSession, sf: str) -> DataFrame:
     """Every page written to archives and found again through the capture index."""
     pages, folder = _read(spark, sf, "pages"), new_folder(spark, "warc")
@@ -114,6 +121,7 @@ def op9_language(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram": op1_ngram,
     "op2_warc": op2_warc,
     "op4_nearest": op4_nearest,
     "op5_decontaminate": op5_decontaminate,
