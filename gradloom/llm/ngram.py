@@ -26,12 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gradloom.llm import runs as R
 from gradloom.llm import tokens as T
 from gradloom.llm.storage import Folder
 
 #: Tokens counted in a task before its sorted runs are sent.
 RUN_TOKENS = 2_000_000
-BLOB = "shard int, blob binary"
 FACTS = ("types", "total", "tokens", "ones", "twos", "threes", "fours")
 RESULT = "shard int, blob binary, " + ", ".join(f"{f} bigint" for f in FACTS)
 
@@ -72,36 +72,6 @@ def _sum_by(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     return keys[first], *(np.add.reduceat(v[order], first) if len(first) else v[:0] for v in values)
 
 
-def _pack(*columns: np.ndarray) -> bytes:
-    """Equal-length arrays of 64-bit values, the first sorted: byte planes of its steps, then of the others, compressed."""
-    first, *rest = columns
-    steps = np.diff(first, prepend=np.uint64(0))
-    planes = [np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T) for x in (steps, *(r.astype(np.uint64) for r in rest))]
-    return pa.compress(b"".join(p.tobytes() for p in planes), codec="zstd", asbytes=True) + len(first).to_bytes(8, "little") + len(columns).to_bytes(1, "little")
-
-
-def _unpack(blob: bytes) -> list[np.ndarray]:
-    columns, n = blob[-1], int.from_bytes(blob[-9:-1], "little")
-    raw = np.frombuffer(pa.decompress(blob[:-9], decompressed_size=8 * n * columns, codec="zstd", asbytes=True), np.uint8)
-    out = [np.ascontiguousarray(x.reshape(8, n).T).view(np.uint64).ravel() for x in raw.reshape(columns, 8 * n)]
-    out[0] = np.cumsum(out[0], dtype=np.uint64)
-    return out
-
-
-def _split(keys: np.ndarray, bits: int) -> np.ndarray:
-    """Where each shard (the first ``bits`` bits) begins among sorted keys, and the end."""
-    edges = np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
-    return np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
-
-
-def _blobs(keys: np.ndarray, bits: int, *values: np.ndarray) -> pa.RecordBatch:
-    """A packed run of sorted (key, values) for each shard that has any."""
-    cuts = _split(keys, bits)
-    some = np.flatnonzero(np.diff(cuts))
-    blobs = [_pack(keys[cuts[s] : cuts[s + 1]], *(v[cuts[s] : cuts[s + 1]] for v in values)) for s in some]
-    return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(blobs, pa.binary())], names=["shard", "blob"])
-
-
 def _pairs(contexts: np.ndarray, suffixes: np.ndarray, counts: np.ndarray, bits: int) -> pa.RecordBatch:
     """Packed runs of (context, suffix, count), by shard of their key."""
     shard = (T.chain(contexts, suffixes) >> np.uint64(64 - bits)).astype(np.int32)
@@ -109,7 +79,7 @@ def _pairs(contexts: np.ndarray, suffixes: np.ndarray, counts: np.ndarray, bits:
     contexts, suffixes, counts, shard = contexts[order], suffixes[order], counts[order], shard[order]
     cuts = np.searchsorted(shard, np.arange((1 << bits) + 1))
     some = np.flatnonzero(np.diff(cuts))
-    blobs = [_pack(*(x[cuts[s] : cuts[s + 1]] for x in (contexts, suffixes, counts))) for s in some]
+    blobs = [R.pack(*(x[cuts[s] : cuts[s + 1]] for x in (contexts, suffixes, counts))) for s in some]
     return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(blobs, pa.binary())], names=["shard", "blob"])
 
 
@@ -123,7 +93,7 @@ def _count(docs: DataFrame, text: str, order: int, level: int, bits: int) -> Dat
             columns = [np.concatenate(c) for c in zip(*kept, strict=True)]
             if level == 1:
                 word, n = _sum_by(columns[0], np.ones(len(columns[0]), np.uint64))
-                yield _blobs(word, bits, n)
+                yield R.blobs(word, bits, n)
                 return
             key = T.chain(*columns)
             order_ = np.argsort(key, kind="stable")
@@ -145,7 +115,7 @@ def _count(docs: DataFrame, text: str, order: int, level: int, bits: int) -> Dat
         if size:
             yield from flush()
 
-    return docs.select(F.col(text)).mapInArrow(count, BLOB)
+    return docs.select(F.col(text)).mapInArrow(count, R.BLOB)
 
 
 def _narrow(x: np.ndarray) -> np.ndarray:
@@ -180,20 +150,6 @@ def _load(folder: Folder, level: int, shard: int) -> list[np.ndarray]:
     return out
 
 
-def _shards(batches):
-    """(shard, its blobs) of batches sorted by shard."""
-    now, blobs = None, []
-    for batch in batches:
-        for shard, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if shard != now and blobs:
-                yield now, blobs
-                blobs = []
-            now = shard
-            blobs.append(blob)
-    if blobs:
-        yield now, blobs
-
-
 def _columns(runs: list, n: int) -> list[np.ndarray]:
     return [np.concatenate(c) for c in zip(*runs, strict=True)] if runs else [np.empty(0, np.uint64)] * n
 
@@ -213,10 +169,10 @@ def _gather(runs: DataFrame, level: int, order: int, bits: int, folder: Folder)
     """Add up the runs of each shard, write its arrays, and send sums to the level below and totals to the driver."""
 
     def add(batches):
-        for shard, blobs in _shards(batches):
+        for shard, blobs in R.shards(batches):
             runs_of = {2: [], 3: [], 6: []}  # (word, count), (context, suffix, count), what the level above sends
             for blob in blobs:
-                columns = _unpack(blob)
+                columns = R.unpack(blob)
                 runs_of[len(columns)].append(columns)
             key, context, suffix, count = _distinct(runs_of[3])
             types, tokens = len(key), int(count.sum())
@@ -239,11 +195,10 @@ def _gather(runs: DataFrame, level: int, order: int, bits: int, folder: Folder)
                 none = one * np.uint64(0)
                 seen = [(suffix, one, none, none, none, none), (context, none, count, *(x.astype(np.uint64) for x in (count == 1, count == 2, count > 2)))]
                 sums = _sum_by(*[np.concatenate(c) for c in zip(*seen, strict=True)])
-                batch = _blobs(sums[0], bits, *sums[1:])
+                batch = R.blobs(sums[0], bits, *sums[1:])
                 yield _rows(batch.column(0), batch.column(1), [None] * len(FACTS))
 
-    partitions = int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return runs.repartition(partitions, "shard").sortWithinPartitions("shard").mapInArrow(add, RESULT)
+    return R.by_shard(runs).mapInArrow(add, RESULT)
 
 
 def _spread(known: np.ndarray, keys: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -290,8 +245,7 @@ def train(docs: DataFrame, folder: str, order: int = 2, text: str = "text") -> M
     if order < 2:
         raise ValueError("a model has two levels at least")
     spark = docs.sparkSession
-    # Twice as many shards as tasks even the tasks out; a shard's arrays are what a task holds.
-    bits = max((2 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length(), 1)
+    bits = R.shard_bits(docs)
     found, sent = [], None
     for level in range(order, 0, -1):
         runs = _count(docs, text, order, level, bits)
@@ -319,7 +273,7 @@ class _Tables:
         width = 1 if level == self.model.order else 6 if level == 1 else 5
         asked, back = np.unique(keys, return_inverse=True)
         out = np.zeros((len(asked), width))
-        cuts = _split(asked, self.model.bits)
+        cuts = R.split(asked, self.model.bits)
         for shard in np.flatnonzero(np.diff(cuts)):
             if shard not in self.model.levels[level - 1].shards:
                 continue

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradloom.llm import curriculum, decontaminate, hamming, langid, ngram, quality, warc
+from gradloom.llm import curriculum, decontaminate, hamming, jaccard, langid, ngram, quality, warc
 from gradloom.llm.storage import new_folder
 from gradloom.llm.tokens import remainder
 
@@ -75,6 +75,11 @@ def op6_quality(spark: SparkSession, sf: str) -> DataFrame:
     return done.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
 
 
+def op7_jaccard(spark: SparkSession, sf: str) -> DataFrame:
+    """Components of all documents under links of shingle Jaccard 0.8 or more."""
+    return jaccard.join(_read(spark, sf, "documents"), new_folder(spark, "jaccard"))
+
+
 def op8_curriculum(spark: SparkSession, sf: str) -> DataFrame:
     """Sizes, targets, words taken and first training position of every document."""
     done = curriculum.mix(_read(spark, sf, "documents"), weights=(5, 2, 1), most=3.0, tilt=0.5)
@@ -126,6 +131,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_nearest": op4_nearest,
     "op5_decontaminate": op5_decontaminate,
     "op6_quality": op6_quality,
+    "op7_jaccard": op7_jaccard,
     "op8_curriculum": op8_curriculum,
     "op9_language": op9_language,
 }
