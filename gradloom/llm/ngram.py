@@ -169,6 +169,7 @@ def _gather(runs: DataFrame, level: int, order: int, bits: int, folder: Folder)
     """Add up the runs of each shard, write its arrays, and send sums to the level below and totals to the driver."""
 
     def add(batches):
+        waiting, size = [], 0  # sums of several shards go down together, or there would be a run for each pair of shards
         for shard, blobs in R.shards(batches):
             runs_of = {2: [], 3: [], 6: []}  # (word, count), (context, suffix, count), what the level above sends
             for blob in blobs:
@@ -194,13 +195,23 @@ def _gather(runs: DataFrame, level: int, order: int, bits: int, folder: Folder)
                 one = np.ones(len(key), np.uint64)
                 none = one * np.uint64(0)
                 seen = [(suffix, one, none, none, none, none), (context, none, count, *(x.astype(np.uint64) for x in (count == 1, count == 2, count > 2)))]
-                sums = _sum_by(*[np.concatenate(c) for c in zip(*seen, strict=True)])
-                batch = R.blobs(sums[0], bits, *sums[1:])
-                yield _rows(batch.column(0), batch.column(1), [None] * len(FACTS))
+                waiting.append(_sum_by(*_columns(seen, 6)))
+                size += len(waiting[-1][0])
+                if size >= RUN_TOKENS:
+                    yield _down(waiting, bits)
+                    waiting, size = [], 0
+        if waiting:
+            yield _down(waiting, bits)
 
     return R.by_shard(runs).mapInArrow(add, RESULT)
 
 
+def _down(waiting: list, bits: int) -> pa.RecordBatch:
+    sums = _sum_by(*_columns(waiting, 6))
+    batch = R.blobs(sums[0], bits, *sums[1:])
+    return _rows(batch.column(0), batch.column(1), [None] * len(FACTS))
+
+
 def _spread(known: np.ndarray, keys: np.ndarray, values: np.ndarray) -> np.ndarray:
     out = np.zeros(len(known), np.uint64)
     out[np.searchsorted(known, keys)] = values
