@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradloom.llm import curriculum, decontaminate, hamming, jaccard, langid, ngram, quality, warc
+from gradloom.llm import curriculum, decontaminate, hamming, jaccard, langid, ngram, pii, quality, warc
 from gradloom.llm.storage import new_folder
 from gradloom.llm.tokens import remainder
 
@@ -125,6 +125,20 @@ def op9_language(spark: SparkSession, sf: str) -> DataFrame:
     return langid.identify(docs, model, keep=("doc_id", "held_out"))
 
 
+def op10_pii(spark: SparkSession, sf: str) -> DataFrame:
+    """Personal data in every document, by patterns and by the tagger."""
+    docs = _read(spark, sf, "documents")
+    found = pii.find(docs, pii.fit(docs))
+
+    def number(kind: str) -> Column:
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    def written(spans: str) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    return found.select("doc_id", *map(number, pii.KINDS), F.sha2(written("base"), 256).alias("base_sha256"), written("spans").alias("spans"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram": op1_ngram,
     "op2_warc": op2_warc,
@@ -134,5 +148,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_jaccard": op7_jaccard,
     "op8_curriculum": op8_curriculum,
     "op9_language": op9_language,
+    "op10_pii": op10_pii,
 }
 SQL: dict[str, str] = {"op2_warc": OP2_SQL, "op4_nearest": OP4_SQL, "op8_curriculum": OP8_SQL}
