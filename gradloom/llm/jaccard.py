@@ -11,6 +11,8 @@ with everything in it.  So pivots come from the texts that may link:
 * Each such shared shingle has a pivot, the set made up most of frequent shingles.  Its
   region is every set that shares a shingle with that pivot, so that all links lie within
   regions, and sets on a boundary are in several.
+* Of a region's sets only those stay whose histogram over parts of the hash range leaves room
+  for a link: counts tell an upper bound of an intersection, so nothing is lost.
 * Within a region distances to the pivot give windows: sets whose distances differ by more
   than the threshold cannot link.  A region too large for a task is cut into slices of
   that distance, and slices within a window of each other meet in tasks of their own.
@@ -22,8 +24,10 @@ alternating star contraction in Spark.  Only frequent shingles (``MOST_FREQUENT`
 broadcast, and no link or component passes through the driver.
 
 Defined cases: null text and text without words have an empty set and link with nothing; fewer
-words than ``width`` make one shingle; repeated rows and ids are their own class; a null id
-belongs to a component whose id is the smallest other one, or null.  Other columns are not read.
+words than ``width`` make one shingle; repeated rows get the same result, and rows of one id with
+other texts are judged by their own text.  A null id gets the smallest other id of its component;
+a set found under null ids only links with nothing and its component is null.  Other columns
+are not read.
 """
 
 from __future__ import annotations
@@ -152,11 +156,11 @@ def regions(docs: DataFrame, table: np.ndarray, text: str, width: int, percent:
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
     def run(kept):
-        key, name, share = (np.concatenate(x) for x in zip(*kept, strict=True))
+        key, name, facts = (np.concatenate(x) for x in zip(*kept, strict=True))
         order = np.lexsort((name, key))
-        key, name, share = key[order], name[order], share[order]
+        key, name, facts = key[order], name[order], facts[order]
         fresh = np.concatenate([[True], (key[1:] != key[:-1]) | (name[1:] != name[:-1])])
-        return R.blobs(key[fresh], bits, name[fresh], share[fresh])
+        return R.blobs(key[fresh], bits, name[fresh], facts[fresh])
 
     def cut(batches):
         kept, words = [], 0
@@ -167,7 +171,8 @@ def regions(docs: DataFrame, table: np.ndarray, text: str, width: int, percent:
                     continue
                 name, _ = identities(h, at)
                 key, doc, share = leading(h, at, shared.value, percent)
-                kept.append((key, name[doc], (255 * share[doc]).astype(np.uint64)))
+                facts = ((255 * share).astype(np.uint64) << np.uint64(56)) + np.diff(at).astype(np.uint64)  # and the size
+                kept.append((key, name[doc], facts[doc]))
                 words += len(key)
                 if words >= RUN_WORDS:
                     yield run(kept)
@@ -177,12 +182,18 @@ def regions(docs: DataFrame, table: np.ndarray, text: str, width: int, percent:
 
     def meet(batches):
         for _, blobs in R.shards(batches):
-            key, name, share = (np.concatenate(x) for x in zip(*map(R.unpack, blobs), strict=True))
+            key, name, facts = (np.concatenate(x) for x in zip(*map(R.unpack, blobs), strict=True))
             order = np.lexsort((name, key))
-            key, name, share = key[order], name[order], share[order]
+            key, name, facts = key[order], name[order], facts[order]
             fresh = np.concatenate([[True], (key[1:] != key[:-1]) | (name[1:] != name[:-1])])
-            key, name, share = key[fresh], name[fresh], share[fresh]
-            order = np.lexsort((name, -share.astype(np.int64), key))
+            key, name, facts = key[fresh], name[fresh], facts[fresh]
+            size, share = (facts & np.uint64((1 << 56) - 1)).astype(np.int64), (facts >> np.uint64(56)).astype(np.int64)
+            # Between sizes too far apart to link a shingle's sets fall into groups of their own.
+            order = np.lexsort((size, key))
+            key, name, size, share = key[order], name[order], size[order], share[order]
+            apart = np.concatenate([[True], (key[1:] != key[:-1]) | (percent * size[1:] > 100 * size[:-1])])
+            key = np.cumsum(apart)
+            order = np.lexsort((name, -share, key))
             key, name = key[order], name[order]
             first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             n = np.diff(np.append(first, len(key)))
@@ -294,27 +305,100 @@ def _sets_of(table: pa.Table, column: str) -> list[np.ndarray]:
     return [np.frombuffer(x, np.uint64) for x in table.column(column).to_pylist()]
 
 
-def sets(docs: DataFrame, wanted: DataFrame, text: str, width: int) -> DataFrame:
-    """(member, shingles) of one text of each wanted name: ``wanted`` has id and member."""
+def sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """(member, shingles) of the texts that have a wanted set: ``wanted`` has id and member."""
 
     def cut(batches):
         for batch in batches:
             names = batch.column(0)
             for row, data, starts in T.slices(batch.column(1)):
                 h, at = shingle_sets(data, starts, width)
-                blobs = [h[at[i] : at[i + 1]].tobytes() for i in range(len(at) - 1)]
-                yield pa.RecordBatch.from_arrays([names.slice(row, len(blobs)), pa.array(blobs, pa.binary())], names=["member", "shingles"])
+                mine = names.slice(row, len(at) - 1)
+                # An id may have other texts too.
+                right = np.flatnonzero(identities(h, at)[0].view(np.int64) == mine.to_numpy(zero_copy_only=False))
+                blobs = [h[at[i] : at[i + 1]].tobytes() for i in right]
+                yield pa.RecordBatch.from_arrays([mine.take(pa.array(right)), pa.array(blobs, pa.binary())], names=["member", "shingles"])
 
-    rows = docs.select(F.col("__id"), F.col(text).alias("__text")).join(wanted, F.col("__id") == F.col("id")).select("member", "__text")
+    rows = docs.join(wanted, F.col("__id") == F.col("id")).select("member", "text")
     return rows.mapInArrow(cut, "member bigint, shingles binary")
 
 
-def links(region: DataFrame, shingles: DataFrame, percent: int) -> DataFrame:
-    """Edges (a, b) between names that join all linked sets of every region; ``shingles`` is a written table."""
-    parts = int(region.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    count = region.groupBy("pivot").agg(F.count("*").alias("n"))
-    large = count.where(F.col("n") > REGION).select("pivot")
-    rows = region.join(shingles, "member")
+def _checked(df: DataFrame) -> DataFrame:
+    """A written table of two integers, marked for broadcast while it is small."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def histograms(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """(member, n, counts): how many shingles of the set lie in each of about n / 2 equal parts of the hash range."""
+
+    def cut(batches):
+        for batch in batches:
+            names = batch.column(0)
+            for row, data, starts in T.slices(batch.column(1)):
+                h, at = shingle_sets(data, starts, width)
+                mine = names.slice(row, len(at) - 1)
+                right = np.flatnonzero(identities(h, at)[0].view(np.int64) == mine.to_numpy(zero_copy_only=False))
+                n, counts = np.diff(at)[right], []
+                for i in right:
+                    part = h[at[i] : at[i + 1]] >> np.uint64(64 - _parts(at[i + 1] - at[i]))
+                    counts.append(np.bincount(part.astype(np.int64), minlength=1 << _parts(at[i + 1] - at[i])).astype(np.uint16).tobytes())
+                yield pa.RecordBatch.from_arrays([mine.take(pa.array(right)), pa.array(n), pa.array(counts, pa.binary())], names=["member", "n", "counts"])
+
+    rows = docs.join(wanted, F.col("__id") == F.col("id")).select("member", "text")
+    return rows.mapInArrow(cut, "member bigint, n bigint, counts binary")
+
+
+def _parts(n: int) -> int:
+    """Bits of the number of parts; sets that may link differ by one at most."""
+    return max(int(n).bit_length() - 1, 3)
+
+
+def _promising(n: np.ndarray, counts: list[bytes], percent: int) -> np.ndarray:
+    """Which sets of a region may link with another: an intersection is no larger than the sum of the smaller counts."""
+    order = np.argsort(n, kind="stable")
+    n, bits = n[order], np.array([_parts(x) for x in n[order]])
+    rows, first = {}, {}
+    for b in np.unique(bits):
+        own = np.flatnonzero(bits == b)
+        rows[b] = np.frombuffer(b"".join(counts[k] for k in order[own]), np.uint16).reshape(len(own), -1)
+        first[b] = int(own[0])
+    folded = {b: x.reshape(len(x), -1, 2).sum(2, dtype=np.uint16) for b, x in rows.items()}
+    past = np.searchsorted(n, n * 100 // percent, "right")
+    keep = np.zeros(len(n), bool)
+    for i in range(len(n)):
+        b = bits[i]
+        for c, table in ((b, rows), (b + 1, folded)):
+            if c in table:
+                lo, hi = max(i + 1, first[c]), min(past[i], first[c] + len(table[c]))
+                if lo < hi:
+                    least = np.minimum(table[c][lo - first[c] : hi - first[c]], rows[b][i - first[b]]).sum(1, dtype=np.int64)
+                    good = (100 + percent) * least >= percent * (n[i] + n[lo:hi])
+                    keep[lo:hi] |= good
+                    keep[i] |= good.any()
+    out = np.empty(len(n), bool)
+    out[order] = keep
+    return out
+
+
+def narrowed(docs: DataFrame, members: DataFrame, wanted: DataFrame, width: int, percent: int) -> DataFrame:
+    """The (pivot, member) that may link with another member of the region."""
+    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def pick(batches):
+        for pivot, table in _groups(batches):
+            good = _promising(table.column("n").to_numpy(), table.column("counts").to_pylist(), percent)
+            names = table.column("member").to_numpy()[good]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(names), pivot)), pa.array(names)], names=["pivot", "member"])
+
+    rows = histograms(docs, _checked(wanted), width).join(_checked(members), "member").select("pivot", "member", "n", "counts")
+    rows = rows.repartition(parts, "pivot").sortWithinPartitions("pivot", "member")
+    return rows.mapInArrow(pick, "pivot bigint, member bigint")
+
+
+def links(docs: DataFrame, members: DataFrame, wanted: DataFrame, written, width: int, percent: int) -> DataFrame:
+    """Edges (a, b) between names that join all linked sets of every region."""
+    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    count = written(members.groupBy("pivot").agg(F.count("*").alias("n")).where(F.col("n") > REGION).select("pivot"), "large")
 
     def whole(batches):
         for _, table in _groups(batches):
@@ -322,60 +406,73 @@ def links(region: DataFrame, shingles: DataFrame, percent: int) -> DataFrame:
             r.split(np.arange(len(r.size)))
             yield r.found()
 
-    small = rows.join(large, "pivot", "left_anti").repartition(parts, "pivot").sortWithinPartitions("pivot", "member")
-    found = small.select("pivot", "member", "shingles").mapInArrow(whole, "a bigint, b bigint")
+    small = members.join(count, "pivot", "left_anti")
+    small = written(narrowed(docs, written(small, "small"), wanted, width, percent), "narrowed")
+    some = written(wanted.join(small.select("member").distinct(), "member").select("id", "member"), "small-wanted")
+    rows = sets(docs, _checked(some), width).join(_checked(small), "member").select("pivot", "member", "shingles")
+    rows = rows.repartition(parts, "pivot").sortWithinPartitions("pivot", "member")
+    found = rows.mapInArrow(whole, "a bigint, b bigint")
+    if not count.isEmpty():
+        found = found.unionByName(_large_links(docs, members.join(count, "pivot", "left_semi"), wanted, written, width, percent))
+    return found
+
+
+def _large_links(docs: DataFrame, members: DataFrame, wanted: DataFrame, written, width: int, percent: int) -> DataFrame:
+    """Edges of regions too large for a task: slices of the distance to the pivot meet in pairs within reach."""
+    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    members = written(members, "large-members")
+    some = written(wanted.join(members.select("member").distinct(), "member").select("id", "member"), "large-wanted")
+    shingles = written(sets(docs, _checked(some), width), "sets")
 
-    # Large regions: distance to the pivot, slices of it, and pairs of slices within reach.
     def measure(batches):
         for batch in batches:
-            pivots, members = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            mine, theirs = (list(map(lambda x: np.frombuffer(x, np.uint64), batch.column(i).to_pylist())) for i in (2, 3))
+            mine, theirs = ([np.frombuffer(x, np.uint64) for x in batch.column(i).to_pylist()] for i in (2, 3))
             both = np.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(mine, theirs, strict=True)], np.int64)
             union = np.array([len(x) + len(y) for x, y in zip(mine, theirs, strict=True)], np.int64) - both
             d = 1 - both / np.maximum(union, 1)
             near = 100 * both >= percent * union
             yield pa.RecordBatch.from_arrays(
-                [pa.array(pivots), pa.array(members), pa.array(np.minimum(d * SLICES, SLICES - 1).astype(np.int32)), pa.array(near), batch.column(2)],
-                names=["pivot", "member", "slice", "near", "shingles"],
+                [*batch.columns[:2], pa.array(np.minimum(d * SLICES, SLICES - 1).astype(np.int32)), pa.array(near)], names=["pivot", "member", "slice", "near"]
             )
 
-    center = shingles.select(F.col("member").alias("pivot"), F.col("shingles").alias("center")).join(large, "pivot")
-    far = rows.join(center, "pivot").select("pivot", "member", "shingles", "center")
-    far = far.mapInArrow(measure, "pivot bigint, member bigint, slice int, near boolean, shingles binary")
-    found = found.unionByName(far.where("near AND pivot <> member").select(F.col("pivot").alias("a"), F.col("member").alias("b")))
+    center = members.select("pivot").distinct().join(shingles.toDF("pivot", "center"), "pivot").dropDuplicates(["pivot"])
+    far = members.join(shingles, "member").join(center, "pivot").select("pivot", "member", "shingles", "center")
+    far = written(far.mapInArrow(measure, "pivot bigint, member bigint, slice int, near boolean"), "distances")
+    found = far.where("near AND pivot <> member").select(F.col("pivot").alias("a"), F.col("member").alias("b"))
     slices = far.groupBy("pivot", "slice").agg(F.ceil(F.count("*") / F.lit(SLICE)).cast("int").alias("cuts"), F.min("near").alias("core"))
     blocks = slices.withColumn("cut", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
     left, right = (blocks.select("pivot", *[F.col(c).alias(f"{c}{k}") for c in ("slice", "cut", "core")]) for k in (1, 2))
     reach = int(np.ceil((1 - percent / 100) * SLICES)) + 1
     ordered = (F.col("slice1") < F.col("slice2")) | ((F.col("slice1") == F.col("slice2")) & (F.col("cut1") <= F.col("cut2")))
+    # Two slices of sets linked to the pivot are joined already.
     pairs = left.join(right, "pivot").where(ordered & (F.col("slice2") - F.col("slice1") <= reach) & ~(F.col("core1") & F.col("core2")))
     pairs = pairs.withColumn("task", F.xxhash64("pivot", "slice1", "cut1", "slice2", "cut2"))
     placed = far.join(slices, ["pivot", "slice"]).withColumn("cut", F.pmod(F.xxhash64("member"), F.col("cuts")).cast("int"))
     sides = [
-        placed.join(pairs.select("pivot", F.col(f"slice{k}").alias("slice"), F.col(f"cut{k}").alias("cut"), "task").distinct(), ["pivot", "slice", "cut"]).select(
-            "task", F.lit(k).alias("side"), "member", "shingles"
+        placed.join(pairs.select("pivot", F.col(f"slice{k}").alias("slice"), F.col(f"cut{k}").alias("cut"), "task"), ["pivot", "slice", "cut"]).select(
+            "task", F.lit(k).alias("side"), "member"
         )
         for k in (1, 2)
     ]
 
     def across(batches):
         for _, table in _groups(batches):
-            side = table.column("side").to_numpy()
-            names = table.column("member").to_numpy()
+            side, names = table.column("side").to_numpy(), table.column("member").to_numpy()
             r = _Region(names, _sets_of(table, "shingles"), percent)
             a, b = np.flatnonzero(side == 1), np.flatnonzero(side == 2)
-            if len(a) and np.array_equal(np.sort(names[a]), np.sort(names[b])):
+            if np.array_equal(np.sort(names[a]), np.sort(names[b])):
                 r.compare(a)
-            elif len(a) and len(b):
+            else:
                 r.compare(a, b)
             yield r.found()
 
-    both = sides[0].unionByName(sides[1]).repartition(parts, "task").sortWithinPartitions("task", "side", "member")
+    both = sides[0].unionByName(sides[1]).join(shingles, "member").select("task", "side", "member", "shingles")
+    both = both.repartition(parts, "task").sortWithinPartitions("task", "side", "member")
     return found.unionByName(both.mapInArrow(across, "a bigint, b bigint"))
 
 
-#: Ids of texts in regions that may be broadcast (16 bytes each); beyond that their texts are shuffled.
-BROADCAST_IDS = 1_000_000
+#: Rows of two integers that may be broadcast; beyond that the join is shuffled.
+BROADCAST_ROWS = 1_000_000
 
 
 def join(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -391,16 +488,13 @@ def join(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "text",
     members = written(regions(docs, frequent(measured), "text", width, percent), "regions")
     texts = measured.where("kind = 0").select("id", "n", "a", "b")
     group = texts.where("n > 0").groupBy("a", "b").agg(F.min("id").alias("least"))
-    # One text stands for all with the same first name; a second name would only differ by chance in 2**64.
-    wanted = members.select("member").distinct().join(group.where("least IS NOT NULL").groupBy("a").agg(F.min("least").alias("id")), F.col("member") == F.col("a"))
-    wanted = written(wanted.select("id", "member"), "wanted")
-    if wanted.count() <= BROADCAST_IDS:
-        wanted = F.broadcast(wanted)
-    shingles = written(sets(docs, wanted, "text", width).dropDuplicates(["member"]), "sets")
-    edges = written(links(members, shingles, percent), "links")
-    names = group.groupBy("a").agg(F.min("least").alias("least"))
-    ends = edges.join(names.select("a", F.col("least").alias("u")), "a").join(names.select(F.col("a").alias("b"), F.col("least").alias("v")), "b")
-    labels = components.label(ends.where("u IS NOT NULL AND v IS NOT NULL").select("u", "v"))
+    # One text stands for all with the same first name; another set has it by a chance of 1 in 2**64.
+    names = group.where("least IS NOT NULL").groupBy("a").agg(F.min("least").alias("least"))
+    wanted = members.select("member").distinct().join(names, F.col("member") == F.col("a"))
+    wanted = written(wanted.select(F.col("least").alias("id"), "member"), "wanted")
+    edges = written(links(docs, members, wanted, written, width, percent), "links")
+    ends = edges.join(wanted.toDF("u", "a"), "a").join(wanted.toDF("v", "b"), "b")
+    labels = components.label(ends.select("u", "v"))
     joined = group.join(labels, F.col("least") == F.col("node"), "left").select("a", "b", F.coalesce("label", "least").alias("component_id"))
     out = texts.join(joined, ["a", "b"], "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
