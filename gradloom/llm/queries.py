@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradloom.llm import curriculum, decontaminate, hamming, jaccard, langid, ngram, pii, quality, warc
+from gradloom.llm import curriculum, decontaminate, hamming, jaccard, langid, linededup, ngram, pii, quality, warc
 from gradloom.llm.storage import new_folder
 from gradloom.llm.tokens import remainder
 
@@ -44,6 +44,34 @@ FROM o
 """
 
 
+def op3_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines, lines that repeat an earlier one, and a digest of what is left, for every document."""
+    done = linededup.dedup(_read(spark, sf, "documents"), new_folder(spark, "lines"), counts=True)
+    return done.select("doc_id", F.col("__lines").alias("n_lines"), F.col("__gone").alias("n_removed"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+#: Lines that go, by document id and line number, for documents of the table d.
+LINE_CTES = r"""
+l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM d),
+w AS (SELECT *, list_distinct(regexp_extract_all(lower(line), '[^ 	-]+')) AS ws, (doc_id, pos) AS id FROM l),
+u AS (SELECT min(id) AS id, any_value(ws) AS ws FROM w WHERE len(ws) > 0 GROUP BY lower(line)),
+f AS (SELECT x, count(*) AS c FROM (SELECT unnest(ws) AS x FROM u) GROUP BY x),
+p AS (SELECT * FROM (SELECT id, x, n, row_number() OVER (PARTITION BY id ORDER BY c, x) AS i
+  FROM (SELECT id, unnest(ws) AS x, len(ws) AS n FROM u) JOIN f USING (x)) WHERE i <= n - (80 * n + 99) // 100 + 1),
+m AS (SELECT DISTINCT a.id AS a, b.id AS b FROM p a JOIN p b ON a.x = b.x AND b.id < a.id AND 100 * a.n >= 80 * b.n AND 100 * b.n >= 80 * a.n),
+r AS (SELECT DISTINCT m.a AS id FROM m JOIN u x ON m.a = x.id JOIN u y ON m.b = y.id
+  WHERE 180 * len(list_intersect(x.ws, y.ws)) >= 80 * (len(x.ws) + len(y.ws))),
+g AS (SELECT w.*, len(ws) > 0 AS worded, len(ws) > 0 AND (id NOT IN (SELECT id FROM u) OR id IN (SELECT id FROM r)) AS gone FROM w)
+"""
+
+OP3_SQL = f"""
+WITH d AS (SELECT * FROM documents), {LINE_CTES}
+SELECT d.doc_id, coalesce(s.n, 0)::BIGINT AS n_lines, coalesce(s.k, 0)::BIGINT AS n_removed, md5(CASE WHEN s.k > 0 THEN coalesce(s.t, '') ELSE d.text END) AS text_md5
+FROM d LEFT JOIN (SELECT doc_id, count(*) FILTER (worded) AS n, count(*) FILTER (gone) AS k, string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone) AS t FROM g GROUP BY doc_id) s
+  USING (doc_id)
+"""
+
+
 def op4_nearest(spark: SparkSession, sf: str) -> DataFrame:
     """The ten nearest vectors, by Hamming distance of sign codes, of every twentieth vector."""
     rows = _read(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), hamming.sign_code(F.col("embedding")).alias("code"))
@@ -142,6 +170,7 @@ def op10_pii(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram": op1_ngram,
     "op2_warc": op2_warc,
+    "op3_lines": op3_lines,
     "op4_nearest": op4_nearest,
     "op5_decontaminate": op5_decontaminate,
     "op6_quality": op6_quality,
@@ -150,4 +179,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_language": op9_language,
     "op10_pii": op10_pii,
 }
-SQL: dict[str, str] = {"op2_warc": OP2_SQL, "op4_nearest": OP4_SQL, "op8_curriculum": OP8_SQL}
+SQL: dict[str, str] = {"op2_warc": OP2_SQL, "op3_lines": OP3_SQL, "op4_nearest": OP4_SQL, "op8_curriculum": OP8_SQL}
