@@ -27,6 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gradloom.llm import tokens as T
+from gradloom.llm.storage import checked
+from gradloom.plans.lineage import cut
 
 WIDTH, COVERAGE, BITS = 8, 0.6, 1 << 22
 
@@ -141,7 +143,7 @@ WINDOW = "id bigint, window bigint, at int, width int, slots array<string>"
 def item_windows(items: DataFrame, key: str, text: str, width: int) -> DataFrame:
     """All windows of the items; one of its own length for a shorter item."""
 
-    def cut(batches):
+    def windows(batches):
         for batch in batches:
             ids = batch.column(0).to_pylist()
             for row, data, starts in T.slices(batch.column(1)):
@@ -154,14 +156,14 @@ def item_windows(items: DataFrame, key: str, text: str, width: int) -> DataFrame
                     found.append((hashes[own], at[own], w))
                 yield _emit(t, data, ids[row : row + len(starts) - 1], found)
 
-    return items.select(F.col(key).cast("long"), F.col(text)).mapInArrow(cut, WINDOW)
+    return items.select(F.col(key).cast("long"), F.col(text)).mapInArrow(windows, WINDOW)
 
 
 def document_windows(docs: DataFrame, bitmap: np.ndarray, widths: list[int], key: str, text: str) -> DataFrame:
     """The windows of documents whose bit is set."""
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)  # BITS bits
 
-    def cut(batches):
+    def windows(batches):
         bits = shared.value
         for batch in batches:
             ids = batch.column(0).to_pylist()
@@ -175,7 +177,7 @@ def document_windows(docs: DataFrame, bitmap: np.ndarray, widths: list[int], key
                     found.append((hashes[hit], at[hit], w))
                 yield _emit(t, data, ids[row : row + len(starts) - 1], found)
 
-    return docs.select(F.col(key).cast("long"), F.col(text)).mapInArrow(cut, WINDOW)
+    return docs.select(F.col(key).cast("long"), F.col(text)).mapInArrow(windows, WINDOW)
 
 
 def matches(
@@ -189,14 +191,14 @@ def matches(
     item_text: str = "text",
 ) -> DataFrame:
     """One row per contaminated document and item: key, item_key, matched, windows, coverage, exact (no slot changed)."""
-    cut = item_windows(items, item_key, item_text, width).persist()
-    places = cut.select(F.pmod("window", F.lit(BITS)).cast("int").alias("p"), "width").distinct().toPandas()  # BITS x width rows at most
+    cuts = item_windows(items, item_key, item_text, width).persist()
+    places = cuts.select(F.pmod("window", F.lit(BITS)).cast("int").alias("p"), "width").distinct().toPandas()  # BITS x width rows at most
     flags = np.zeros(BITS, np.uint8)
     flags[places["p"].to_numpy(np.int64)] = 1
     widths = sorted({int(w) for w in places["width"]})
     found = document_windows(docs, np.packbits(flags, bitorder="little"), widths, key, text)
-    sizes = cut.groupBy("id").agg(F.countDistinct("at").alias("windows")).withColumnRenamed("id", "item")
-    left = cut.select("window", "width", F.col("id").alias("item"), F.col("at").alias("item_at"), F.col("slots").alias("item_slots"))
+    sizes = cuts.groupBy("id").agg(F.countDistinct("at").alias("windows")).withColumnRenamed("id", "item")
+    left = cuts.select("window", "width", F.col("id").alias("item"), F.col("at").alias("item_at"), F.col("slots").alias("item_slots"))
     met = found.where(F.col("id").isNotNull()).join(left, ["window", "width"]).select(
         "id", "item", "item_at", (F.col("at") - F.col("item_at")).alias("shift"), F.arrays_zip("item_slots", "slots").alias("pairs")
     )
@@ -219,5 +221,5 @@ def matches(
 
 def clean(docs: DataFrame, items: DataFrame, key: str = "doc_id", **settings) -> DataFrame:
     """The documents without those that carry a benchmark item; rows without a key stay."""
-    dirty = matches(docs, items, key=key, **settings).select(key).distinct()
-    return docs.join(dirty, key, "left_anti")
+    dirty = checked(cut(matches(docs, items, key=key, **settings).select(F.col(key).alias("__dirty")).distinct()))
+    return docs.join(dirty, F.col(key) == F.col("__dirty"), "left_anti")

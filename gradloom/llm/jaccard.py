@@ -37,8 +37,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gradloom.llm import components, runs as R
+from gradloom.llm import components
+from gradloom.llm import runs as R
 from gradloom.llm import tokens as T
+from gradloom.llm.storage import checked
 
 PERCENT, WIDTH = 80, 5
 #: Words that a task looks at together when it looks for frequent shingles and packs runs.
@@ -323,11 +325,6 @@ def sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     return rows.mapInArrow(cut, "member bigint, shingles binary")
 
 
-def _checked(df: DataFrame) -> DataFrame:
-    """A written table of two integers, marked for broadcast while it is small."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def histograms(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """(member, n, counts): how many shingles of the set lie in each of about n / 2 equal parts of the hash range."""
 
@@ -390,7 +387,7 @@ def narrowed(docs: DataFrame, members: DataFrame, wanted: DataFrame, width: int,
             names = table.column("member").to_numpy()[good]
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(names), pivot)), pa.array(names)], names=["pivot", "member"])
 
-    rows = histograms(docs, _checked(wanted), width).join(_checked(members), "member").select("pivot", "member", "n", "counts")
+    rows = histograms(docs, checked(wanted), width).join(checked(members), "member").select("pivot", "member", "n", "counts")
     rows = rows.repartition(parts, "pivot").sortWithinPartitions("pivot", "member")
     return rows.mapInArrow(pick, "pivot bigint, member bigint")
 
@@ -409,7 +406,7 @@ def links(docs: DataFrame, members: DataFrame, wanted: DataFrame, written, width
     small = members.join(count, "pivot", "left_anti")
     small = written(narrowed(docs, written(small, "small"), wanted, width, percent), "narrowed")
     some = written(wanted.join(small.select("member").distinct(), "member").select("id", "member"), "small-wanted")
-    rows = sets(docs, _checked(some), width).join(_checked(small), "member").select("pivot", "member", "shingles")
+    rows = sets(docs, checked(some), width).join(checked(small), "member").select("pivot", "member", "shingles")
     rows = rows.repartition(parts, "pivot").sortWithinPartitions("pivot", "member")
     found = rows.mapInArrow(whole, "a bigint, b bigint")
     if not count.isEmpty():
@@ -422,7 +419,7 @@ def _large_links(docs: DataFrame, members: DataFrame, wanted: DataFrame, written
     parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     members = written(members, "large-members")
     some = written(wanted.join(members.select("member").distinct(), "member").select("id", "member"), "large-wanted")
-    shingles = written(sets(docs, _checked(some), width), "sets")
+    shingles = written(sets(docs, checked(some), width), "sets")
 
     def measure(batches):
         for batch in batches:
@@ -471,10 +468,6 @@ def _large_links(docs: DataFrame, members: DataFrame, wanted: DataFrame, written
     return found.unionByName(both.mapInArrow(across, "a bigint, b bigint"))
 
 
-#: Rows of two integers that may be broadcast; beyond that the join is shuffled.
-BROADCAST_ROWS = 1_000_000
-
-
 def join(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """key, n_shingles and component_id of every row; tables between the steps are written to ``folder``."""
     spark = docs.sparkSession

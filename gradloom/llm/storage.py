@@ -10,10 +10,14 @@ import uuid
 
 import numpy as np
 import pyarrow.fs as pafs
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gradloom.plans.lineage import checkpoint_dir
 
+#: Rows of a few integers that may be broadcast (tens of MB); beyond that a join is shuffled.
+BROADCAST_ROWS = 1_000_000
+
 
 def new_folder(spark: SparkSession, what: str) -> str:
     """URI of a folder of this run under ``spark.checkpoint.dir``, which driver and executors share."""
@@ -87,3 +91,8 @@ class Folder:
         fs, path = self._open()
         if fs.get_file_info(path).type != pafs.FileType.NotFound:
             fs.delete_dir(path)
+
+
+def checked(table: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A written table of a few integers, marked for broadcast while it has few rows."""
+    return F.broadcast(table) if table.count() <= rows else table
