@@ -3,13 +3,70 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
+from gradloom.llm import curriculum, decontaminate, jaccard, langid, linededup
+from gradloom.llm.storage import checked, new_folder
+from gradloom.plans.lineage import cut
+
+#: A document is rejected when no language is found in it or the found one is less certain than this.
+LEAST_CERTAIN = 0.5
+WEIGHTS = (5, 2, 1)
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that the model knows; it learns from all of them that have a label."""
+    model = langid.fit(docs)
+    found = langid.identify(docs, model, keep=tuple(docs.columns))
+    return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_CERTAIN)).select(*docs.columns)
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without lines that repeat an earlier one; those left with no line at all go."""
+    done = linededup.dedup(docs, new_folder(spark, "lines"), counts=True)
+    done = done.where((F.col("__gone") == 0) | (F.col("__gone") < F.col("__lines")))
+    length = F.when(F.col("__gone") > 0, F.length("text")).otherwise(F.col("n_chars"))
+    return done.withColumn("n_chars", length.cast("long")).select(*docs.columns)
+
+
+def join_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: the one whose id is the smallest.  Documents without words stay."""
+    groups = jaccard.join(docs, new_folder(spark, "jaccard"))
+    others = groups.where((F.col("n_shingles") > 0) & (F.col("component_id") != F.col("doc_id"))).select(F.col("doc_id").alias("__copy")).distinct()
+    return docs.join(checked(cut(others)), F.col("doc_id") == F.col("__copy"), "left_anti").select(*docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark item."""
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The words that the mix takes of each document, and where in training they first come."""
+    done = curriculum.mix(docs, WEIGHTS)
+    return done.select("doc_id", "source", "size", "source_size", "target", "taken", F.round("position", 6).alias("position"))
+
+
+STAGES = [
+    ("language ID", identify_language),
+    ("line dedup", dedup_lines),
+    ("n-gram Jaccard join", join_near_copies),
+    ("benchmark decontamination", drop_contaminated),
+    ("mixing sources", mix_sources),
+]
+
+#: The language model has no SQL; tests/llm/test_pipeline.py checks the pipeline against plain code.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; each one's result is written and read again by the next."""
+    folder = new_folder(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for i, (_, stage) in enumerate(STAGES):
+        done = stage(spark, docs, sf_dir)
+        if i == len(STAGES) - 1:
+            return done
+        done.write.parquet(f"{folder}/{i}")
+        docs = spark.read.parquet(f"{folder}/{i}")
     return docs
