@@ -74,15 +74,16 @@ def _copies(docs: DataFrame, written) -> DataFrame:
     return lines.join(first, ["__a", "__b"]).where(F.struct(*_LINE) > F.col("__first")).select(*_LINE)
 
 
-def _rarity(lines: DataFrame) -> bytes:
-    """A byte for each bucket of word hashes: three times the binary logarithm of how many lines have a word of it."""
+def _rarity(lines: DataFrame, written) -> DataFrame:
+    """One row, a byte for each bucket of word hashes: three times the binary logarithm of how many lines have a word of it."""
     words = lines.select(F.explode(_words(F.col("__line"))).alias("w"))
-    counts = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("b")).agg(F.count("*").alias("n"))
-    found = counts.select("b", F.floor(3 * F.log2("n")).cast("int").alias("c")).toPandas()  # BUCKETS rows at most
+    counts = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("b")).agg(F.floor(3 * F.log2(F.count("*"))).cast("int").alias("c"))
+    found = counts.groupBy((F.col("b") % 256).alias("g")).agg(F.collect_list(F.col("b") * 128 + F.col("c")).alias("packed"))
     table = bytearray(BUCKETS)
-    for b, c in zip(found["b"], found["c"], strict=True):
-        table[b] = c
-    return bytes(table)
+    for row in found.toLocalIterator():  # BUCKETS numbers at most, by 256ths
+        for x in row["packed"]:
+            table[x >> 7] = x & 127
+    return written(lines.sparkSession.createDataFrame([(table,)], "rank binary"), "rarity")
 
 
 def _need(n: Column, m: Column, percent: int) -> Column:
@@ -90,14 +91,15 @@ def _need(n: Column, m: Column, percent: int) -> Column:
     return F.ceil(percent * (n + m) / (100 + percent))
 
 
-def _prefixes(lines: DataFrame, table: bytes, percent: int) -> DataFrame:
+def _prefixes(lines: DataFrame, rarity: DataFrame, percent: int) -> DataFrame:
     """A row for each of a line's first words in the common order: word, its place, the line's size and parity sketch."""
     mask = (1 << _HASH_BITS) - 1
-    rank = F.lit(bytearray(table))
+    # A subquery, not a literal: plans and their many descriptions on the driver would hold a megabyte for each use.
+    lines = lines.withColumn("__rank", rarity.scalar())
 
     def ranked(w: Column) -> Column:
         h = F.xxhash64(w)
-        rarity = F.ascii(F.substring(rank, (h.bitwiseAND(F.lit(BUCKETS - 1)) + 1).cast("int"), F.lit(1)).cast("string"))
+        rarity = F.ascii(F.substring("__rank", (h.bitwiseAND(F.lit(BUCKETS - 1)) + 1).cast("int"), F.lit(1)).cast("string"))
         return F.shiftleft(rarity.cast("long"), _HASH_BITS).bitwiseOR(h.bitwiseAND(F.lit(mask)))
 
     rows = lines.select(*_LINE, F.sort_array(F.transform(_words(F.col("__line")), ranked)).alias("__keys")).withColumn("__n", F.size("__keys"))
@@ -158,7 +160,7 @@ def repeated(docs: DataFrame, folder: str, percent: int = PERCENT) -> DataFrame:
     fresh = docs.select("__id", "__row", "__text").join(gone, ["__id", "__row"], "left")
     fresh = _lines(fresh, "__places").where(F.col("__places").isNull() | ~F.array_contains("__places", F.col("__pos"))).select(*_LINE, "__line")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = _prefixes(fresh, _rarity(fresh), percent).repartition(parts, "__word", "__salt").persist(StorageLevel.MEMORY_AND_DISK)
+    rows = _prefixes(fresh, _rarity(fresh, written), percent).repartition(parts, "__word", "__salt").persist(StorageLevel.MEMORY_AND_DISK)
 
     # The first line that has a word, against the others that have it.
     first = rows.groupBy("__word", "__salt").agg(F.min(F.struct(*_ROW)).alias("f"), F.count("*").alias("k")).where("k > 1")
