@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gradloom.plans.joins import SpreadRows, fits_broadcast
+from gradloom.schemas import require
 
 HOLD, NO_HOLD, REFRESH = "hold", "no_hold", "refresh_on_hold"
 
@@ -31,7 +32,9 @@ class Batch:
 
     def load(self) -> "Batch":
         if not self._loaded:
-            placed = self._targets.repartition(*self.keys).sortWithinPartitions(*self.keys)
+            given = [c for c in ("label", "weight") if c in self._targets.columns]
+            rows = require(self._targets, *[(F.col(c).isNotNull(), f"null {c} in a batch") for c in given])
+            placed = rows.repartition(*self.keys).sortWithinPartitions(*self.keys)
             self.targets = placed.persist(StorageLevel.MEMORY_AND_DISK)
             if callable(self._features):
                 self._features = self._features(self.targets)

@@ -11,6 +11,7 @@ from gradloom.functions import losses as L
 from gradloom.operators.scoring import with_all
 from gradloom.operators.vectors import lengthen
 from gradloom.plans.joins import lookup
+from gradloom.schemas import in_range, require
 
 
 def point_losses(examples: DataFrame, scores: DataFrame, loss: L.PointLoss) -> DataFrame:
@@ -42,7 +43,8 @@ def softmax_jacobian(wide: DataFrame, row_dim: int) -> DataFrame:
 
 
 def wide_targets(targets: DataFrame, row_dim: int) -> DataFrame:
-    """Target weights per class as columns ``t0 ..`` with the example weight."""
+    """Target weights per class as columns ``t0 ..`` with the example weight; a class outside ``[0, row_dim)`` fails."""
+    targets = require(targets, (in_range(F.col("cls"), row_dim), "target class outside [0, row_dim)"))
     cells = [F.sum(F.when(F.col("cls") == i, F.col("tw")).otherwise(0.0)).alias(f"t{i}") for i in range(row_dim)]
     return targets.groupBy("ex_id").agg(*cells, F.max("weight").alias("weight"))
 

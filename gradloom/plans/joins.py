@@ -33,13 +33,13 @@ def key_hash(keys: Sequence[str]) -> Column:
 def hot_share(rows: DataFrame) -> float:
     """Share of the rows from which a key counts as hot: half of an average partition."""
     partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return 1.0 / min(max(2 * partitions, 200), 2000)
+    return 1.0 / min(max(2 * partitions, 200), 9_999)  # the sketch takes no share of 1e-4 or less
 
 
 def hot_candidates(rows: DataFrame, keys: Sequence[str]) -> list[int]:
     """Hashes of all keys that may hold more than the hot share of the rows.
 
-    The frequent-items sketch keeps at most 2,000 counters, merges without
+    The frequent-items sketch keeps fewer than 10,000 counters, merges without
     shuffling the rows and never misses a key above the share.  It may report
     keys below it, which only costs a few extra copies in a join.
     """

@@ -398,9 +398,8 @@ class TransportDual(Objective):
         self._cached: list[DataFrame] = []
 
     def zero_potentials(self) -> DataFrame:
-        spark = self.pair.x.sparkSession
-        u = spark.range(self.pair.n).select(F.lit("u").alias("side"), F.col("id").alias("idx"))
-        v = spark.range(self.pair.m).select(F.lit("v").alias("side"), F.col("id").alias("idx"))
+        u = self.pair.x.select(F.lit("u").alias("side"), F.col("id").alias("idx"))
+        v = self.pair.y.select(F.lit("v").alias("side"), F.col("id").alias("idx"))
         return u.unionByName(v).withColumn("v", F.lit(0.0))
 
     def _means(self, table: DataFrame, cols: Sequence[str]) -> list[float]:

@@ -185,6 +185,35 @@ def test_transport_against_brute_force(spark):
     np.testing.assert_allclose([got["v", j] for j in range(10)], e.sum(0) - 1 / 10, atol=1e-12)
 
 
+def test_transport_with_gaps_in_the_ids(spark):
+    points = [spark.createDataFrame([(i, [i / 20.0] * 6) for i in ids], "id bigint, p array<double>") for ids in ((0, 10, 20), (0, 7))]
+    dual = O.TransportDual(T.PointPair.of(*points), 0.5)
+    assert (dual.pair.n, dual.pair.m, dual.zero_potentials().count()) == (3, 2, 5)
+    fit = M.LBFGS(5, search=Backtracking(wolfe=False, strong_wolfe=False), base_step=1.0, max_iter=60, tolerance=1e-12)
+    mass = T.ot_mass(dual.pair, fit.minimize(dual, dual.zero_potentials()).x.withColumnRenamed("v", "p"), 0.5)
+    got = {(r["side"], r["idx"]): r["mass"] for r in mass.collect()}
+    assert got == pytest.approx({("u", 0): 1 / 3, ("u", 10): 1 / 3, ("u", 20): 1 / 3, ("v", 0): 0.5, ("v", 7): 0.5}, abs=1e-3)
+    with pytest.raises(ValueError, match="both sides"):
+        T.PointPair.of(points[0], points[1].limit(0))
+
+
+def test_near_points_far_from_the_origin():
+    x = np.full((1, 64), 1e8)
+    assert T.half_squared_distance(x, x + 0.5)[0, 0] == 8.0
+
+
+def test_classes_out_of_range_and_nulls_fail(spark):
+    targets = spark.createDataFrame([(1, 7, 1.0, 1.0)], "ex_id bigint, cls int, tw double, weight double")
+    with pytest.raises(PySparkException, match="target class"):
+        G.wide_targets(targets, 3).collect()
+    features = spark.createDataFrame([(1, 0, 1.0), (2, 0, 1.0)], "ex_id bigint, fea_id bigint, value double")
+    x = spark.createDataFrame([(0, 0.0)], "idx bigint, v double")
+    for row in ((2, None, 1.0), (2, 1.0, None)):
+        examples = spark.createDataFrame([(1, 1.0, 1.0), row], "ex_id bigint, label double, weight double")
+        with pytest.raises(PySparkException, match="null"):
+            O.linear_l2(BatchCycle(examples, features), 1).value_grad(x)
+
+
 # --- searches and the loop -----------------------------------------------------------
 
 
