@@ -67,7 +67,7 @@ def due(part: Column, start: Column, end: Column) -> Column:
     """Time by which ``part`` of a source's demand is met, under a straight schedule from ``start`` to ``end``."""
     # integral a*t + (b-a)*t^2/2 = part*(a+b)/2; the stable root, for a = b too
     half = part * (start + end) / 2
-    return 2 * half / (start + F.sqrt(F.greatest(start * start + 2 * (end - start) * half, F.lit(0.0))))
+    return F.try_divide(2 * half, start + F.sqrt(F.greatest(start * start + 2 * (end - start) * half, F.lit(0.0))))
 
 
 def place(
@@ -125,12 +125,12 @@ def occurrences(placed: DataFrame, most: float = 3.0) -> DataFrame:
     """
     used = F.least(F.round("target"), F.floor(F.col("source_size") * most)).cast("long")
     start = F.col("begin") + F.col("pass") * F.col("source_size")
-    passes = F.when(F.col("size") > 0, F.sequence(F.lit(0), F.greatest(F.ceil(F.col("target") / F.col("source_size")) - 1, F.lit(0)).cast("int")))
+    passes = F.when(F.col("size") > 0, F.sequence(F.lit(0), F.greatest(F.ceil(F.coalesce(F.try_divide(F.col("target"), F.col("source_size")), F.lit(0.0))) - 1, F.lit(0)).cast("int")))
     uses = (
         placed.withColumn("pass", F.explode(passes))
         .withColumn("words", F.least(start + F.col("size"), used) - start)
         .where("words > 0")
-        .withColumn("position", due(start / F.col("target"), F.col("w0"), F.col("w1")))
+        .withColumn("position", due(F.try_divide(start, F.col("target")), F.col("w0"), F.col("w1")))
     )
     parts = int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     by = ["position", "__source", "begin", "pass"]
@@ -143,14 +143,14 @@ def mix(docs: DataFrame, weights: Sequence[float], most: float = 3.0, tilt: floa
     taken is 0 and position null where the mix does not use the document.  Sorted by position.
     """
     used = F.least(F.round("target"), F.floor(F.col("source_size") * most)).cast("long")
-    passes = F.sequence(F.lit(0), F.greatest(F.ceil(F.coalesce(F.col("target") / F.col("source_size"), F.lit(0.0))) - 1, F.lit(0)).cast("int"))
+    passes = F.sequence(F.lit(0), F.greatest(F.ceil(F.coalesce(F.try_divide(F.col("target"), F.col("source_size")), F.lit(0.0))) - 1, F.lit(0)).cast("int"))
 
     def words(k: Column) -> Column:
         start = F.col("begin") + k * F.col("source_size")
         return F.greatest(F.least(start + F.col("size"), used) - start, F.lit(0))
 
     taken = F.aggregate(F.transform(passes, words), F.lit(0).cast("long"), lambda a, b: a + b)
-    first = F.when((F.col("size") > 0) & (F.col("taken") > 0), due(F.col("begin") / F.col("target"), F.col("w0"), F.col("w1")))
+    first = F.when((F.col("size") > 0) & (F.col("taken") > 0), due(F.try_divide(F.col("begin"), F.col("target")), F.col("w0"), F.col("w1")))
     done = place(docs, weights, most, tilt, key, source, text).withColumn("taken", taken).withColumn("position", first)
     done = done.select(key, F.col("__source").alias("source"), "size", "source_size", "target", "taken", "position")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
