@@ -204,10 +204,14 @@ class _Reader:
 
     def find(self, urlkey: str, key: int):
         want = (urlkey, key)
-        i = bisect.bisect_right(self.index.firsts, want) - 1  # equal keys never lie in two files
-        if i < 0:
-            return
-        self._enter(i)
+        firsts = self.index.firsts
+        i = max(bisect.bisect_left(firsts, want) - 1, 0)  # rows that repeat a key may lie in several files
+        while i < len(firsts) and firsts[i] <= want:
+            self._enter(i)
+            yield from self._matches(want)
+            i += 1
+
+    def _matches(self, want: tuple[str, int]):
         b = max(bisect.bisect_left(self.directory, want, key=lambda e: (e[0], e[1])) - 1, 0)
         while b < len(self.directory) and (self.directory[b][0], self.directory[b][1]) <= want:
             if self.block_at != b:
