@@ -125,6 +125,20 @@ def test_changed_questions(spark):
     assert D.matches(docs.limit(0), items).count() == D.matches(docs, items.limit(0)).count() == 0
 
 
+def test_recased_copies(spark):
+    """An item whose case was changed is found, with other numbers too; one with other words is not."""
+    item = "A train from París travels 120 km in 2 hours and then returns to Ávila in 3 hours at a größere speed than Anna Ñandú expected of it"
+    quiet = "the old mill by the river was sold to a baker who painted its door in a bright shade of blue"
+    changed = item.replace("120", "95").replace(" 2 ", " 4 ").replace(" 3 ", " 5 ")
+    other = "A BAKER FROM PARÍS TRAVELS TO THE OLD MILL BY THE SEA AND THEN SLEEPS FOR 3 HOURS AT A RATHER LOUD INN"
+    texts = [item.upper(), "SO THEY SAID: " + item.upper(), item.lower(), changed.upper(), changed.lower(), quiet.upper(), quiet.title(), other]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    items = spark.createDataFrame([(7, item), (8, quiet), (9, quiet.upper())], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["exact"] for r in D.matches(docs, items).collect()}
+    assert got == {(0, 7): True, (1, 7): True, (2, 7): True, (3, 7): False, (4, 7): False} | {(d, i): True for d in (5, 6) for i in (8, 9)}
+    assert [r["doc_id"] for r in D.clean(docs, items).collect()] == [7]
+
+
 def test_languages_of_held_out_texts(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang", "text")
     rows = Q.op9_language(spark, "/root/testdata/sf0.01").join(docs, "doc_id").where("held_out AND lang IS NOT NULL AND lang_pred <> 'und'").collect()
