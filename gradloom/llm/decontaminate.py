@@ -14,7 +14,8 @@ numbers; not one whose names were changed too.  Literal windows need no consiste
 
 A pair is reported when its windows, of any kind, cover at least ``coverage`` of the item's.
 Items shorter than a window are one window of their own length.  Windows with fewer than
-half literal words carry no evidence and count on neither side.  Null and empty texts and
+half literal words count by their exact words alone, so only literal copies meet through them; where
+numbers or names were changed, an item is judged on its other windows, if it has any.  Null and empty texts and
 items match nothing; repeated rows of one id count as one document (or item); other columns are not read.
 
 The documents are read once: a bitmap of fixed size (``BITS``) over the benchmark's window
@@ -136,7 +137,7 @@ _NUMBER_HASHES, _UNIT_HASHES = _hashes_of(NUMBER_WORDS), _hashes_of(UNITS)
 
 
 def _windows(t: Template, width: int, kind: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash of every window with enough literal words, its first word and its number of placeholders."""
+    """Hash of every window, its first word and its number of placeholders; not those with more than half placeholders."""
     n = max(len(t.doc) - width + 1, 0)
     if not n:
         return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
@@ -145,7 +146,7 @@ def _windows(t: Template, width: int, kind: int) -> tuple[np.ndarray, np.ndarray
     for k in range(1, width):
         window = T.chain(window, words[k : k + n])
     slots = np.zeros(len(t.doc) + 1, np.int64)
-    np.cumsum(t.slot[min(kind, CASELESS)], out=slots[1:])
+    np.cumsum(t.slot[kind], out=slots[1:])
     many = slots[width : width + n] - slots[:n]
     good = (t.doc[:n] == t.doc[width - 1 :]) & (2 * many <= width)
     at = np.flatnonzero(good)

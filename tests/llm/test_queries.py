@@ -139,6 +139,23 @@ def test_recased_copies(spark):
     assert [r["doc_id"] for r in D.clean(docs, items).collect()] == [7]
 
 
+def test_copies_of_items_with_few_literal_words(spark):
+    """Titles, lists of names, sums and short items are found where they stand word for word, and only there."""
+    items = [
+        "Who Wrote The Famous Novel About Captain Ahab And The White Whale",
+        "Name these: Anna Berta Carla Dora Emma Frida Gerda Hanna Ida Jana",
+        "12 km + 30 km + 45 km = 87 km and 5 kg + 6 kg = 11 kg",
+        "Welche Stadt hat Dom, Rathaus, Oper, Theater, Museum, Hafen, Schloss?",
+        "In Paris 1789?",
+    ]
+    texts = [f"they asked us this. {t} and so on it went" for t in items] + [items[0].lower(), items[1].upper()]
+    texts += ["Who Painted The Large Picture About Captain Cook And The Blue Ship", "13 km + 31 km + 46 km = 90 km and 6 kg + 7 kg = 13 kg", "In Rome 1790?"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    table = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"], r["exact"]) for r in D.matches(docs, table).collect()}
+    assert got == {(i, i, True) for i in range(5)} | {(5, 0, True), (6, 1, True)}
+
+
 def test_languages_of_held_out_texts(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang", "text")
     rows = Q.op9_language(spark, "/root/testdata/sf0.01").join(docs, "doc_id").where("held_out AND lang IS NOT NULL AND lang_pred <> 'und'").collect()
