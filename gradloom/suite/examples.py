@@ -152,7 +152,21 @@ def split_pos_neg(spark, sf):
           WHERE l_linenumber = 1 AND l_tax = 0) GROUP BY 1) WHERE reason IS NOT NULL""",
 )
 def validate_vector(spark, sf):
-    lines = read(spark, sf, "lineitem").filter((F.col("l_linenumber") == 1) & (F.col("l_tax") == 0))
+    return part_violations(spark, sf, read(spark, sf, "lineitem").filter((F.col("l_linenumber") == 1) & (F.col("l_tax") == 0)))
+
+
+@case(
+    "validate_vector_all",
+    """SELECT idx, n, reason FROM (SELECT idx, count(*) AS n,
+    CASE WHEN idx < 0 OR idx >= (SELECT max(p_partkey) - 10 FROM part) THEN 'index'
+      WHEN count(*) > count(v) THEN 'value' WHEN count(*) > 1 THEN 'repeated' END AS reason
+    FROM (SELECT l_partkey - 3 AS idx, CASE WHEN l_quantity <> 7 THEN l_quantity END AS v FROM lineitem) GROUP BY 1) WHERE reason IS NOT NULL""",
+)
+def validate_vector_all(spark, sf):
+    return part_violations(spark, sf, read(spark, sf, "lineitem"))
+
+
+def part_violations(spark, sf, lines):
     rows = lines.select((F.col("l_partkey") - 3).alias("idx"), F.when(F.col("l_quantity") != 7, F.col("l_quantity")).alias("v"))
     size = read(spark, sf, "part").agg(F.max("p_partkey")).first()[0] - 10
     return vector_violations(rows, size)

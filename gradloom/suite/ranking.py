@@ -153,6 +153,18 @@ def link_violations(spark, sf):
     return K.link_violations(links["F"], links["O"])
 
 
+@case(
+    "link_violations_all",
+    """SELECT link_id, CASE WHEN pos > 1 THEN 'repeated positive' ELSE 'no positive' END AS reason FROM (
+    SELECT o_custkey AS link_id, count(*) FILTER (WHERE o_orderstatus = 'F') AS pos, count(*) FILTER (WHERE o_orderstatus <> 'F') AS neg
+    FROM orders GROUP BY 1) WHERE pos > 1 OR (pos = 0 AND neg > 0)""",
+)
+def link_violations_all(spark, sf):
+    """All orders: those that are not finished are the negatives."""
+    orders = spark.read.parquet(f"{sf}/orders.parquet").withColumnRenamed("o_custkey", "link_id")
+    return K.link_violations(orders.filter("o_orderstatus = 'F'"), orders.filter("o_orderstatus <> 'F'"))
+
+
 CTES["cand"] = """SELECT DISTINCT o_custkey % 20 AS cust, substr(o_orderpriority, 1, 1)::BIGINT AS prio, l_partkey AS item
   FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderkey % 3 = 0 AND l_quantity > 25"""
 CTES["cand_fea"] = """SELECT cust, prio, item, item AS fea, 1.0::DOUBLE AS x FROM cand
@@ -163,17 +175,38 @@ CTES["cand_score"] = """SELECT cust, prio, item, 0.5::DOUBLE * sum(s * s - q) AS
   GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3"""
 
 
-@case(
-    "gen_ranked_positives",
-    f"""SELECT cust, prio, item, {R('score')} AS score, rank::INTEGER AS rank FROM (
-    SELECT *, row_number() OVER (PARTITION BY cust, prio ORDER BY round(score, 9) DESC, item) AS rank FROM cand_score) WHERE rank <= 5""",
-)
+CTES["every_cand"] = """SELECT DISTINCT o_custkey % 20 AS cust, substr(o_orderpriority, 1, 1)::BIGINT AS prio, l_partkey AS item
+  FROM orders JOIN lineitem ON l_orderkey = o_orderkey"""
+CTES["every_fea"] = """SELECT cust, prio, item, item AS fea, 1.0::DOUBLE AS x FROM every_cand
+  UNION ALL SELECT cust, prio, item, parts + cust, 0.5::DOUBLE FROM every_cand, dims
+  UNION ALL SELECT cust, prio, item, parts + 20 + prio, 1.0::DOUBLE FROM every_cand, dims"""
+CTES["every_score"] = """SELECT cust, prio, item, 0.5::DOUBLE * sum(s * s - q) AS score FROM (
+  SELECT cust, prio, item, k, sum(x * v) AS s, sum(x * x * v * v) AS q FROM every_fea JOIN rank_v ON fea = idx
+  GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3"""
+
+
+def _five_best(scores):
+    return f"""SELECT cust, prio, item, {R('score')} AS score, rank::INTEGER AS rank FROM (
+    SELECT *, row_number() OVER (PARTITION BY cust, prio ORDER BY round(score, 9) DESC, item) AS rank FROM {scores}) WHERE rank <= 5"""
+
+
+@case("gen_ranked_positives", _five_best("cand_score"))
 def gen_ranked_positives(spark, sf):
+    """The five best-scored items of every (customer group, priority) context, from a part of the orders."""
+    return five_best(spark, sf, F.col("o_orderkey") % 3 == 0, F.col("l_quantity") > 25)
+
+
+@case("gen_ranked_positives_all", _five_best("every_score"))
+def gen_ranked_positives_all(spark, sf):
     """The five best-scored items of every (customer group, priority) context."""
+    return five_best(spark, sf, F.lit(True), F.lit(True))
+
+
+def five_best(spark, sf, of_orders, of_lines):
     parts = rows_of(spark, sf, "part")
     orders = spark.read.parquet(f"{sf}/orders.parquet")
     lines = spark.read.parquet(f"{sf}/lineitem.parquet")
-    cand = orders.filter(F.col("o_orderkey") % 3 == 0).join(lines.filter(F.col("l_quantity") > 25), F.col("l_orderkey") == F.col("o_orderkey"))
+    cand = orders.filter(of_orders).join(lines.filter(of_lines), F.col("l_orderkey") == F.col("o_orderkey"))
     cand = cand.select((F.col("o_custkey") % 20).alias("cust"), F.substring("o_orderpriority", 1, 1).cast("bigint").alias("prio"), F.col("l_partkey").alias("item")).distinct()
     keyed = cand.withColumns({"link_id": F.col("cust") * 10 + F.col("prio"), "iter": F.lit(-1), "i": F.col("item")})
     score = score_fm(rank_features(parts)(keyed), rank_v(spark, sf), FACTORS, K.RANK_KEYS, parts + 26)

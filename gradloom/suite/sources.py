@@ -87,9 +87,22 @@ def vec_from_array(spark, sf):
     SELECT l_partkey, sum(l_quantity) / 50.0::DOUBLE AS v FROM lineitem WHERE l_quantity > 45 GROUP BY 1) ON l_partkey = p_partkey""",
 )
 def vec_from_rows(spark, sf):
-    lines = read(spark, sf, "lineitem").filter("l_quantity > 45")
+    return quantities(spark, sf, read(spark, sf, "lineitem").filter("l_quantity > 45"))
+
+
+@case(
+    "vec_from_rows_all",
+    f"""SELECT idx, {R('coalesce(v, 0)')} AS v FROM (SELECT unnest(range(2 * count(*))) AS idx FROM part) LEFT JOIN (
+    SELECT l_partkey, sum(l_quantity) / 50.0::DOUBLE AS v FROM lineitem GROUP BY 1) ON l_partkey = idx""",
+)
+def vec_from_rows_all(spark, sf):
+    """All lines; the second half of the vector has no rows and is 0."""
+    return quantities(spark, sf, read(spark, sf, "lineitem"), 2)
+
+
+def quantities(spark, sf, lines, times=1):
     rows = lines.select(F.col("l_partkey").alias("idx"), (F.col("l_quantity") / 50.0).alias("v"))
-    return B.vector_from_rows(spark, rows, rows_of(spark, sf, "part"), on_repeat="sum").select("idx", rnd("v").alias("v"))
+    return B.vector_from_rows(spark, rows, times * rows_of(spark, sf, "part"), on_repeat="sum").select("idx", rnd("v").alias("v"))
 
 
 def _mat_sql(idx, k):
