@@ -29,16 +29,30 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return done.withColumn("n_chars", length.cast("long")).select(*docs.columns)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """The documents with a number each, ``__row``, in the order of their ids; null ids come last."""
+    order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text")]
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = docs.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    # Written once: the numbers must be the same wherever they are read.
+    return cut(rows.withColumn("__row", F.monotonically_increasing_id()))
+
+
 def join_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one whose id is the smallest.  Documents without words stay."""
-    groups = jaccard.join(docs, new_folder(spark, "jaccard"))
+    """One document of each group of near copies: the one whose id is the smallest.  Documents without words stay.
+
+    Rows are told apart by number, not id: of repeated rows one stays, other texts of an id and
+    rows with a null id are documents of their own.
+    """
+    rows = numbered(docs)
+    groups = jaccard.join(rows.select(F.col("__row").alias("doc_id"), "text"), new_folder(spark, "jaccard"))
     others = groups.where((F.col("n_shingles") > 0) & (F.col("component_id") != F.col("doc_id"))).select(F.col("doc_id").alias("__copy")).distinct()
-    return docs.join(checked(cut(others)), F.col("doc_id") == F.col("__copy"), "left_anti").select(*docs.columns)
+    return rows.join(checked(cut(others)), F.col("__row") == F.col("__copy"), "left_anti").select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark item."""
-    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(*docs.columns)
+    """Documents without a benchmark item; each row goes or stays by its own text, also where its id is null or repeated."""
+    return decontaminate.clean(numbered(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), key="__row").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -53,3 +53,19 @@ def test_stages(spark, tmp_path):
             want = con.sql(Q.OP8_SQL).select(*names).fetchall()
             assert sorted(tuple(r) for r in done.select(*names).collect()) == sorted(want)
         docs, before = done, after
+
+
+def test_repeated_and_null_ids(spark, tmp_path):
+    """Stages 3 and 4 decide on rows: of repeated rows one stays, and an id's other texts are not touched."""
+    one = "the small boat left the harbour at dawn and came back with a net full of silver fish"
+    two = "nobody in the village remembered who had built the tower on top of the northern hill"
+    leak = "how many apples are left in the basket when the two children have eaten half of them"
+    rows = [(1, one), (1, one), (2, one), (2, two), (None, one), (None, two), (3, leak), (3, "a clean text"), (None, leak), (None, "another clean text")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    spark.createDataFrame([(1, leak)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    order = lambda rows: sorted(rows, key=repr)
+    done = P.join_near_copies(spark, docs, str(tmp_path))
+    want = [(1, one), (2, two), (3, leak), (3, "a clean text"), (None, "another clean text")]
+    assert order(map(tuple, done.collect())) == order(want)
+    done = P.drop_contaminated(spark, docs, str(tmp_path))
+    assert order(map(tuple, done.collect())) == order(r for r in rows if r[1] != leak)
