@@ -29,15 +29,16 @@ def vector_from_rows(spark: SparkSession, rows: DataFrame, dim: int, on_repeat:
     return dense.select("idx", F.coalesce("v", F.lit(0.0)).alias("v"))
 
 
-def matrix_from_array(rows: DataFrame, array: str = "m", row_major: bool = True) -> DataFrame:
+def matrix_from_array(rows: DataFrame, array: str = "m", row_major: bool = True, offset: str | None = None) -> DataFrame:
     """Entries of nested arrays: an array of rows, or an array of columns.
 
-    A stored matrix has ``row_dim`` rows k and ``dim`` columns idx.
+    With ``offset``, arrays are blocks of columns starting there.  A stored matrix has ``row_dim`` rows k and ``dim`` columns idx.
     """
     outer, inner = ("k", "idx") if row_major else ("idx", "k")
-    lines = rows.select(F.posexplode(array).alias(outer, "line"))
-    cells = lines.select(outer, F.posexplode("line").alias(inner, "v"))
-    return cells.select(F.col("idx").cast("bigint").alias("idx"), F.col("k").cast("int").alias("k"), F.col("v").cast("double").alias("v"))
+    start = F.col(offset).cast("bigint") if offset else F.lit(0).cast("bigint")
+    lines = rows.select(start.alias("start"), F.posexplode(array).alias(outer, "line"))
+    cells = lines.select("start", outer, F.posexplode("line").alias(inner, "v"))
+    return cells.select((F.col("start") + F.col("idx")).alias("idx"), F.col("k").cast("int").alias("k"), F.col("v").cast("double").alias("v"))
 
 
 def matrix_from_rows(spark: SparkSession, rows: DataFrame, dim: int, row_dim: int) -> DataFrame:

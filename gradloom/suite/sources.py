@@ -113,19 +113,15 @@ def _mat_sql(idx, k):
 def mat_from_array(spark, sf):
     """Column-major: every embedding is one column of the matrix."""
     rows = read(spark, sf, "embeddings").select("vec_id", F.array("embedding").alias("m"))
-    cells = rows.select("vec_id", F.explode("m").alias("line"))
-    out = cells.select(F.col("vec_id").alias("idx"), F.posexplode("line").alias("k", "v"))
-    return out.select("idx", "k", rnd(F.col("v").cast("double")).alias("v"))
+    return B.matrix_from_array(rows, row_major=False, offset="vec_id").select("idx", "k", rnd("v").alias("v"))
 
 
 @case("mat_from_nested_array", f"SELECT ex_id * 4 + i AS idx, k::INTEGER AS k, {R('e')} AS v FROM (SELECT vec_id AS ex_id, i, k, embedding[k * 4 + i + 1] AS e FROM embeddings, range(4) a(i), range(16) b(k))")
 def mat_from_nested_array(spark, sf):
     """Row-major nested arrays: 16 rows of 4 columns per embedding, side by side."""
     rows = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda k: F.slice("embedding", k * 4 + 1, 4))
-    nested = read(spark, sf, "embeddings").select("vec_id", rows.alias("m"))
-    lines = nested.select("vec_id", F.posexplode("m").alias("k", "line"))
-    cells = lines.select("vec_id", "k", F.posexplode("line").alias("i", "v"))
-    return cells.select((F.col("vec_id") * 4 + F.col("i")).alias("idx"), "k", rnd(F.col("v").cast("double")).alias("v"))
+    nested = read(spark, sf, "embeddings").select((F.col("vec_id") * 4).alias("start"), rows.alias("m"))
+    return B.matrix_from_array(nested, offset="start").select("idx", "k", rnd("v").alias("v"))
 
 
 @case("mat_from_rows", _mat_sql("vec_id", "pos::INTEGER") + " UNION ALL SELECT (SELECT count(*) FROM embeddings) AS idx, k::INTEGER, 0.0::DOUBLE FROM range(64) t(k)")
