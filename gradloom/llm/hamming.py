@@ -34,9 +34,10 @@ SPLITS = 16
 
 
 def sign_code(vector: Column) -> Column:
-    """Bit i is set when element i (of the first 64) is above 0; null for a null vector."""
-    bits = F.transform(F.slice(vector, 1, BITS), lambda x, i: F.when(x > 0, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
-    return F.when(vector.isNotNull(), F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b)))
+    """Bit i is set when element i is above 0; null for a null vector.  A vector of more than 64 elements fails the query."""
+    bits = F.transform(vector, lambda x, i: F.when(x > 0, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
+    long = F.raise_error(F.concat(F.lit(f"vector of more than {BITS} elements: "), F.size(vector).cast("string"))).cast("long")
+    return F.when(F.size(vector) > BITS, long).when(vector.isNotNull(), F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b)))
 
 
 def _spans(segments: int) -> list[tuple[int, int]]:

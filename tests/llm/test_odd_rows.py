@@ -67,3 +67,12 @@ def test_mix(docs):
     assert len(got) == 6 and all(0 <= r["taken"] <= 3 * r["size"] for r in got)
     assert sorted((r["doc_id"] or 0, r["size"], r["source_size"]) for r in got) == [(0, 1, 13), (1, 0, 0), (2, 0, 0), (3, 120_000, 120_000), (4, 6, 13), (4, 6, 13)]
     assert curriculum.mix(docs.limit(0), (5, 2, 1)).count() == 0
+
+
+def test_long_vectors_are_refused(spark):
+    rows = spark.createDataFrame([(1, [1.0] * 64), (2, [-1.0, 1.0]), (3, None)], "id long, v array<double>")
+    code = hamming.sign_code(rows["v"]).alias("code")
+    assert {r["id"]: r["code"] for r in rows.select("id", code).collect()} == {1: -1, 2: 2, 3: None}
+    longer = spark.createDataFrame([(1, [1.0] * 65)], "id long, v array<double>")
+    with pytest.raises(Exception, match="more than 64 elements: 65"):
+        longer.select(hamming.sign_code(longer["v"])).collect()
