@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from gradloom.plans.lineage import cut
 
-#: The plan of the mix, one row per source, goes through the driver.
+#: The plan of the mix, one row per source, goes through the driver; for more sources it is a table.
 MOST_SOURCES = 100_000
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -63,6 +63,42 @@ def tilted(shares: Sequence[float], tilt: float) -> list[tuple[float, float]]:
     return [(s * (1 - tilt * x / scale), s * (1 + tilt * x / scale)) for s, x in zip(shares, lean, strict=True)]
 
 
+def _with_sums_before(table: DataFrame, order: Sequence[Column], sums: dict[str, Column]) -> DataFrame:
+    """The table with sums over all rows that stand before each one in a total order, in two levels."""
+    parts = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Written once: its partition numbers must be the same for both readers below.
+    rows = cut(table.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("__block", F.spark_partition_id()))
+    blocks = rows.groupBy("__block").agg(*[F.sum(x).alias(name) for name, x in sums.items()])
+    earlier = Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)  # a row per partition
+    blocks = blocks.select("__block", *[F.coalesce(F.sum(name).over(earlier), F.lit(0)).alias(f"__{name}") for name in sums])
+    inside = Window.partitionBy("__block").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumns({name: F.coalesce(F.sum(x).over(inside), F.lit(0)) for name, x in sums.items()}).join(F.broadcast(blocks), "__block")
+    return rows.withColumns({name: F.col(name) + F.col(f"__{name}") for name in sums}).drop("__block", *[f"__{name}" for name in sums])
+
+
+def plan_table(totals: DataFrame, weights: Sequence[float], most: float, tilt: float) -> DataFrame:
+    """``targets`` and ``tilted`` for any number of sources: __source, source_size, target, w0, w1 of the rows __source, n.
+
+    A source is full when its ratio of ``most`` times its size to its weight is below that of the first
+    source, in the order of ratios, that can take its share of what the sources before it leave.
+    """
+    by_name = F.col("__source").asc_nulls_last()
+    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.col("rank") % len(weights) + 1).cast("int"))
+    rows = _with_sums_before(totals, [by_name], {"rank": F.lit(1)}).withColumn("w", w).withColumn("room", most * F.col("n"))
+    rows = rows.withColumn("ratio", F.coalesce(F.try_divide("room", "w"), F.lit(float("inf"))))
+    rows = cut(_with_sums_before(rows, [F.col("ratio"), by_name], {"below": F.col("room"), "used": F.col("w")}))
+    total, shared = rows.agg(F.sum("n"), F.sum("w")).first()
+    left, share = F.lit(float(total)) - F.col("below"), F.lit(shared) - F.col("used")
+    level = F.coalesce(F.try_divide(left, share), F.lit(0.0))
+    first = rows.where(F.col("room") >= level * F.col("w")).orderBy("ratio", by_name).select("ratio", F.when(F.col("w") > 0, level).otherwise(0.0)).first()
+    bound, level = first or (float("inf"), 0.0)
+    rows = rows.withColumn("target", F.when(F.col("ratio") < bound, F.col("room")).otherwise(level * F.col("w")))
+    rows = rows.withColumn("share", F.col("target") / (rows.agg(F.sum("target")).first()[0] or 1.0))
+    mean, low, high = rows.agg(F.sum(F.col("share") * F.col("share")), F.min("share"), F.max("share")).first()
+    lean = tilt * (F.col("share") - mean) / (max(abs(low - mean), abs(high - mean)) or 1.0)
+    return rows.select("__source", F.col("n").alias("source_size"), "target", (F.col("share") * (1 - lean)).alias("w0"), (F.col("share") * (1 + lean)).alias("w1"))
+
+
 def due(part: Column, start: Column, end: Column) -> Column:
     """Time by which ``part`` of a source's demand is met, under a straight schedule from ``start`` to ``end``."""
     # integral a*t + (b-a)*t^2/2 = part*(a+b)/2; the stable root, for a = b too
@@ -81,7 +117,7 @@ def place(
 ) -> DataFrame:
     """One row per document: key, __source, size, source_size, target, begin (words before it), start and end weights.
 
-    Sources, not documents, are collected to the driver: one row each, ``MOST_SOURCES`` at most.
+    Sources, not documents, are collected to the driver: one row each, ``MOST_SOURCES`` at most; more stay a table.
     """
     spark = docs.sparkSession
     rows = docs.select(
@@ -95,17 +131,19 @@ def place(
     # Written once: its partition numbers must be the same for both readers below.
     placed = cut(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()))
     sums = placed.groupBy("__source", "__part").agg(F.sum("size").alias("__sum"))
-    by_source = sums.groupBy("__source").agg(F.sum("__sum").alias("n")).limit(MOST_SOURCES + 1).collect()
+    totals = sums.groupBy("__source").agg(F.sum("__sum").alias("n"))
+    by_source = totals.limit(MOST_SOURCES + 1).collect()
     if len(by_source) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
-    by_source = sorted(by_source, key=lambda r: (r[0] is None, (r[0] or "").encode("utf-32-be", "surrogatepass")))
-    want = targets([(r[0], r["n"]) for r in by_source], weights, most)
-    total = sum(want) or 1.0
-    plan = [(r[0], r["n"], t, a, b) for r, t, (a, b) in zip(by_source, want, tilted([t / total for t in want], tilt), strict=True)]
-    plan = spark.createDataFrame(plan, "__source string, source_size bigint, target double, w0 double, w1 double")
+        plan = plan_table(totals, weights, most, tilt)
+    else:
+        by_source = sorted(by_source, key=lambda r: (r[0] is None, (r[0] or "").encode("utf-32-be", "surrogatepass")))
+        want = targets([(r[0], r["n"]) for r in by_source], weights, most)
+        total = sum(want) or 1.0
+        plan = [(r[0], r["n"], t, a, b) for r, t, (a, b) in zip(by_source, want, tilted([t / total for t in want], tilt), strict=True)]
+        plan = F.broadcast(spark.createDataFrame(plan, "__source string, source_size bigint, target double, w0 double, w1 double"))
     earlier = Window.partitionBy("__source").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("__source", "__part", F.coalesce(F.sum("__sum").over(earlier), F.lit(0)).alias("__before"))
-    starts = sums.alias("s").join(F.broadcast(plan.alias("p")), F.col("p.__source").eqNullSafe(F.col("s.__source"))).drop(F.col("p.__source"))
+    starts = sums.alias("s").join(plan.alias("p"), F.col("p.__source").eqNullSafe(F.col("s.__source"))).drop(F.col("p.__source"))
     # Its groups lie within one partition each, so none is larger than that.
     inside = Window.partitionBy("__source", "__part").orderBy(*order[1:]).rowsBetween(Window.unboundedPreceding, -1)
     placed = placed.withColumn("__inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))

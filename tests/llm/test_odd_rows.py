@@ -76,3 +76,20 @@ def test_long_vectors_are_refused(spark):
     longer = spark.createDataFrame([(1, [1.0] * 65)], "id long, v array<double>")
     with pytest.raises(Exception, match="more than 64 elements: 65"):
         longer.select(hamming.sign_code(longer["v"])).collect()
+
+
+@pytest.mark.parametrize("weights, most", [((5, 2, 1), 3.0), ((1, 4, 40), 1.5), ((3, 1), 0.5)])
+def test_more_sources_than_the_driver_holds(spark, monkeypatch, weights, most):
+    sizes = {None: 9, "a": 1, "b": 300, "c": 0, "é": 40, "z": 2, "\U0001f600": 7, "\uffee": 5}
+    rows = [(i, s, "w " * n) for i, (s, n) in enumerate(sizes.items())]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+
+    def mixed():
+        return {r["doc_id"]: [-1.0 if x is None else x for x in tuple(r)[2:]] for r in curriculum.mix(docs, weights, most).collect()}
+
+    want = mixed()
+    monkeypatch.setattr(curriculum, "MOST_SOURCES", 3)
+    got = mixed()
+    assert got.keys() == want.keys()
+    for i in want:
+        assert got[i] == pytest.approx(want[i], rel=1e-9)
