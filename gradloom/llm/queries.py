@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradloom.llm import curriculum, decontaminate, hamming, jaccard, langid, linededup, ngram, pii, quality, warc
+from gradloom.llm import curriculum, decontaminate, hamming, jaccard, langid, linededup, ngram, pii, prefixes, quality, ranking, warc, whitening
 from gradloom.llm.storage import new_folder
 from gradloom.llm.tokens import remainder
 
@@ -53,7 +53,8 @@ def op3_lines(spark: SparkSession, sf: str) -> DataFrame:
 #: Lines that go, by document id and line number, for documents of the table d.
 LINE_CTES = r"""
 l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM d),
-w AS (SELECT *, list_distinct(regexp_extract_all(lower(line), '[^ 	-]+')) AS ws, (doc_id, pos) AS id FROM l),
+w AS (SELECT *, list_distinct(regexp_extract_all(lower(line), '[^ 	-
+]+')) AS ws, (doc_id, pos) AS id FROM l),
 u AS (SELECT min(id) AS id, any_value(ws) AS ws FROM w WHERE len(ws) > 0 GROUP BY lower(line)),
 f AS (SELECT x, count(*) AS c FROM (SELECT unnest(ws) AS x FROM u) GROUP BY x),
 p AS (SELECT * FROM (SELECT id, x, n, row_number() OVER (PARTITION BY id ORDER BY c, x) AS i
@@ -167,6 +168,47 @@ def op10_pii(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", *map(number, pii.KINDS), F.sha2(written("base"), 256).alias("base_sha256"), written("spans").alias("spans"))
 
 
+def op11_ranking(spark: SparkSession, sf: str) -> DataFrame:
+    """The ten best documents for every benchmark item."""
+    return ranking.rank(_read(spark, sf, "documents"), _read(spark, sf, "benchmark"), new_folder(spark, "ranking"))
+
+
+OP11_SQL = r"""
+WITH t AS (
+  SELECT d, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM (SELECT row_number() OVER () AS d, * FROM documents)),
+tf AS (SELECT d, doc_id, term, count(*)::BIGINT AS tf FROM t GROUP BY ALL),
+n AS (SELECT d, count(*)::BIGINT AS n FROM t GROUP BY d),
+s AS (SELECT count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS n_terms FROM n),
+q AS (
+  SELECT DISTINCT item_id,
+    unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark),
+w AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM tf, s WHERE term IN (SELECT term FROM q) GROUP BY term, n_docs),
+r AS (
+  SELECT item_id, d, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * n_docs) // n_terms))))::BIGINT AS score
+  FROM q JOIN w USING (term) JOIN tf USING (term) JOIN n USING (d), s GROUP BY item_id, d, doc_id)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM r WHERE score > 0) WHERE rank <= 10
+"""
+
+
+def op12_prefixes(spark: SparkSession, sf: str) -> DataFrame:
+    """Bytes and tokens of every document, from the stored counts of all its prefixes."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
+        table = prefixes.store(_read(spark, sf, "documents"), file.read(), new_folder(spark, "prefixes"))
+    return table.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
+
+
+def op13_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    """Whitened coordinates of every vector, fitted on the different vectors."""
+    rows = _read(spark, sf, "embeddings").where(whitening.whole("embedding"))
+    rows = rows.select("vec_id", whitening.scaled("embedding").alias("x"))
+    return whitening.whiten(rows, new_folder(spark, "whitening"), components=16)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram": op1_ngram,
     "op2_warc": op2_warc,
@@ -178,5 +220,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_curriculum": op8_curriculum,
     "op9_language": op9_language,
     "op10_pii": op10_pii,
+    "op11_ranking": op11_ranking,
+    "op12_prefixes": op12_prefixes,
+    "op13_whitening": op13_whitening,
 }
-SQL: dict[str, str] = {"op2_warc": OP2_SQL, "op3_lines": OP3_SQL, "op4_nearest": OP4_SQL, "op8_curriculum": OP8_SQL}
+SQL: dict[str, str] = {"op2_warc": OP2_SQL, "op3_lines": OP3_SQL, "op4_nearest": OP4_SQL, "op8_curriculum": OP8_SQL, "op11_ranking": OP11_SQL}

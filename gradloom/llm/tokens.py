@@ -69,9 +69,9 @@ def slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, np.
         row = past
 
 
-def words(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First byte, end and text number of every word."""
-    solid = _SOLID[data]
+def words(data: np.ndarray, starts: np.ndarray, of: np.ndarray = _SOLID) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First byte, end and text number of every word, a run of the bytes that ``of`` marks."""
+    solid = of[data]
     if not len(data):
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
     edge = np.zeros(len(data) + 1, bool)
