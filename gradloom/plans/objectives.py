@@ -8,8 +8,10 @@ one aggregate without a join.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
+import numpy as np
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -388,13 +390,19 @@ def fm_pair_ranking(positives, dim, row_dim, sample, featurize) -> PairRanking:
 
 
 class TransportDual(Objective):
-    """Negative entropic dual of optimal transport, to be minimized over ``side, idx, v``."""
+    """Negative entropic dual of optimal transport, to be minimized over ``side, idx, v``.
+
+    With ``log`` its entropy term is ``eps`` times the logarithm of the total mass (plus 1 at the
+    optimum, where both forms have the same potentials up to a constant): its gradient compares
+    shares of the mass, which stay meaningful where the mass itself is 0 or infinite in doubles,
+    as it is far from the optimum for small ``eps``.
+    """
 
     keys = ("side", "idx")
     placement = ("side", "idx")
 
-    def __init__(self, pair: T.PointPair, eps: float):
-        self.pair, self.eps = pair, eps
+    def __init__(self, pair: T.PointPair, eps: float, log: bool = False):
+        self.pair, self.eps, self.log = pair, eps, log
         self._cached: list[DataFrame] = []
 
     def zero_potentials(self) -> DataFrame:
@@ -402,19 +410,29 @@ class TransportDual(Objective):
         v = self.pair.y.select(F.lit("v").alias("side"), F.col("id").alias("idx"))
         return u.unionByName(v).withColumn("v", F.lit(0.0))
 
-    def _means(self, table: DataFrame, cols: Sequence[str]) -> list[float]:
-        share = F.when(F.col("side") == "u", F.lit(1.0 / self.pair.n)).otherwise(F.lit(1.0 / self.pair.m))
-        row = table.agg(*[F.sum(F.col(c) * share).alias(c) for c in cols]).first()
-        return [row[c] or 0.0 for c in cols]
+    def share(self) -> Column:
+        return F.when(F.col("side") == "u", F.lit(1.0 / self.pair.n)).otherwise(F.lit(1.0 / self.pair.m))
+
+    def entropy(self, total: float) -> float:
+        """The entropy term from the logarithm of the total mass."""
+        if self.log:
+            return self.eps * total
+        return self.eps * (math.exp(total) if total < 709 else math.inf)
+
+    def gradient(self, sums: DataFrame, total: float) -> DataFrame:
+        mass = F.exp(F.col("lse") - F.lit(total if self.log else 0.0))
+        return sums.select("side", "idx", (mass - self.share()).alias("g"))
 
     def value_grad(self, x):
-        mass = T.ot_mass(self.pair, x.withColumnRenamed("v", "p"), self.eps).persist(StorageLevel.MEMORY_AND_DISK)
-        self._cached.append(mass)
-        entropy = T.ot_entropy_value(mass, self.eps).first()["value"]
-        value = -self._means(x, ["v"])[0] - entropy
-        share = F.when(F.col("side") == "u", F.lit(1.0 / self.pair.n)).otherwise(F.lit(1.0 / self.pair.m))
-        grad = x.select("side", "idx").join(mass, ["side", "idx"], "left")
-        return value, grad.select("side", "idx", (F.coalesce("mass", F.lit(0.0)) - share).alias("g"))
+        sums = T.ot_log_sums(self.pair, x.withColumnRenamed("v", "p"), self.eps).persist(StorageLevel.MEMORY_AND_DISK)
+        self._cached.append(sums)
+        bucket, e = T.in_bucket("lse")
+        ours = F.col("side") == "u"
+        rows = sums.groupBy(bucket.alias("bucket")).agg(F.sum(F.when(ours, e)).alias("e"), F.sum(F.col("x") * self.share()).alias("mean")).collect()
+        total = T.log_total(rows)
+        value = self.entropy(total) - sum(r["mean"] or 0.0 for r in rows)
+        grad = x.select("side", "idx").join(self.gradient(sums, total), ["side", "idx"], "left")
+        return value, grad.select("side", "idx", F.coalesce("g", -self.share()).alias("g"))
 
     def line(self, xd):
         return TransportLine(self, xd)
@@ -426,26 +444,54 @@ class TransportDual(Objective):
 
 
 class TransportLine:
-    """One pass over the tiles per group of steps."""
+    """One pass over the tiles for a group of steps; the first step's gradient comes with it.
+
+    The pass leaves that step's sum at every point, which is the gradient, and the slope is its
+    product with the direction.  So a step that is taken at once costs no other pass.
+    """
 
     def __init__(self, dual: TransportDual, xd: DataFrame):
         self.dual, self.xd = dual, xd
-        self.mean, self.mean_slope = dual._means(xd, ["x", "d"])
+        self._at: tuple[float, DataFrame, float] | None = None
 
     def probe(self, alphas):
-        rows = T.ot_probe(self.dual.pair, self.xd, self.dual.eps, alphas, "x", "d").collect()
-        eps = self.dual.eps
-        by_step = {r["n"]: r for r in rows}
-        return [
-            (-self.mean - a * self.mean_slope + eps * by_step[n]["e"], -self.mean_slope + eps * by_step[n]["de"])
-            for n, a in enumerate(alphas)
-        ]
+        dual, alphas = self.dual, [float(a) for a in alphas]
+        self.close()
+        sums = T.ot_log_sums(dual.pair, self.xd, dual.eps, "x", "d", alphas).persist(StorageLevel.MEMORY_AND_DISK)
+        bucket, e = T.in_bucket("lse")
+        counted = F.col("side").isNull() | (F.col("side") == "u")
+        slope = F.when(F.col("side").isNull(), F.col("ds") * dual.eps).otherwise(F.col("d")) * e
+        rows = sums.groupBy("n", bucket.alias("bucket")).agg(
+            F.sum(F.when(counted, e)).alias("e"),
+            F.sum(slope).alias("slope"),
+            F.sum(F.col("x") * dual.share()).alias("mean"),
+            F.sum(F.col("d") * dual.share()).alias("rise"),
+        ).collect()
+        # Only step 0 has rows of points, and with them the means.
+        mean, rise = (sum(r[c] or 0.0 for r in rows if r["n"] == 0) for c in ("mean", "rise"))
+        out = []
+        for n, a in enumerate(alphas):
+            mine = [r for r in rows if r["n"] == n]
+            total = T.log_total(mine)
+            if n == 0:
+                self._at = a, sums, total
+            base = total if dual.log else 0.0
+            with np.errstate(over="ignore", invalid="ignore"):
+                # A value of inf rejects the step, whatever its slope is then.
+                slope = sum(float(r["slope"] * np.exp(T.WIDTH * r["bucket"] - base)) for r in mine if r["slope"])
+            out.append((dual.entropy(total) - mean - a * rise, slope - rise))
+        return out
 
     def finish(self, alpha):
-        return None
+        if self._at is None or self._at[0] != alpha:
+            return None
+        _, sums, total = self._at
+        return self.dual.gradient(sums.where("n = 0"), total)
 
     def close(self):
-        """Nothing is cached."""
+        if self._at is not None:
+            self._at[1].unpersist()
+        self._at = None
 
 
 class L2Penalty(Objective):

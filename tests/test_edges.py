@@ -197,6 +197,78 @@ def test_transport_with_gaps_in_the_ids(spark):
         T.PointPair.of(points[0], points[1].limit(0))
 
 
+def points_and_potentials(spark, n=15, m=10, seed=4):
+    rng = np.random.default_rng(seed)
+    a, b, u, v = rng.random((n, 3)), rng.random((m, 3)), rng.random(n) / 5, rng.random(m) / 5
+    points = [spark.createDataFrame([(i, [float(z) for z in p]) for i, p in enumerate(pts)], "id bigint, p array<double>") for pts in (a, b)]
+    cost = 0.5 * ((a[:, None] - b[None]) ** 2).sum(2)
+    rows = [("u", i, float(z)) for i, z in enumerate(u)] + [("v", i, float(z)) for i, z in enumerate(v)]
+    return points, cost, u, v, spark.createDataFrame(rows, "side string, idx bigint, v double")
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_tiles_stay_where_they_are(spark, monkeypatch, broadcast):
+    points, cost, u, v, x = points_and_potentials(spark)
+    if not broadcast:
+        monkeypatch.setattr("gradloom.plans.joins.BROADCAST_ROWS", 0)
+    pair = T.PointPair.of(*points, block=4)
+    pair.tiles.count()
+    plan = T.with_potentials(pair, x.withColumnRenamed("v", "p"), ["p"])._jdf.queryExecution().executedPlan().toString()
+    # Coordinates occur in the kept store, and in no exchange above it.
+    above = plan.split("InMemoryRelation")[0] + "".join(part.split("Initial Plan")[-1] for part in plan.split("InMemoryRelation")[2:])
+    assert "InMemoryTableScan" in plan and all("xp" not in line for line in above.splitlines() if "Exchange" in line)
+    mass = {(r["side"], r["idx"]): r["mass"] for r in T.ot_mass(pair, x.withColumnRenamed("v", "p"), 0.1).collect()}
+    e = np.exp((u[:, None] + v[None] - cost) / 0.1) / cost.size
+    want = {("u", i): z for i, z in enumerate(e.sum(1))} | {("v", j): z for j, z in enumerate(e.sum(0))}
+    assert mass == pytest.approx(want, rel=1e-12)
+    pair.close()
+
+
+def test_taken_step_costs_no_other_pass(spark):
+    points, cost, u, v, x = points_and_potentials(spark)
+    for log in (False, True):
+        dual = O.TransportDual(T.PointPair.of(*points, block=6), 0.1, log=log)
+        xd = x.withColumnRenamed("v", "x").withColumn("d", F.sin("idx"))
+        line = dual.line(xd)
+        (value, slope), (further, steeper) = line.probe([0.5, 1.0])
+        at = lambda a: xd.select("side", "idx", (F.col("x") + a * F.col("d")).alias("v"))
+        want, grad = dual.value_grad(at(0.5))
+        assert value == pytest.approx(want, rel=1e-9) and further == pytest.approx(dual.value_grad(at(1.0))[0], rel=1e-9)
+        got = {(r["side"], r["idx"]): r["g"] for r in line.finish(0.5).collect()}
+        assert got == pytest.approx({(r["side"], r["idx"]): r["g"] for r in grad.collect()}, abs=1e-12)
+        assert line.finish(1.0) is None
+        for a, s in ((0.5, slope), (1.0, steeper)):
+            up, down = dual.value_grad(at(a + 1e-5))[0], dual.value_grad(at(a - 1e-5))[0]
+            assert s == pytest.approx((up - down) / 2e-5, rel=1e-4)
+        line.close()
+
+
+def test_transport_where_exponentials_leave_doubles(spark):
+    points, cost, *_ = points_and_potentials(spark)
+    eps = 2e-4
+    pair = T.PointPair.of(*points, block=7)
+    dual = O.TransportDual(pair, eps, log=True)
+    x = dual.zero_potentials()
+    x = x.withColumn("v", F.when(F.col("side") == "u", 0.7).otherwise(0.0))
+    value, grad = dual.value_grad(x)
+    z = (0.7 - cost) / eps
+    lse = z.max() + np.log(np.exp(z - z.max()).mean())
+    assert value == pytest.approx(eps * lse - 0.7)
+    share = np.exp(z - z.max() - np.log(np.exp(z - z.max()).sum())).sum(1)
+    got = {r["idx"]: r["g"] for r in grad.where("side = 'u'").collect()}
+    np.testing.assert_allclose([got[i] for i in range(15)], share - 1 / 15, atol=1e-12)
+    # Balancing gives one side its exact mass, from wherever the exponentials were.
+    balanced = T.ot_balance(pair, x.withColumnRenamed("v", "p"), eps, "v")
+    mass = {r["idx"]: r["mass"] for r in T.ot_mass(pair, balanced, eps).where("side = 'v'").collect()}
+    assert mass == pytest.approx({j: 0.1 for j in range(10)}, rel=1e-9)
+    # The fit in logarithms reaches both marginals.
+    dual = O.TransportDual(T.PointPair.of(*points), 0.02, log=True)
+    fit = M.LBFGS(5, search=Backtracking(wolfe=False, strong_wolfe=False), base_step=0.1, max_iter=30, tolerance=1e-9)
+    state = fit.minimize(dual, dual.zero_potentials())
+    total = state.gradient.agg(F.max(F.abs("g"))).first()[0]
+    assert total < 5e-3
+
+
 def test_near_points_far_from_the_origin():
     x = np.full((1, 64), 1e8)
     assert T.half_squared_distance(x, x + 0.5)[0, 0] == 8.0
