@@ -150,6 +150,19 @@ class BatchCycle:
     def release(self) -> None:
         self.holding = False
 
+    def cursor(self) -> dict:
+        """Position and hold, as a saved run keeps them."""
+        return {"position": self.position, "holding": self.holding, "num_batches": self.num_batches}
+
+    def restore(self, cursor: dict) -> None:
+        """Stand where the cursor was taken: its batch is the current one again, the next call gives its successor."""
+        if cursor["num_batches"] != self.num_batches:
+            raise ValueError(f"saved with {cursor['num_batches']} batches, resumed with {self.num_batches}")
+        self.free()
+        self.position, self.holding = cursor["position"], cursor["holding"]
+        if self.position >= 0:
+            self._current = Batch(*self.slice(self.position), self.position, self.keys)
+
     @contextmanager
     def held(self) -> Iterator["BatchCycle"]:
         """Hold for the length of a ``with`` block, also when a search fails."""

@@ -65,6 +65,13 @@ class Objective:
         """Whether the next evaluation sees the data the line was built on."""
         return True
 
+    def cursor(self):
+        """Where the objective is in its data, in plain numbers; None if that does not change."""
+        return None
+
+    def restore(self, cursor) -> None:
+        """Go to where ``cursor`` was taken."""
+
     def tidy(self) -> None:
         """Drop caches of finished evaluations."""
 
@@ -139,6 +146,12 @@ class BatchObjective(Objective):
     def release(self) -> None:
         self.cycle.release()
 
+    def cursor(self):
+        return self.cycle.cursor()
+
+    def restore(self, cursor) -> None:
+        self.cycle.restore(cursor)
+
     def line_starts_at_state(self) -> bool:
         return self.cycle.num_batches == 1 or self.cycle.policy == "hold"
 
@@ -568,6 +581,14 @@ class Combined(Objective):
     def same_data_next(self):
         return all(f.same_data_next() for _, f in self.parts)
 
+    def cursor(self):
+        return [f.cursor() for _, f in self.parts]
+
+    def restore(self, cursor):
+        for (_, f), c in zip(self.parts, cursor, strict=True):
+            if c is not None:
+                f.restore(c)
+
     def tidy(self):
         for _, f in self.parts:
             f.tidy()

@@ -33,6 +33,7 @@ from gradloom.plans.linesearch import (
     StrongWolfe,
 )
 from gradloom.plans.objectives import FullLine, Objective
+from gradloom.plans.runs import RunStore
 
 log = logging.getLogger(__name__)
 
@@ -173,10 +174,19 @@ class Minimizer:
             return MAX_ITERATIONS
         return GRADIENT_CONVERGED if grad_norm < self.tolerance else None
 
-    def minimize(self, objective: Objective, x0: DataFrame, resume: State | None = None) -> State:
-        """Run to a verdict and return the last state."""
+    def minimize(self, objective: Objective, x0: DataFrame, resume: State | None = None, store: RunStore | None = None, save_every: int = 1) -> State:
+        """Run to a verdict and return the last state.
+
+        With a store, go on from its last version if it has one, and commit every
+        ``save_every``-th state and the last.
+        """
         last, stale = None, []
+        if store is not None and resume is None:
+            resume = store.resume(objective)
+        begun = resume.iteration if resume is not None else 0
         for state in self.iterations(objective, x0, resume):
+            if store is not None and state.iteration > begun and (state.reason or state.iteration % save_every == 0):
+                store.save(state, objective)
             if last is not None:
                 stale.append(last.table)
                 if state.iteration > last.iteration:
@@ -222,8 +232,10 @@ class Minimizer:
         return State(table, keys, value, adjusted, math.sqrt(gram[-1, -1]), 0, adjusted, gram=gram)
 
     def _adopt(self, state: State, objective: Objective) -> State:
-        table = self._place(state.table, objective)
-        return replace(state, table=table, gram=gram_matrix(table, self.gram_columns(state.history)))
+        table, names = self._place(state.table, objective), self.gram_columns(state.history)
+        if state.gram is not None and len(state.gram) == len(names):
+            return replace(state, table=table)
+        return replace(state, table=table, gram=gram_matrix(table, names))
 
     def _advance(self, objective: Objective, state: State) -> State:
         direction = self.direction(state)

@@ -15,6 +15,7 @@ from gradloom.operators.batches import BatchCycle
 from gradloom.plans import objectives as O
 from gradloom.plans import optimizers as M
 from gradloom.plans.linesearch import Backtracking, Probes, StrongWolfe
+from gradloom.plans.runs import RunStore
 from gradloom.suite.base import CTES, R, abc, bias, case, dim, ex_bin, ex_reg, fea, rank_v, read, rnd, w0
 from gradloom.suite.ranking import ranking_model
 from gradloom.suite.sources import scratch
@@ -173,22 +174,28 @@ def l1_penalty_weighted(spark, sf):
 
 # --- whole runs with fixed steps, unrolled in SQL -------------------------------------
 
+BATCHES = 5
 CTES["tot"] = "SELECT sum(weight) AS tw FROM ex_reg"
 
 
-def _iterate(name: str, steps: int, start: str, nexts) -> None:
+def _iterate(name: str, steps: int, start: str, nexts, batch=None) -> None:
     """Define ``{name}_x0 .. {name}_x{steps}`` with gradient and value at every point.
 
     ``start`` gives the state columns of step 0 over w0; ``nexts(i)`` those of
-    step i+1 over the state with gradient ``{name}_g{i}``.
+    step i+1 over the state with gradient ``{name}_g{i}``.  ``batch(i)`` is the
+    number of the fifth of the examples that point i is evaluated on.
     """
     for i in range(steps + 1):
+        examples, tot = "ex_reg", "(SELECT tw FROM tot)"
+        if batch is not None:
+            examples, tot = f"{name}_b{i}", f"(SELECT sum(weight) FROM {name}_b{i})"
+            CTES[examples] = f"SELECT * FROM ex_reg WHERE ex_id % {BATCHES} = {batch(i) % BATCHES}"
         prior = f"{name}_g{i - 1}"
         CTES[f"{name}_x{i}"] = f"SELECT idx, {start} FROM w0" if i == 0 else f"SELECT idx, {nexts(i - 1)} FROM {prior}"
         CTES[f"{name}_e{i}"] = f"""SELECT e.ex_id, e.weight * (p - e.label) * (p - e.label) AS loss, 2 * e.weight * (p - e.label) AS ds
-          FROM ex_reg e JOIN (SELECT ex_id, sum(value * x) AS p FROM fea JOIN {name}_x{i} ON fea_id = idx GROUP BY 1) s ON s.ex_id = e.ex_id"""
-        CTES[f"{name}_f{i}"] = f"SELECT sum(loss) / (SELECT tw FROM tot) AS f FROM {name}_e{i}"
-        CTES[f"{name}_g{i}"] = f"""SELECT w.*, coalesce(q.g, 0.0::DOUBLE) / (SELECT tw FROM tot) AS g FROM {name}_x{i} w LEFT JOIN
+          FROM {examples} e JOIN (SELECT ex_id, sum(value * x) AS p FROM fea JOIN {name}_x{i} ON fea_id = idx GROUP BY 1) s ON s.ex_id = e.ex_id"""
+        CTES[f"{name}_f{i}"] = f"SELECT sum(loss) / {tot} AS f FROM {name}_e{i}"
+        CTES[f"{name}_g{i}"] = f"""SELECT w.*, coalesce(q.g, 0.0::DOUBLE) / {tot} AS g FROM {name}_x{i} w LEFT JOIN
           (SELECT fea_id, sum(value * ds) AS g FROM fea JOIN {name}_e{i} USING (ex_id) GROUP BY 1) q ON q.fea_id = w.idx"""
 
 
@@ -258,12 +265,12 @@ def _lb_next(i):
     return f"""x + 0.6 * (-(gam * (g - a0 * (g - go)) + (a0 - gam * (yg - a0 * yy) / sy) * (x - xo))) AS x, x AS xo, g AS go"""
 
 
-def _lb_chain():
-    _iterate("lbf", 3, "v AS x, 0.0::DOUBLE AS xo, 0.0::DOUBLE AS go", _lb_next)
-    for i in (1, 2):
-        CTES[f"lbf_k{i}"] = f"""SELECT sy, yy, yg, sg / sy AS a0, sy / yy AS gam FROM (SELECT sum((x - xo) * (g - go)) AS sy,
-          sum((g - go) * (g - go)) AS yy, sum((g - go) * g) AS yg, sum((x - xo) * g) AS sg FROM lbf_g{i})"""
-        CTES[f"lbf_x{i + 1}"] = f"SELECT idx, {_lb_next(i)} FROM lbf_g{i}, lbf_k{i}"
+def _lb_chain(name="lbf", steps=3, batch=None):
+    _iterate(name, steps, "v AS x, 0.0::DOUBLE AS xo, 0.0::DOUBLE AS go", _lb_next, batch)
+    for i in range(1, steps):
+        CTES[f"{name}_k{i}"] = f"""SELECT sy, yy, yg, sg / sy AS a0, sy / yy AS gam FROM (SELECT sum((x - xo) * (g - go)) AS sy,
+          sum((g - go) * (g - go)) AS yy, sum((g - go) * g) AS yg, sum((x - xo) * g) AS sg FROM {name}_g{i})"""
+        CTES[f"{name}_x{i + 1}"] = f"SELECT idx, {_lb_next(i)} FROM {name}_g{i}, {name}_k{i}"
 
 
 _lb_chain()
@@ -488,3 +495,60 @@ def state_save_resume(spark, sf):
     second = M.GradientDescent(0.2, 0.5, 0.5, max_iter=3, lower_fun_tolerance=1e9)
     state = second.minimize(regression(spark, sf), w0(spark, sf), resume=loaded)
     return state.table.select("idx", rnd("x").alias("x"), rnd(F.lit(state.value)).alias("value"))
+
+
+# --- runs over five batches ----------------------------------------------------------
+
+
+def batched(spark, sf, policy="hold"):
+    number = (F.col("ex_id") % BATCHES).alias("batch_id")
+    return O.linear_l2(BatchCycle(ex_reg(spark, sf).select("*", number), fea(spark, sf).select("*", number), BATCHES, policy), dim(spark, sf))
+
+
+def _batched_run(spark, sf, method, policy="hold"):
+    state = method.minimize(batched(spark, sf, policy), w0(spark, sf))
+    return state.table.select("idx", rnd("x").alias("x"), rnd(F.lit(state.value)).alias("value"))
+
+
+_iterate("bsgd", 6, "v AS x", lambda i: f"x - {0.2 / (0.5 * i + 1) ** 0.5!r}::DOUBLE * g AS x", lambda i: i)
+
+
+@case("sgd_batches", _run_sql("bsgd", 6))
+def sgd_batches(spark, sf):
+    """Six steps, each with the gradient of the next of five batches."""
+    return _batched_run(spark, sf, M.GradientDescent(0.2, 0.5, 0.5, max_iter=6, lower_fun_tolerance=1e9))
+
+
+_iterate("bada", 4, "v AS x, 0.0::DOUBLE AS h", _ada_next, lambda i: i)
+
+
+@case("adagrad_batches", _run_sql("bada", 4))
+def adagrad_batches(spark, sf):
+    return _batched_run(spark, sf, M.AdaGrad(0.1, l2=0.05, l1=0.01, max_age=1, max_iter=4, lower_fun_tolerance=1e9))
+
+
+_STEPS = [0.3, 0.6, 0.6, 0.6]
+_lb_chain("blb", 4, lambda i: i)
+_lb_chain("rlb", 3, lambda i: 2 * i)
+
+
+@case("lbfgs_cycling_batches", _run_sql("blb", 4))
+def lbfgs_cycling_batches(spark, sf):
+    """Each point on the next batch: a stored pair spans two of them."""
+    return _batched_run(spark, sf, M.LBFGS(1, fixed_steps=_STEPS, max_iter=4, lower_fun_tolerance=1e9))
+
+
+@case("lbfgs_refresh_on_hold", _run_sql("rlb", 3))
+def lbfgs_refresh_on_hold(spark, sf):
+    """Holding for a step takes one batch, the next point another."""
+    return _batched_run(spark, sf, M.LBFGS(1, fixed_steps=_STEPS, max_iter=3, lower_fun_tolerance=1e9), "refresh_on_hold")
+
+
+@case("resume_mid_cycle", f"SELECT *, 1::INTEGER AS versions FROM ({_run_sql('blb', 4)})")
+def resume_mid_cycle(spark, sf):
+    """A run that stopped at its second of five batches goes on, in a fresh objective and minimizer, as if it had not."""
+    store = RunStore(spark, f"{scratch(spark)}/run")
+    M.LBFGS(1, fixed_steps=_STEPS, max_iter=2, lower_fun_tolerance=1e9).minimize(batched(spark, sf), w0(spark, sf), store=store)
+    state = M.LBFGS(1, fixed_steps=_STEPS, max_iter=4, lower_fun_tolerance=1e9).minimize(batched(spark, sf), w0(spark, sf), store=store)
+    rows = state.table.select("idx", rnd("x").alias("x"), rnd(F.lit(state.value)).alias("value"))
+    return rows.withColumn("versions", F.lit(len(store.versions())))
