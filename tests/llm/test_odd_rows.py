@@ -93,3 +93,40 @@ def test_more_sources_than_the_driver_holds(spark, monkeypatch, weights, most):
     assert got.keys() == want.keys()
     for i in want:
         assert got[i] == pytest.approx(want[i], rel=1e-9)
+
+
+def test_links_through_rows_without_id(spark):
+    """Two texts that link only through one that has no id are one component."""
+    words = [f"w{i}" for i in range(60)]
+    texts = [(1, words[:50]), (None, words[5:55]), (2, words[10:60]), (None, ["other"] * 7), (None, ["other"] * 7)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in texts], "doc_id long, text string")
+    got = jaccard.join(docs, new_folder(spark, "jaccard")).collect()
+    assert sorted((r["doc_id"] or 0, r["component_id"]) for r in got if r["n_shingles"] > 40) == [(0, 1), (1, 1), (2, 1)]
+    assert [(r["doc_id"], r["component_id"]) for r in got if r["n_shingles"] < 40] == [(None, None)] * 2
+
+
+def test_text_of_a_hundred_thousand_lines(spark):
+    lines = [f"line number {i} of a long text" for i in range(50_000)]
+    text = "\n".join([*lines, "", *lines])
+    docs = spark.createDataFrame([(1, text), (2, f"{lines[7]}\nsomething else here")], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in linededup.dedup(docs, new_folder(spark, "lines"), counts=True).collect()}
+    assert got[1]["__lines"] == 100_000 and got[1]["__gone"] >= 50_000
+    left = got[1]["text"].split("\n")
+    assert left[0] == lines[0] and len(left) == 100_001 - got[1]["__gone"]
+    assert got[2]["text"] == "something else here"
+
+
+def test_language_beside_columns_of_its_names(spark):
+    import corpus_pipeline
+    from gradloom.llm import langid
+
+    rows = [(i, "el perro come la carne en la calle" if i % 2 else "the dog eats the meat in the street", "es" if i % 2 else "en", "s", 1) for i in range(20)]
+    rows += [(21, None, None, "s", 1), (22, "", None, "s", 1), (23, "12345", None, "s", 1), (24, LONG * 3, None, "s", 1), (24, LONG * 3, None, "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score string, lang_pred int")
+    kept = corpus_pipeline.identify_language(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert {*range(20)} <= {r["doc_id"] for r in kept.collect()} and not {21, 22, 23} & {r["doc_id"] for r in kept.collect()}
+    assert sum(r["doc_id"] == 24 for r in kept.collect()) in (0, 2)
+    assert corpus_pipeline.identify_language(spark, docs.limit(0), "").count() == 0
+    with pytest.raises(ValueError, match="cannot be kept"):
+        langid.identify(docs, langid.fit(docs), keep=("score",))
