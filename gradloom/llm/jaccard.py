@@ -25,16 +25,15 @@ broadcast, and no link or component passes through the driver.
 
 Defined cases: null text and text without words have an empty set and link with nothing; fewer
 words than ``width`` make one shingle; repeated rows get the same result, and rows of one id with
-other texts are judged by their own text.  A null id gets the smallest other id of its component;
-a set found under null ids only links with nothing and its component is null.  Other columns
-are not read.
+other texts are judged by their own text.  Rows with a null id link like others and get the smallest
+id of their component, null if it has none.  Ids of 2**62 or more raise.  Other columns are not read.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradloom.llm import components
@@ -43,6 +42,8 @@ from gradloom.llm import tokens as T
 from gradloom.llm.storage import checked
 
 PERCENT, WIDTH = 80, 5
+#: Ids from here on stand for rows without one.
+UNNAMED = 1 << 62
 #: Words that a task looks at together when it looks for frequent shingles and packs runs.
 RUN_WORDS = 1_000_000
 #: A shingle is frequent when it is in so many different sets of a run, and of all runs together.
@@ -471,7 +472,11 @@ def _large_links(docs: DataFrame, members: DataFrame, wanted: DataFrame, written
 def join(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """key, n_shingles and component_id of every row; tables between the steps are written to ``folder``."""
     spark = docs.sparkSession
-    docs = docs.select(F.col(key).cast("long").alias("__id"), F.col(text).alias("text"))
+    # Rows without id stand under a name made of their text, above all ids: equal texts are one set anyway.
+    ids, unnamed = F.col(key).cast("long"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).bitwiseAND(F.lit(UNNAMED - 1)) + F.lit(UNNAMED)
+    refused = F.raise_error(F.lit(f"ids of {UNNAMED} or more are not supported")).cast("long")
+    named = F.when(ids.isNull(), unnamed).when(ids < UNNAMED, ids).otherwise(refused)
+    docs = docs.select(named.alias("__id"), F.col(text).alias("text"))
 
     def written(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(f"{folder}/{name}")
@@ -482,7 +487,7 @@ def join(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "text",
     texts = measured.where("kind = 0").select("id", "n", "a", "b")
     group = texts.where("n > 0").groupBy("a", "b").agg(F.min("id").alias("least"))
     # One text stands for all with the same first name; another set has it by a chance of 1 in 2**64.
-    names = group.where("least IS NOT NULL").groupBy("a").agg(F.min("least").alias("least"))
+    names = group.groupBy("a").agg(F.min("least").alias("least"))
     wanted = members.select("member").distinct().join(names, F.col("member") == F.col("a"))
     wanted = written(wanted.select(F.col("least").alias("id"), "member"), "wanted")
     edges = written(links(docs, members, wanted, written, width, percent), "links")
@@ -491,4 +496,8 @@ def join(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "text",
     joined = group.join(labels, F.col("least") == F.col("node"), "left").select("a", "b", F.coalesce("label", "least").alias("component_id"))
     out = texts.join(joined, ["a", "b"], "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
-    return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"))
+
+    def known(c: Column) -> Column:
+        return F.when(c < UNNAMED, c)
+
+    return out.select(known(F.col("id")).alias(key), F.col("n").alias("n_shingles"), known(component).alias("component_id"))
