@@ -51,9 +51,26 @@ def _identified(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.withColumn("__id", F.coalesce(F.col(key).cast("long"), least)).withColumn("__row", F.xxhash64(F.col(text))).withColumn("__text", F.col(text))
 
 
-def _lines(docs: DataFrame, *columns: str) -> DataFrame:
+def _lines(docs: DataFrame) -> DataFrame:
     """A row for each line with a word."""
-    lines = docs.select("__id", "__row", *columns, F.posexplode(F.split("__text", "\n")).alias("__pos", "__line"))
+    lines = docs.select("__id", "__row", F.posexplode(F.split("__text", "\n")).alias("__pos", "__line"))
+    return lines.where(F.col("__line").rlike(r"[^\x20\x09-\x0D]"))
+
+
+def _split(docs: DataFrame) -> DataFrame:
+    """Documents with ``__split``, their lines, in place of the text."""
+    return docs.withColumn("__split", F.split("__text", "\n")).drop("__text")
+
+
+def _others(places: str) -> Column:
+    """The places of a split text that are not among ``places``, in order; hashed, so a text may have any number of lines."""
+    return F.array_except(F.sequence(F.lit(0), F.size("__split") - 1), F.coalesce(F.col(places), F.array().cast("array<int>")))
+
+
+def _at(docs: DataFrame, places: Column) -> DataFrame:
+    """A row for each line with a word at ``places`` of ``docs``, which have been split."""
+    found = F.transform(places, lambda p: F.struct(p.alias("pos"), F.col("__split")[p].alias("line")))
+    lines = docs.select("__id", "__row", F.explode(found).alias("__at")).select("__id", "__row", F.col("__at.pos").alias("__pos"), F.col("__at.line").alias("__line"))
     return lines.where(F.col("__line").rlike(r"[^\x20\x09-\x0D]"))
 
 
@@ -138,8 +155,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, percent: int, written, name: st
     pairs = written(pairs, f"{name}-pairs")
     ends = pairs.select(*_LINE).union(pairs.select(*[F.col(f"e{c}").alias(c) for c in _LINE]))
     places = _by_document(ends, written, f"{name}-lines")
-    texts = _lines(docs.select("__id", "__row", "__text").join(places, ["__id", "__row"]), "__places")
-    words = texts.where(F.array_contains("__places", F.col("__pos"))).select(*_LINE, _words(F.col("__line")).alias("w")).dropDuplicates(_LINE)
+    texts = _split(docs.select("__id", "__row", "__text")).join(places, ["__id", "__row"])
+    words = _at(texts, F.col("__places")).select(*_LINE, _words(F.col("__line")).alias("w")).dropDuplicates(_LINE)
     earlier = words.select(*[F.col(c).alias(f"e{c}") for c in _LINE], F.col("w").alias("v"))
     both = pairs.join(words, _LINE).join(earlier, [f"e{c}" for c in _LINE])
     shared = F.size(F.array_intersect("w", "v"))
@@ -157,8 +174,8 @@ def repeated(docs: DataFrame, folder: str, percent: int = PERCENT) -> DataFrame:
 
     copies = written(_copies(docs, written), "copies")
     gone = _by_document(copies, written, "copies-by-document")
-    fresh = docs.select("__id", "__row", "__text").join(gone, ["__id", "__row"], "left")
-    fresh = _lines(fresh, "__places").where(F.col("__places").isNull() | ~F.array_contains("__places", F.col("__pos"))).select(*_LINE, "__line")
+    fresh = _split(docs.select("__id", "__row", "__text").where("__text IS NOT NULL")).join(gone, ["__id", "__row"], "left")
+    fresh = _at(fresh, _others("__places"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = _prefixes(fresh, _rarity(fresh, written), percent).repartition(parts, "__word", "__salt").persist(StorageLevel.MEMORY_AND_DISK)
 
@@ -183,7 +200,8 @@ def dedup(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "text",
     """``docs`` without repeated lines; with ``counts`` also __lines (with words) and __gone."""
     rows = _identified(docs, key, text)
     rows = rows.join(repeated(rows, folder, percent), ["__id", "__row"], "left")
-    kept = F.array_join(F.filter(F.split("__text", "\n"), lambda x, i: ~F.array_contains("__places", i)), "\n")
+    rows = rows.withColumn("__split", F.when(F.col("__places").isNotNull(), F.split("__text", "\n")))
+    kept = F.array_join(F.transform(_others("__places"), lambda p: F.col("__split")[p]), "\n")
     rows = rows.withColumn(text, F.when(F.col("__places").isNotNull(), kept).otherwise(F.col(text)))
     if counts:
         lines = F.size(F.filter(F.split("__text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
