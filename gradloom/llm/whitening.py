@@ -18,18 +18,21 @@ fewer than asked for may come, and none if there are fewer than two different ve
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.functions import array_to_vector, vector_to_array
+import pyarrow.compute as pc
 from pyspark.mllib.common import callMLlibFunc
-from pyspark.mllib.linalg import Matrices
-from pyspark.mllib.linalg.distributed import BlockMatrix, IndexedRowMatrix
-from pyspark.mllib.util import MLUtils
+from pyspark.mllib.linalg import Matrices, MatrixUDT
+from pyspark.mllib.linalg.distributed import BlockMatrix
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructField, StructType
 
-#: Rows of a block: enough blocks for all tasks, few enough that the driver can hold their numbers.
-LEAST_BLOCK, MOST_BLOCK, BLOCKS = 256, 1 << 17, 4096
+#: Rows of a block: enough blocks for all tasks, few enough that the driver can hold their numbers, each of bounded size.
+LEAST_BLOCK, BLOCKS, BLOCK_BYTES = 256, 4096, 1 << 24
 #: Columns of a block.
 WIDE = 1024
 NEGLIGIBLE = 1e-12
@@ -83,11 +86,47 @@ def _sums(rows: DataFrame) -> tuple[int, list[int]]:
     return (total[0]["n"], [r["s"] for r in total]) if total else (0, [])
 
 
-def _matrix(rows: DataFrame, n: int) -> BlockMatrix:
-    """(row, vector) as a block matrix; the rows stay in the JVM."""
-    block = min(max(-(-n // BLOCKS), LEAST_BLOCK), MOST_BLOCK)
-    vectors = MLUtils.convertVectorColumnsFromML(rows.select("row", array_to_vector("v").alias("vector")), "vector")
-    return IndexedRowMatrix(vectors, numRows=n).toBlockMatrix(block, WIDE)
+class Fit(NamedTuple):
+    n: int  # rows that the model is fitted on
+    sums: list[int]  # of each dimension over them
+
+
+_PLACE = "struct<_1: bigint, _2: bigint>"
+_BLOCK = MatrixUDT.sqlType().simpleString()
+
+
+def _blocks(table: DataFrame, n_rows: int, fit: Fit, folder: str, key: str) -> tuple[BlockMatrix, DataFrame]:
+    """Numbered rows (row, key, x), centred, as a matrix of blocks; and (i, keys, deviations) of each row of blocks.
+
+    The blocks are put together in numpy and written, once, in the format that MLlib itself
+    reads; an ``IndexedRowMatrix`` would move every number as an object.
+    """
+    spark, wide = table.sparkSession, len(fit.sums)
+    height = max(min(max(-(-n_rows // BLOCKS), LEAST_BLOCK), BLOCK_BYTES // (8 * wide)), 1)
+    kind = table.schema[key].dataType
+    schema = f"_1 {_PLACE}, _2 {_BLOCK}, keys array<{kind.simpleString()}>, deviations array<bigint>"
+
+    def put(place: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("row").combine_chunks()
+        x = pc.list_flatten(rows["x"]).to_numpy().reshape(rows.num_rows, wide)
+        steep = fit.n * float(np.abs(x).max()) + max(map(abs, fit.sums))
+        d = x * fit.n - np.array(fit.sums, np.int64) if steep < 2**62 else x.astype(object) * fit.n - np.array(fit.sums, object)
+        # Python integers where 64 bits may not do; Arrow refuses a deviation beyond them.
+        exact = d if float(np.abs(d).max()) ** 2 * wide < 2**62 else d.astype(object)
+        deviations, v, out = (exact * exact).sum(1), (d / fit.n).astype(float), []
+        for j in range(-(-wide // WIDE)):
+            part = v[:, j * WIDE : (j + 1) * WIDE]
+            matrix = {"type": 1, "numRows": part.shape[0], "numCols": part.shape[1], "colPtrs": None, "rowIndices": None, "values": part.ravel(order="F"), "isTransposed": False}
+            out.append(({"_1": place[0].as_py(), "_2": j}, matrix, rows[key].to_pylist() if not j else None, deviations.tolist() if not j else None))
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
+
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+    rows = table.select(F.expr(f"row div {height}").alias("i"), "row", key, "x")
+    rows.groupBy("i").applyInArrow(put, schema).write.parquet(folder)
+    matrices = spark.read.schema(StructType([StructField("_1", StructType.fromDDL("_1 bigint, _2 bigint")), StructField("_2", MatrixUDT())])).parquet(folder)
+    model = callMLlibFunc("createBlockMatrix", matrices, height, WIDE, n_rows, wide)
+    labels = spark.read.schema(schema).parquet(folder).where("_1._2 = 0").select(F.col("_1._1").alias("i"), "keys", "deviations")
+    return BlockMatrix(model, height, WIDE), labels
 
 
 def _scatter(matrix: BlockMatrix) -> np.ndarray:
@@ -119,14 +158,8 @@ def whiten(rows: DataFrame, folder: str, components: int = 16, key: str = "vec_i
     shape = f"`{key}` {kind}, component int, n bigint, deviation bigint, whitened double, explained double, identity_error double"
     if n < 2:
         return spark.createDataFrame([], shape)
-    total = F.array(*[F.lit(s).cast("long") for s in sums]) if len(sums) <= 16 else F.from_json(F.lit(str(sums)), "array<bigint>")
-
-    def centred(df: DataFrame) -> DataFrame:
-        """Entries less their means, as exact integers times n, and divided."""
-        df = df.withColumn("d", F.zip_with("x", total, lambda x, s: n * x - s))
-        return df.withColumn("v", F.transform("d", lambda d: d / F.lit(float(n))))
-
-    fitted = _matrix(centred(fit), n)
+    model = Fit(n, sums)
+    fitted, _ = _blocks(fit.withColumn("__none", F.lit(0)), n, model, f"{folder}/fit-blocks", "__none")
     covariance = _scatter(fitted) / n
     values, vectors = np.linalg.eigh((covariance + covariance.T) / 2)
     order = np.argsort(-values)[:components]
@@ -138,15 +171,23 @@ def whiten(rows: DataFrame, folder: str, components: int = 16, key: str = "vec_i
     error = float(np.abs(seen - np.eye(len(order))).max())
     explained = [float(v) for v in values[order] / np.trace(covariance)]
 
-    everything = centred(table)
-    projected = _matrix(everything, n_rows).multiply(whitener).toIndexedRowMatrix()
-    projected = callMLlibFunc("getIndexedRows", projected._java_matrix_wrapper._java_model)
-    projected = projected.select(F.col("index").alias("row"), vector_to_array("vector").alias("w"))
-    deviation = F.aggregate("d", F.lit(0).cast("long"), lambda a, d: a + d * d)
-    out = everything.select(F.col(key), "row", deviation.alias("deviation")).join(projected, "row")
-    out = out.select(F.col(key), "deviation", F.posexplode("w").alias("i", "whitened"))
+    everything, labels = _blocks(table, n_rows, model, f"{folder}/blocks", key)
+    projected = callMLlibFunc("getMatrixBlocks", everything.multiply(whitener)._java_matrix_wrapper._java_model)
+    projected = projected.select(F.col("_1._1").cast("long").alias("i"), F.unwrap_udt("_2").alias("m"))
+    k = len(order)
+
+    def unfold(batches):
+        for batch in batches:
+            for keys, deviations, m in zip(batch["keys"], batch["deviations"], batch["m"], strict=True):
+                shape = m["numRows"].as_py(), m["numCols"].as_py()
+                whitened = m["values"].values.to_numpy().reshape(shape, order="C" if m["isTransposed"].as_py() else "F")
+                at = pa.array(np.repeat(np.arange(shape[0]), k))
+                component = np.tile(np.arange(1, k + 1, dtype=np.int32), shape[0])
+                yield pa.RecordBatch.from_arrays([keys.values.take(at), pa.array(component), deviations.values.take(at), pa.array(whitened.ravel())], names=[key, "component", "deviation", "whitened"])
+
+    out = labels.join(projected, "i").drop("i").mapInArrow(unfold, f"`{key}` {kind}, component int, deviation bigint, whitened double")
     share = F.array(*map(F.lit, explained))
     return out.select(
-        F.col(key), (F.col("i") + 1).alias("component"), F.lit(n).cast("long").alias("n"), "deviation", "whitened",
-        F.element_at(share, F.col("i") + 1).alias("explained"), F.lit(error).alias("identity_error"),
+        key, "component", F.lit(n).cast("long").alias("n"), "deviation", "whitened",
+        F.element_at(share, F.col("component")).alias("explained"), F.lit(error).alias("identity_error"),
     )
