@@ -207,8 +207,8 @@ def _spread(index: DataFrame, packed: DataFrame, n: int, total: int, owners: int
 
     def deal(batches):
         for batch in batches:
-            rows = []
             for i in range(batch.num_rows):
+                rows = []
                 a = {f: _array(batch, f, i) for f in ("ids", "known", "sizes", "terms", "ends", "docs", "tfs", "dterms", "downers", "dweights", "dsizes", "ditems", "rest")}
                 at = np.minimum(np.searchsorted(a["terms"], a["dterms"]), max(len(a["terms"]) - 1, 0))
                 here = a["terms"][at] == a["dterms"] if len(a["terms"]) else np.zeros(len(a["dterms"]), bool)
@@ -230,8 +230,8 @@ def _spread(index: DataFrame, packed: DataFrame, n: int, total: int, owners: int
                         np.cumsum([len(r) for r in runs]), a["docs"][places], parts[places], a["dweights"][mine],
                         np.cumsum([len(w) for w in wants]), a["ditems"][np.concatenate(wants)], rest[o],
                     ])
-            if rows:
-                yield _batch(rows, schema)
+                if rows:
+                    yield _batch(rows, schema)
 
     return index.join(packed, "band").drop("band", "some", "total").mapInArrow(deal, _POSTINGS)
 
