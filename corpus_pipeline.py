@@ -15,10 +15,13 @@ WEIGHTS = (5, 2, 1)
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the model knows; it learns from all of them that have a label."""
-    model = langid.fit(docs)
-    found = langid.identify(docs, model, keep=tuple(docs.columns))
-    return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_CERTAIN)).select(*docs.columns)
+    """Documents in a language that the model knows; it learns from all of them that have a label.
+
+    Null, empty and letterless texts go; if no row has a label, all go.  Other columns are kept, whatever
+    their names; repeated rows stay or go alike; an empty table stays empty.
+    """
+    found = langid.found(langid.fit(docs), F.col("text"), spark)
+    return docs.where((found["lang_pred"] != langid.UNKNOWN) & (found["score"] >= LEAST_CERTAIN))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
