@@ -6,23 +6,27 @@ corpus; it is broadcast, and numpy sums its entries over the n-grams of each tex
 
 Null or letterless text gives ``und`` with score 0, as does every text when no
 language was learned.  Repeated rows give repeated results; ties go to the language
-that sorts first.  Other columns of the input are neither read nor kept.
+that sorts first; an empty table gives no rows.  ``found`` is a column beside any others;
+``identify`` keeps those it is told to, which may not have the names of its results.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructType
 
 from gradloom.llm import tokens as T
 
 UNKNOWN = "und"
 #: More labels than this are no languages; the matrix would outgrow a broadcast.
 MOST_LANGUAGES = 1000
+_FOUND = StructType().add("lang_pred", StringType()).add("score", DoubleType())
 
 
 class Settings(NamedTuple):
@@ -104,20 +108,18 @@ def fit(docs: DataFrame, settings: Settings = Settings(), text: str = "text", la
     return Model(languages, np.log(n / n.sum()) if languages else n, table.astype(np.float32), settings)
 
 
-def identify(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep``, lang_pred and score (posterior of that language) for every row."""
-    spark = docs.sparkSession
+def found(model: Model, text: Column | str, spark: SparkSession) -> Column:
+    """struct<lang_pred, score> of a text; only the text itself goes through Python, other columns stay where they are."""
     shared = spark.sparkContext.broadcast(model)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields)
-    columns = [*keep, "lang_pred", "score"]
 
-    def score(batches):
+    @F.arrow_udf(_FOUND)
+    def score(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         languages, prior, weights, settings = shared.value
         names = np.array([*languages, UNKNOWN], object)
-        for batch in batches:
-            best = np.full(batch.num_rows, len(languages))
-            certain = np.zeros(batch.num_rows)
-            for row, data, starts in T.slices(batch.column(batch.num_columns - 1)):
+        for column in texts:
+            best = np.full(len(column), len(languages))
+            certain = np.zeros(len(column))
+            for row, data, starts in T.slices(column):
                 grams, at, letter = _grams(data, starts, settings)
                 some = np.flatnonzero(np.diff(at))
                 if not len(some) or not languages:
@@ -131,8 +133,14 @@ def identify(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str,
                 share = 1.0 / np.exp(logs - logs[np.arange(len(some)), top][:, None]).sum(1)
                 best[row + some[has]] = top[has]
                 certain[row + some[has]] = share[has]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(names[best], pa.string()), pa.array(certain)], names=columns
-            )
+            yield pa.StructArray.from_arrays([pa.array(names[best], pa.string()), pa.array(certain)], names=["lang_pred", "score"])
+
+    return score(text)
+
 
-    return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(score, f"{schema}, lang_pred string, score double")
+def identify(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``keep``, lang_pred and score (posterior of that language) for every row."""
+    if {"lang_pred", "score"} & set(keep):
+        raise ValueError("columns named lang_pred or score cannot be kept; use found()")
+    rows = docs.select(*keep, found(model, F.col(text), docs.sparkSession).alias("__found"))
+    return rows.select(*keep, "__found.lang_pred", "__found.score")
