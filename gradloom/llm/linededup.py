@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 PERCENT = 80
 BUCKETS = 1 << 20
 SALTS = 16
-#: Documents with their line numbers that may be broadcast; beyond that the join is shuffled.
+#: Documents (with ten times as many of their lines' numbers) that may be broadcast, about 16 MB; five times as many single lines.
 BROADCAST_ROWS = 200_000
 #: A word in more lines than this is split over ``SALTS`` parts.
 HOT_LINES = 50_000
@@ -48,7 +48,28 @@ def _words(line: Column) -> Column:
 
 def _identified(docs: DataFrame, key: str, text: str) -> DataFrame:
     least = F.lit(-(1 << 63)).cast("long")
-    return docs.withColumn("__id", F.coalesce(F.col(key).cast("long"), least)).withColumn("__row", F.xxhash64(F.col(text))).withColumn("__text", F.col(text))
+    named = docs.withColumn("__id", F.coalesce(F.col(key).cast("long"), least)).withColumn("__row", F.xxhash64(F.col(text)))
+    return named.withColumnRenamed(text, "__text")
+
+
+class _Documents:
+    """Documents, and tables of some of their places to be joined to them.
+
+    A small table is broadcast and no text moves.  The first one that is not has the documents placed
+    by (id, row) and kept: texts are moved once, and larger tables come to where they are.
+    """
+
+    def __init__(self, docs: DataFrame):
+        self.docs, self._placed = docs, False
+
+    def join(self, places: DataFrame, how: str, columns: list[str] | None = None, split: bool = False) -> DataFrame:
+        size = places.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("__places")), F.lit(0)).alias("places")).first()
+        small = size["n"] <= BROADCAST_ROWS and size["places"] <= 10 * BROADCAST_ROWS
+        if not small and not self._placed:
+            parts = int(self.docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+            self.docs, self._placed = self.docs.repartition(parts, "__id", "__row").persist(StorageLevel.MEMORY_AND_DISK), True
+        docs = self.docs if columns is None else self.docs.select("__id", "__row", *columns)
+        return (_split(docs) if split else docs).join(F.broadcast(places) if small else places.hint("shuffle_hash"), ["__id", "__row"], how)
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -75,10 +96,8 @@ def _at(docs: DataFrame, places: Column) -> DataFrame:
 
 
 def _by_document(lines: DataFrame, written, name: str) -> DataFrame:
-    """(id, row, places) of lines: as many places as the document has lines at most; marked for broadcast while small."""
-    table = written(lines.groupBy("__id", "__row").agg(F.sort_array(F.collect_set("__pos")).alias("__places")), name)
-    size = table.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("__places")), F.lit(0)).alias("places")).first()
-    return F.broadcast(table) if size["n"] <= BROADCAST_ROWS and size["places"] <= 10 * BROADCAST_ROWS else table
+    """(id, row, places) of lines: as many places as the document has lines at most."""
+    return written(lines.groupBy("__id", "__row").agg(F.sort_array(F.collect_set("__pos")).alias("__places")), name)
 
 
 def _copies(docs: DataFrame, written) -> DataFrame:
@@ -150,13 +169,12 @@ def _pairs(joined: DataFrame) -> DataFrame:
     return joined.select(*_LINE, *[f"e{c}" for c in _LINE]).distinct()
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, percent: int, written, name: str) -> DataFrame:
+def _verified(pairs: DataFrame, docs: _Documents, percent: int, written, name: str) -> DataFrame:
     """The later lines of pairs that match."""
     pairs = written(pairs, f"{name}-pairs")
     ends = pairs.select(*_LINE).union(pairs.select(*[F.col(f"e{c}").alias(c) for c in _LINE]))
     places = _by_document(ends, written, f"{name}-lines")
-    texts = _split(docs.select("__id", "__row", "__text")).join(places, ["__id", "__row"])
-    words = _at(texts, F.col("__places")).select(*_LINE, _words(F.col("__line")).alias("w")).dropDuplicates(_LINE)
+    words = _at(docs.join(places, "inner", ["__text"], split=True), F.col("__places")).select(*_LINE, _words(F.col("__line")).alias("w")).dropDuplicates(_LINE)
     earlier = words.select(*[F.col(c).alias(f"e{c}") for c in _LINE], F.col("w").alias("v"))
     both = pairs.join(words, _LINE).join(earlier, [f"e{c}" for c in _LINE])
     shared = F.size(F.array_intersect("w", "v"))
@@ -164,18 +182,17 @@ def _verified(pairs: DataFrame, docs: DataFrame, percent: int, written, name: st
     return written(both.where(match).select(*_LINE).distinct(), name)
 
 
-def repeated(docs: DataFrame, folder: str, percent: int = PERCENT) -> DataFrame:
-    """(id, row, places) of the lines that go; ``docs`` as ``_identified`` gives them."""
-    spark = docs.sparkSession
+def repeated(docs: _Documents, folder: str, percent: int = PERCENT) -> DataFrame:
+    """(id, row, places) of the lines that go; of identified documents."""
+    spark = docs.docs.sparkSession
 
     def written(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(f"{folder}/{name}")
         return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
 
-    copies = written(_copies(docs, written), "copies")
+    copies = written(_copies(docs.docs, written), "copies")
     gone = _by_document(copies, written, "copies-by-document")
-    fresh = _split(docs.select("__id", "__row", "__text").where("__text IS NOT NULL")).join(gone, ["__id", "__row"], "left")
-    fresh = _at(fresh, _others("__places"))
+    fresh = _at(docs.join(gone, "left", ["__text"], split=True).where("__split IS NOT NULL"), _others("__places"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = _prefixes(fresh, _rarity(fresh, written), percent).repartition(parts, "__word", "__salt").persist(StorageLevel.MEMORY_AND_DISK)
 
@@ -198,13 +215,14 @@ def repeated(docs: DataFrame, folder: str, percent: int = PERCENT) -> DataFrame:
 
 def dedup(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "text", percent: int = PERCENT, counts: bool = False) -> DataFrame:
     """``docs`` without repeated lines; with ``counts`` also __lines (with words) and __gone."""
-    rows = _identified(docs, key, text)
-    rows = rows.join(repeated(rows, folder, percent), ["__id", "__row"], "left")
+    identified = _Documents(_identified(docs, key, text))
+    rows = identified.join(repeated(identified, folder, percent), "left")
     rows = rows.withColumn("__split", F.when(F.col("__places").isNotNull(), F.split("__text", "\n")))
     kept = F.array_join(F.transform(_others("__places"), lambda p: F.col("__split")[p]), "\n")
-    rows = rows.withColumn(text, F.when(F.col("__places").isNotNull(), kept).otherwise(F.col(text)))
+    rows = rows.withColumn("__kept", F.when(F.col("__places").isNotNull(), kept).otherwise(F.col("__text")))
     if counts:
         lines = F.size(F.filter(F.split("__text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
         rows = rows.withColumn("__lines", F.when(F.col("__text").isNull(), 0).otherwise(lines).cast("long"))
         rows = rows.withColumn("__gone", F.coalesce(F.size("__places"), F.lit(0)).cast("long"))
-    return rows.select(*docs.columns, *(["__lines", "__gone"] if counts else []))
+    columns = [F.col("__kept").alias(text) if c == text else F.col(c) for c in docs.columns]
+    return rows.select(*columns, *(["__lines", "__gone"] if counts else []))

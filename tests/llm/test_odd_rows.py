@@ -106,7 +106,7 @@ def test_links_through_rows_without_id(spark):
 
 
 def test_text_of_a_hundred_thousand_lines(spark):
-    lines = [f"line number {i} of a long text" for i in range(50_000)]
+    lines = [f"l{i} n{7 * i} of t{3 * i} u{i}" for i in range(50_000)]
     text = "\n".join([*lines, "", *lines])
     docs = spark.createDataFrame([(1, text), (2, f"{lines[7]}\nsomething else here")], "doc_id long, text string")
     got = {r["doc_id"]: r for r in linededup.dedup(docs, new_folder(spark, "lines"), counts=True).collect()}
