@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gradloom.plans.joins import SpreadRows, fits_broadcast
-from gradloom.schemas import require
+from gradloom.schemas import in_range, require
 
 HOLD, NO_HOLD, REFRESH = "hold", "no_hold", "refresh_on_hold"
 
@@ -19,11 +19,13 @@ class Batch:
     """Targets and features of one batch, cached in the placements scoring needs.
 
     ``features`` is a table, a function that makes it from the cached targets,
-    or None for a batch without any.
+    or None for a batch without any.  With ``dim``, a feature id outside
+    ``[0, dim)`` fails the job that places the features.
     """
 
-    def __init__(self, targets: DataFrame, features, number: int = 0, keys=("ex_id",)):
+    def __init__(self, targets: DataFrame, features, number: int = 0, keys=("ex_id",), dim: int | None = None):
         self.number = number
+        self.checks = [] if dim is None else [(in_range(F.col("fea_id"), dim), "feature id outside [0, dim)")]
         self.keys = list(keys)
         self._targets, self._features = targets, features
         self._loaded = False
@@ -39,7 +41,7 @@ class Batch:
             if callable(self._features):
                 self._features = self._features(self.targets)
             if self._features is not None:
-                self.by_example = SpreadRows.place(self._features, self.keys)
+                self.by_example = SpreadRows.place(self._features, self.keys, *self.checks)
             self._loaded = True
         return self
 
@@ -55,7 +57,7 @@ class Batch:
         if fits_broadcast(dim):
             return self.by_example.plain
         if self._by_feature is None:
-            self._by_feature = SpreadRows.place(self._features, ["fea_id"])
+            self._by_feature = SpreadRows.place(self._features, ["fea_id"], *self.checks)
         return self._by_feature
 
     def release(self) -> None:
@@ -95,8 +97,15 @@ class BatchCycle:
         self.keys = list(keys)
         self.position = -1
         self.holding = False
+        #: Coordinates of the model that reads the features; the smallest one if several do.
+        self.dim: int | None = None
         self._current: Batch | None = None
 
+    def reads(self, dim: int | None) -> None:
+        """A model with ``dim`` coordinates reads the features: other ids make loading fail."""
+        if dim is not None:
+            self.dim = dim if self.dim is None else min(dim, self.dim)
+
     @property
     def epoch_done(self) -> bool:
         return self.position + 1 >= self.num_batches
@@ -124,7 +133,7 @@ class BatchCycle:
             return self._current.load()
         self.advance()
         self.free()
-        self._current = Batch(*self.slice(self.position), self.position, self.keys).load()
+        self._current = Batch(*self.slice(self.position), self.position, self.keys, self.dim).load()
         return self._current
 
     def next_features(self) -> DataFrame:
@@ -161,7 +170,7 @@ class BatchCycle:
         self.free()
         self.position, self.holding = cursor["position"], cursor["holding"]
         if self.position >= 0:
-            self._current = Batch(*self.slice(self.position), self.position, self.keys)
+            self._current = Batch(*self.slice(self.position), self.position, self.keys, self.dim)
 
     @contextmanager
     def held(self) -> Iterator["BatchCycle"]:

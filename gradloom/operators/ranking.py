@@ -9,13 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradloom.functions.losses import pair_slope, pair_value
 from gradloom.operators.scoring import fm_sums, fm_score_expr
 from gradloom.operators.vectors import lengthen, widen
-from gradloom.plans.joins import SpreadRows, hot_hashes, lookup
+from gradloom.plans.joins import SpreadRows, fan_out, lookup
+from gradloom.schemas import require
 
 RANK_KEYS = ["link_id", "iter", "i"]
 
@@ -61,23 +62,36 @@ def link_violations(positives: DataFrame, negatives: DataFrame) -> DataFrame:
     return repeated.unionByName(orphans.select("link_id", F.lit("no positive").alias("reason")))
 
 
-def hot_links(negatives: DataFrame) -> list[int]:
-    """Hashes of links owning so many negatives that their pairs must be split."""
-    return hot_hashes(negatives, ["link_id"])
+def one_per_link(positives: DataFrame) -> DataFrame:
+    """The positives; a null link or a second positive of a link fails the query.
+
+    Free of a shuffle and a sort where the positives are placed and sorted by link, as batches are.
+    """
+    earlier = F.lag(F.lit(True)).over(Window.partitionBy("link_id").orderBy("link_id"))
+    marked = positives.withColumn("__earlier", earlier)
+    known = F.col("link_id").isNotNull(), "a positive without a link"
+    return require(marked, known, (F.col("__earlier").isNull(), "a link with more than one positive")).drop("__earlier")
+
+
+def hot_links(negatives: DataFrame) -> dict[int, int]:
+    """Links owning so many negatives that their pairs must be split (see ``joins.fan_out``)."""
+    return fan_out(negatives, ["link_id"])
 
 
-def pair_up(pos: DataFrame, neg: DataFrame, names: list[str], hot: list[int] | None = None) -> DataFrame:
+def pair_up(pos: DataFrame, neg: DataFrame, names: list[str], hot: dict[int, int] | None = None) -> DataFrame:
     """One row per negative with its positive's columns: ``pos_*`` and ``neg_*``.
 
     A link may own any number of negatives: hot links are split.  Pass ``hot``
-    when the links of ``neg`` are known from a cheaper table.
+    when the links of ``neg`` are known from a cheaper table.  A negative
+    without a positive fails the query.
     """
-    ours = pos.select("link_id", *[F.col(n).alias(f"pos_{n}") for n in names])
+    ours = pos.select("link_id", F.lit(True).alias("__paired"), *[F.col(n).alias(f"pos_{n}") for n in names])
     theirs = neg.select(*RANK_KEYS, *[F.col(n).alias(f"neg_{n}") for n in names])
-    return SpreadRows(theirs, ["link_id"], hot).join(ours)
+    pairs = SpreadRows(theirs, ["link_id"], hot).join(ours, "left")
+    return require(pairs, (F.col("__paired"), "a negative without a positive")).drop("__paired")
 
 
-def pair_losses(pos: DataFrame, neg: DataFrame, hot: list[int] | None = None) -> DataFrame:
+def pair_losses(pos: DataFrame, neg: DataFrame, hot: dict[int, int] | None = None) -> DataFrame:
     """``link_id, iter, i, loss, weight, dpos`` per negative.
 
     Inputs carry ``score, weight, rel_weight``; ``dpos`` is the derivative by

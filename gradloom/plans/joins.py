@@ -2,22 +2,29 @@
 
 A keyed table (weights, losses, potentials) has one row per key.  When its
 row count is known and small it is broadcast; beyond that bound the join is
-shuffled with every *hot* key split over sub-keys, so that a key holding a
-third of all rows is still spread over many tasks.
+shuffled with every *hot* key split over as many sub-keys as its count calls
+for, so that a key holding a third of all rows is spread over all tasks.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Callable, Sequence
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gradloom.schemas import require
+
 # A broadcast side never has more rows than this (a few tens of MB).
 BROADCAST_ROWS = 500_000
-# Number of sub-keys a hot key is split into.
-SALTS = 32
+# A key with fewer rows is never split: one task handles it.
+COLD_ROWS = 10_000
+# Sub-keys of a hot key for each average partition that its rows would fill; small pieces even out over partitions.
+PIECES = 16
+# Counters of the sketch that finds hot keys: counts are right to 4e-5 of the rows, and no key above 1e-4 is missed.
+COUNTERS = 65_536
 
 _HASH, _SALT = "__key_hash", "__salt"
 
@@ -30,66 +37,70 @@ def key_hash(keys: Sequence[str]) -> Column:
     return F.xxhash64(*[F.col(k) for k in keys])
 
 
-def hot_share(rows: DataFrame) -> float:
+def hot_share(partitions: int) -> float:
     """Share of the rows from which a key counts as hot: half of an average partition."""
-    partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return 1.0 / min(max(2 * partitions, 200), 9_999)  # the sketch takes no share of 1e-4 or less
+    return 1.0 / min(max(2 * partitions, 200), 9_999)  # the sketch finds no share of 1e-4 or less
 
 
-def hot_candidates(rows: DataFrame, keys: Sequence[str]) -> list[int]:
-    """Hashes of all keys that may hold more than the hot share of the rows.
+def pieces(filled: float) -> int:
+    """Sub-keys of a key whose rows would fill ``filled`` average partitions: a power of two, at least two."""
+    return 1 << max(1, math.ceil(math.log2(PIECES * filled)))
 
-    The frequent-items sketch keeps fewer than 10,000 counters, merges without
-    shuffling the rows and never misses a key above the share.  It may report
-    keys below it, which only costs a few extra copies in a join.
-    """
-    sketch = rows.select(key_hash(keys).alias(_HASH)).freqItems([_HASH], hot_share(rows))
-    return list(sketch.first()[0] or [])
 
+def fan_out(rows: DataFrame, keys: Sequence[str]) -> dict[int, int]:
+    """Hash of every hot key, and the number of sub-keys its count calls for.
 
-def hot_hashes(rows: DataFrame, keys: Sequence[str]) -> list[int]:
-    """The candidates that truly are hot, by a count of their rows."""
-    candidates = hot_candidates(rows, keys)
-    if not candidates:
-        return []
+    One pass over the keys alone: the sketch counts them in a bounded table per task, tables are
+    merged, and at most one entry per hot share reaches the driver.  All sub-keys together are
+    ``2 * PIECES`` a partition at most, whatever the number of keys.
+    """
+    partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     hashed = rows.select(key_hash(keys).alias(_HASH))
-    seen = F.when(F.col(_HASH).isin(candidates), F.col(_HASH))
-    counts = hashed.groupBy(seen.alias(_HASH)).count().collect()  # one row per candidate, one for the rest
-    # Below a few thousand rows one task handles any key.
-    floor = max(hot_share(rows) * sum(r["count"] for r in counts), 10_000)
-    return [r[_HASH] for r in counts if r[_HASH] is not None and r["count"] > floor]
+    found = hashed.agg(F.expr(f"approx_top_k({_HASH}, 10000, {COUNTERS})").alias("top"), F.count(F.lit(1)).alias("n")).first()
+    floor = max(hot_share(partitions) * found["n"], COLD_ROWS)
+    return {r["item"]: pieces(r["count"] * partitions / found["n"]) for r in found["top"] if r["count"] > floor}
 
 
 class SpreadRows:
     """A row table whose hot keys are split over sub-keys, for joins on ``keys``.
 
-    The hot keys are found once, so both sides of every join agree on them.
+    The hot keys and their numbers of sub-keys are found once, so both sides of every join agree on them.
     """
 
-    def __init__(self, rows: DataFrame, keys: Sequence[str], hashes: list[int] | None = None, salts: int = SALTS):
+    def __init__(self, rows: DataFrame, keys: Sequence[str], fan: dict[int, int] | None = None):
         self.keys = list(keys)
-        self.salts = salts
-        self.hashes = hot_candidates(rows, self.keys) if hashes is None else hashes
+        self.fan = fan_out(rows, self.keys) if fan is None else fan
         self.placed = False
         self.rows = rows
-        if self.hashes:
+        if self.fan:
             others = [c for c in rows.columns if c not in self.keys] or self.keys
-            sub_key = F.pmod(F.xxhash64(*[F.col(c) for c in others]), F.lit(salts))
-            self.rows = rows.withColumn(_SALT, F.when(self._is_hot(), sub_key).otherwise(F.lit(0)).cast("int"))
+            spread = F.xxhash64(*[F.col(c) for c in others])
+            self.rows = rows.withColumn(_SALT, self._by_fan(lambda n: F.pmod(spread, F.lit(n)), F.lit(0)).cast("int"))
 
     @staticmethod
-    def place(rows: DataFrame, keys: Sequence[str]) -> "SpreadRows":
-        """Cache rows placed by (keys, sub-key), so repeated joins move only the keyed table."""
-        spread = SpreadRows(rows, keys, hot_hashes(rows, keys))
-        placement = [*spread.keys, _SALT] if spread.hashes else spread.keys
+    def place(rows: DataFrame, keys: Sequence[str], *checks: tuple[Column, str]) -> "SpreadRows":
+        """Cache rows placed by (keys, sub-key), so repeated joins move only the keyed table.
+
+        ``checks`` (see :func:`gradloom.schemas.require`) are made by the job that places the rows.
+        The input is read twice: its keys alone for the hot ones, then whole.
+        """
+        spread = SpreadRows(rows, keys)
+        placement = [*spread.keys, _SALT] if spread.fan else spread.keys
         # Sorted once, so that merge joins need not sort these rows again.
-        placed = spread.rows.repartition(*placement).sortWithinPartitions(*placement)
+        placed = require(spread.rows, *checks).repartition(*placement).sortWithinPartitions(*placement)
         spread.rows = placed.persist(StorageLevel.MEMORY_AND_DISK)
         spread.placed = True
         return spread
 
-    def _is_hot(self) -> Column:
-        return key_hash(self.keys).isin(self.hashes)
+    def _by_fan(self, of: Callable[[int], Column], cold: Column) -> Column:
+        """``of(n)`` for keys with n sub-keys, one hash set for each n."""
+        sizes: dict[int, list[int]] = {}
+        for key, n in self.fan.items():
+            sizes.setdefault(n, []).append(key)
+        out = F
+        for n, hashes in sorted(sizes.items()):
+            out = out.when(key_hash(self.keys).isin(hashes), of(n))
+        return out.otherwise(cold)
 
     @property
     def plain(self) -> DataFrame:
@@ -101,10 +112,11 @@ class SpreadRows:
             self.rows.unpersist()
 
     def join(self, table: DataFrame, how: str = "inner") -> DataFrame:
-        if not self.hashes:
+        """Rows with the entry of ``table``, which is copied to as many sub-keys as its key has."""
+        if not self.fan:
             return self.rows.join(table, self.keys, how)
-        every = F.sequence(F.lit(0), F.lit(self.salts - 1))
-        copies = table.withColumn(_SALT, F.explode(F.when(self._is_hot(), every).otherwise(F.array(F.lit(0)))))
+        every = self._by_fan(lambda n: F.sequence(F.lit(0), F.lit(n - 1)), F.array(F.lit(0)))
+        copies = table.withColumn(_SALT, F.explode(every))
         return self.rows.join(copies, [*self.keys, _SALT], how).drop(_SALT)
 
 

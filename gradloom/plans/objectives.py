@@ -34,6 +34,10 @@ class Objective:
     # Number of coordinates, where known.
     dim: int | None = None
 
+    def extent(self) -> dict[str, int]:
+        """Key column -> number of its values, ``[0, n)``, where a start must have every one."""
+        return {}
+
     def value_grad(self, x: DataFrame) -> tuple[float, DataFrame]:
         raise NotImplementedError
 
@@ -138,8 +142,13 @@ class BatchObjective(Objective):
 
     def __init__(self, cycle: BatchCycle, dim: int):
         self.cycle, self.dim = cycle, dim
+        cycle.reads(dim)
         self._cached: list[DataFrame] = []
 
+    def extent(self) -> dict[str, int]:
+        sizes = {"idx": self.dim, "k": getattr(self, "row_dim", None)}
+        return {} if self.dim is None else {k: sizes[k] for k in self.keys}
+
     def hold(self) -> None:
         self.cycle.hold()
 
@@ -316,7 +325,7 @@ class PairRanking(BatchObjective):
         self.row_dim = row_dim
         self.sample, self.featurize = sample, featurize
         self._sampled: tuple[int, Batch] | None = None
-        self._hot: list[int] = []
+        self._hot: dict[int, int] = {}
 
     def _pairs_of(self, positives: Batch) -> Batch:
         """The positive batch and its negatives as one keyed batch, cached while current."""
@@ -324,10 +333,10 @@ class PairRanking(BatchObjective):
             return self._sampled[1].load()
         if self._sampled is not None:
             self._sampled[1].release()
-        pos = R.as_positives(positives.targets)
+        pos = R.as_positives(R.one_per_link(positives.targets))
         neg = self.sample(positives.targets)
         both = pos.unionByName(neg)
-        batch = Batch(both, self.featurize, positives.number, R.RANK_KEYS).load()
+        batch = Batch(both, self.featurize, positives.number, R.RANK_KEYS, self.dim).load()
         self._hot = R.hot_links(batch.targets)
         self._sampled = positives.number, batch
         return batch
@@ -589,6 +598,9 @@ class Combined(Objective):
             if c is not None:
                 f.restore(c)
 
+    def extent(self):
+        return self.parts[0][1].extent() or self.parts[1][1].extent()
+
     def tidy(self):
         for _, f in self.parts:
             f.tidy()

@@ -34,6 +34,7 @@ from gradloom.plans.linesearch import (
 )
 from gradloom.plans.objectives import FullLine, Objective
 from gradloom.plans.runs import RunStore
+from gradloom.schemas import require_dense
 
 log = logging.getLogger(__name__)
 
@@ -226,6 +227,7 @@ class Minimizer:
         table = table.select(*keys, "x", F.coalesce("g", F.lit(0.0)).alias("g"))
         # Cut here too: the first state's plan holds the model's whole input.
         table = self._place(cut(table.withColumns({n: F.lit(v) for n, v in self.extra_columns.items()})), objective)
+        require_dense(table, keys, objective.extent())
         gram = gram_matrix(table, self.gram_columns(0))
         objective.tidy()
         adjusted = self.adjusted(table, value)

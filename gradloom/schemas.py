@@ -11,6 +11,9 @@ multi targets  ``ex_id BIGINT, cls INT, tw DOUBLE, weight DOUBLE``
 
 from __future__ import annotations
 
+import math
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,3 +57,18 @@ def vector_violations(rows: DataFrame, dim: int) -> DataFrame:
 def class_violations(targets: DataFrame, row_dim: int) -> DataFrame:
     """Target rows whose class id is outside ``[0, row_dim)``."""
     return targets.filter(~in_range(F.col("cls"), row_dim))
+
+
+def require_dense(table: DataFrame, keys: Sequence[str], extent: dict[str, int]) -> None:
+    """Fail unless no key repeats and, where ``extent`` gives the number of a key's values, each of them is there."""
+    inside = F.lit(True)
+    for key, size in extent.items():
+        inside = inside & in_range(F.col(key), size)
+    per_key = table.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.first(F.coalesce(inside, F.lit(False))).alias("inside"))
+    facts = per_key.agg(F.max("n").alias("most"), F.count(F.lit(1)).alias("keys"), F.min("inside").alias("inside")).first()
+    if facts["most"] is not None and facts["most"] > 1:
+        raise ValueError(f"a coordinate of the start is given {facts['most']} times")
+    if extent and facts["keys"] and not facts["inside"]:
+        raise ValueError(f"the start has coordinates outside {extent}")
+    if extent and facts["keys"] != math.prod(extent.values()):
+        raise ValueError(f"the start has {facts['keys']} of {math.prod(extent.values())} coordinates")

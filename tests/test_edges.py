@@ -74,13 +74,114 @@ def test_link_violations(spark):
 # --- skew -----------------------------------------------------------------------
 
 
+def test_hot_key_is_spread_over_all_of_many_partitions(spark):
+    """A third of the rows on one key: no partition of 200 holds twice the mean, and the pieces follow the count."""
+    n, parts = 1_000_000, 200
+    key = F.when(F.col("id") % 3 == 0, F.lit(7)).when(F.col("id") % 50 == 1, F.lit(8)).otherwise(F.col("id") + 100).cast("bigint")
+    rows = spark.range(n).select(key.alias("k"), F.col("id").alias("r"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        spread = J.SpreadRows(rows, ["k"])
+        per_task = spread.rows.repartition(parts, "k", "__salt").groupBy(F.spark_partition_id()).count()
+        assert per_task.agg(F.max("count")).first()[0] < 2 * n / parts
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert sorted(spread.fan.values()) == [64, 2048]  # 2 % of the rows are 2.7 partitions, a third is 67
+    assert sum(J.pieces(parts / k) for k in range(1, 2 * parts)) < 2 * J.PIECES * parts * sum(1 / k for k in range(1, 2 * parts)) + 4 * parts
+    table = rows.select("k").distinct().withColumn("t", F.col("k") * 2)
+    got = spread.join(table).agg(F.count("*"), F.sum((F.col("t") != F.col("k") * 2).cast("int"))).first()
+    assert tuple(got) == (n, 0)
+
+
+def test_keys_of_null_and_of_no_rows(spark):
+    assert J.fan_out(spark.range(0).select(F.col("id").alias("k")), ["k"]) == {}
+    nulls = spark.range(30_000).select(F.when(F.col("id") % 2 == 0, F.col("id")).alias("k"), F.col("id").alias("r"))
+    spread = J.SpreadRows(nulls, ["k"])
+    assert len(spread.fan) == 1
+    assert spread.join(spark.range(30_000).select(F.col("id").alias("k"), F.lit(1).alias("t"))).count() == 15_000
+    assert spread.join(spark.range(30_000).select(F.col("id").alias("k"), F.lit(1).alias("t")), "left").count() == 30_000
+
+
+def test_placing_reads_its_input_once_more_than_its_keys(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(len(b))
+            yield b
+
+    rows = spark.range(20_000).select((F.col("id") % 9000).alias("k"), F.col("id").alias("r")).mapInPandas(counted, "k bigint, r bigint")
+    placed = J.SpreadRows.place(rows, ["k"])
+    table = spark.range(9000).select(F.col("id").alias("k"), F.lit(1).alias("t"))
+    assert placed.join(table).count() == placed.join(table).count() == 20_000
+    assert read.value == 2 * 20_000
+    placed.unpersist()
+
+
+# --- what loading and starting refuse ---------------------------------------------
+
+
+def linear_case(spark, fea, dim=4):
+    ex = spark.createDataFrame([(0, 1.0, 1.0), (1, 2.0, 1.0)], "ex_id bigint, label double, weight double")
+    return O.linear_l2(BatchCycle(ex, features(spark, fea)), dim)
+
+
+@pytest.mark.parametrize("bound", [J.BROADCAST_ROWS, 0])
+@pytest.mark.parametrize("bad", [4, -1, None])
+def test_feature_ids_outside_the_model_fail(spark, monkeypatch, bad, bound):
+    monkeypatch.setattr(J, "BROADCAST_ROWS", bound)
+    x = vec(spark, [0.0] * 4)
+    assert linear_case(spark, [(0, 0, 1.0), (1, 3, 1.0)]).value(x) > 0
+    rows = spark.createDataFrame([(0, 0, 1.0), (1, bad, 1.0)], "ex_id bigint, fea_id bigint, value double")
+    ex = spark.createDataFrame([(0, 1.0, 1.0), (1, 2.0, 1.0)], "ex_id bigint, label double, weight double")
+    with pytest.raises(PySparkException, match="feature id outside"):
+        O.linear_l2(BatchCycle(ex, rows), 4).value(x)
+
+
+def test_starts_that_are_not_dense_fail(spark):
+    model = linear_case(spark, [(0, 0, 1.0), (1, 3, 1.0)])
+    run = M.LBFGS(2, max_iter=1)
+    for values, message in (([0, 1, 2], "3 of 4"), ([0, 1, 2, 2, 3], "2 times"), ([0, 1, 2, 3, 4], "outside"), ([0, 1, 2, 4], "outside")):
+        x = spark.createDataFrame([(i, 0.0) for i in values], "idx bigint, v double")
+        with pytest.raises(ValueError, match=message):
+            run.minimize(model, x)
+
+
+def ranking_case(spark, pos, sample=None, **options):
+    positives = spark.createDataFrame([(link, i, item, 1.0, 1.0) for i, (link, item) in enumerate(pos)],
+                                      "link_id bigint, ex_id bigint, item bigint, weight double, rel_weight double")
+    draw = sample or (lambda p: K.neg_sample(p, 2, 3, K.uniform_items(5, 2, 3)))
+    fea = lambda e: e.select(*K.RANK_KEYS, F.explode(F.array("item", F.lit(5).cast("bigint") + F.col("link_id") % 2)).alias("fea_id"), F.lit(1.0).alias("value"))
+    return O.fm_pair_ranking(BatchCycle(positives, keys=["link_id"]), 7, 2, draw, fea, **options)
+
+
+def rank_x(spark):
+    return spark.createDataFrame([(i, k, ((i * 5 + k * 3) % 7 - 3) / 4.0) for i in range(7) for k in range(2)], "idx bigint, k int, v double")
+
+
+def test_links_with_two_positives_or_none_fail(spark):
+    x = rank_x(spark)
+    assert ranking_case(spark, [(0, 1), (1, 2)]).value(x) > 0
+    with pytest.raises(PySparkException, match="more than one positive"):
+        ranking_case(spark, [(0, 1), (0, 2)]).value(x)
+    with pytest.raises(PySparkException, match="without a link"):
+        ranking_case(spark, [(0, 1), (None, 2)]).value(x)
+
+    def astray(p):
+        return K.neg_sample(p, 2, 3, K.uniform_items(5, 2, 3)).withColumn("link_id", F.col("link_id") + F.when(F.col("i") == 1, 50).otherwise(0))
+
+    with pytest.raises(PySparkException, match="negative without a positive"):
+        ranking_case(spark, [(0, 1), (1, 2)], astray).value(x)
+
+
 def test_hot_key_is_found_split_and_joined_exactly(spark):
     n = 60_000
     key = F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id") + 100).cast("bigint")
     rows = spark.range(n).select(key.alias("k"), F.col("id").alias("r"))
     table = rows.select("k").distinct().withColumn("t", F.col("k") * 2)
     placed = J.SpreadRows.place(rows, ["k"])
-    assert len(placed.hashes) == 1
+    assert len(placed.fan) == 1
     per_task = placed.rows.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
     assert per_task < 0.45 * n  # a third sits on one key, of 4 partitions
     for spread in (placed, J.SpreadRows(rows, ["k"])):
@@ -100,6 +201,7 @@ def test_large_dimension_plan_equals_broadcast_plan(spark, monkeypatch):
     ex = spark.range(n).select(F.col("id").alias("ex_id"), (F.col("id") % 5).cast("double").alias("label"), F.lit(1.0).alias("weight"))
     x = spark.range(501).select(F.col("id").alias("idx"), (F.col("id") % 11 / 10.0).alias("v"))
     results = []
+    monkeypatch.setattr(J, "COLD_ROWS", 0)
     for bound in (J.BROADCAST_ROWS, 0):
         monkeypatch.setattr(J, "BROADCAST_ROWS", bound)
         model = O.linear_l2(BatchCycle(ex, fea), 501)
