@@ -76,7 +76,8 @@ class BatchCycle:
 
     ``policy`` says what a line search sees: ``hold`` keeps the batch of the
     last evaluation, ``refresh_on_hold`` moves on once and then holds,
-    ``no_hold`` gives every evaluation the next batch.
+    ``no_hold`` gives every evaluation the next batch.  ``epoch`` counts how
+    often the cycle began anew; it stands still while a batch is held.
     """
 
     def __init__(
@@ -95,7 +96,7 @@ class BatchCycle:
         self.policy = policy
         self.batch_column = batch_column
         self.keys = list(keys)
-        self.position = -1
+        self.position, self.epoch = -1, 0
         self.holding = False
         #: Coordinates of the model that reads the features; the smallest one if several do.
         self.dim: int | None = None
@@ -123,7 +124,8 @@ class BatchCycle:
         return targets, self.features.join(targets.select(*self.keys), self.keys, "left_semi")
 
     def advance(self, steps: int = 1) -> int:
-        self.position = (self.position + steps) % self.num_batches
+        rounds, self.position = divmod(self.position + steps, self.num_batches)
+        self.epoch += rounds
         return self.position
 
     def next(self) -> Batch:
@@ -160,15 +162,15 @@ class BatchCycle:
         self.holding = False
 
     def cursor(self) -> dict:
-        """Position and hold, as a saved run keeps them."""
-        return {"position": self.position, "holding": self.holding, "num_batches": self.num_batches}
+        """Position, epoch and hold, as a saved run keeps them."""
+        return {"position": self.position, "epoch": self.epoch, "holding": self.holding, "num_batches": self.num_batches}
 
     def restore(self, cursor: dict) -> None:
         """Stand where the cursor was taken: its batch is the current one again, the next call gives its successor."""
         if cursor["num_batches"] != self.num_batches:
             raise ValueError(f"saved with {cursor['num_batches']} batches, resumed with {self.num_batches}")
         self.free()
-        self.position, self.holding = cursor["position"], cursor["holding"]
+        self.position, self.holding, self.epoch = cursor["position"], cursor["holding"], cursor.get("epoch", 0)
         if self.position >= 0:
             self._current = Batch(*self.slice(self.position), self.position, self.keys, self.dim)
 

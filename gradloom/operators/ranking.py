@@ -35,12 +35,14 @@ def uniform_items(num_items: int, rounds: int, per_round: int, choice: Column |
     """Sampler that swaps the item for one of the ``num_items - 1`` others.
 
     ``choice`` is any non-negative BIGINT expression over the expanded rows;
-    the default hashes (link, round, i).
+    the default hashes (link, round, i) and, where positives carry it, the
+    ``epoch``: a counter-based draw, the same on every recomputation.
     """
     others = F.lit(num_items - 1).cast("bigint")
-    pick = F.xxhash64("link_id", "iter", "i") if choice is None else choice
 
     def sampler(grid: DataFrame) -> DataFrame:
+        counters = [c for c in ("epoch", *RANK_KEYS) if c in grid.columns]
+        pick = F.xxhash64(*counters) if choice is None else choice
         shifted = (F.col("item") + 1 + F.pmod(pick, others)) % F.lit(num_items).cast("bigint")
         share = F.col("rel_weight") / F.lit(float(rounds * per_round))
         new_id = F.col("ex_id") * F.lit(per_round).cast("bigint") + F.col("i")

@@ -11,11 +11,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradloom.functions.elementwise import ieee_divide
+from gradloom.schemas import in_range, require
 
 VECTOR_KEYS = ("idx",)
 MATRIX_KEYS = ("idx", "k")
@@ -112,6 +113,17 @@ def dense_blocks(vec: DataFrame, block_size: int, keys: Sequence[str] = VECTOR_K
     )
 
 
+def _in_blocks(table: DataFrame, block_size: int, cols: Sequence[str]) -> DataFrame:
+    return table.select(F.floor(F.col("idx") / F.lit(block_size)).cast("bigint").alias("block"), *cols)
+
+
+def _checked(out, shape: tuple[int, ...]) -> np.ndarray:
+    out = np.asarray(out, dtype=np.float64)
+    if out.shape != shape:
+        raise ValueError(f"a block function returned shape {out.shape} for a block of {shape}")
+    return out
+
+
 def map_blocks(
     table: DataFrame,
     block_size: int,
@@ -127,15 +139,54 @@ def map_blocks(
     """
     cols = list(cols)
 
-    def on_block(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("idx")
-        args = [pdf[c].to_numpy() for c in cols]
-        if keyed:
-            args = [pdf["idx"].to_numpy(), *args]
-        return pd.DataFrame({"idx": pdf["idx"].to_numpy(), "v": f(*args)})
+    def on_block(block: pa.Table) -> pa.Table:
+        block = block.sort_by("idx")
+        idx, *args = (block[c].to_numpy() for c in ("idx", *cols))
+        out = f(idx, *args) if keyed else f(*args)
+        return pa.table({"idx": idx, "v": _checked(out, idx.shape)})
+
+    return _in_blocks(table, block_size, ["idx", *cols]).groupBy("block").applyInArrow(on_block, "idx bigint, v double")
+
+
+def map_matrix_blocks(
+    mat: DataFrame,
+    row_dim: int,
+    block_size: int,
+    f: Callable[..., np.ndarray],
+    other: DataFrame | None = None,
+    keyed: bool = False,
+) -> DataFrame:
+    """Apply a NumPy function to blocks of whole matrix columns, alone or side by side with another matrix's.
+
+    ``f`` gets an array of ``row_dim`` times the block's coordinates for each matrix, in order of ``k`` and
+    ``idx``; when ``keyed`` it first gets the coordinates.  It returns an array of that shape.  Entries that
+    are absent are 0; a block has the coordinates that either matrix has.  A ``k`` outside ``[0, row_dim)``
+    and a repeated entry fail.  A group has at most ``row_dim * block_size`` entries of each matrix.
+    """
 
-    block = F.floor(F.col("idx") / F.lit(block_size)).cast("bigint").alias("block")
-    return table.select("idx", *cols, block).groupBy("block").applyInPandas(on_block, "idx bigint, v double")
+    def cells(table: DataFrame) -> DataFrame:
+        known = require(table, (in_range(F.col("k"), row_dim), "matrix row outside [0, row_dim)"))
+        return _in_blocks(known, block_size, ["idx", "k", "v"]).groupBy("block")
+
+    def filled(block: pa.Table, idx: np.ndarray) -> np.ndarray:
+        at = block["k"].to_numpy().astype(np.int64) * len(idx) + np.searchsorted(idx, block["idx"].to_numpy())
+        if len(np.unique(at)) < len(at):
+            raise ValueError("a repeated matrix entry")
+        out = np.zeros(row_dim * len(idx))
+        out[at] = block["v"].to_numpy()
+        return out.reshape(row_dim, len(idx))
+
+    def on_blocks(*blocks: pa.Table) -> pa.Table:
+        idx = np.unique(np.concatenate([b["idx"].to_numpy() for b in blocks]))
+        args = [filled(b, idx) for b in blocks]
+        out = _checked(f(idx, *args) if keyed else f(*args), (row_dim, len(idx)))
+        k = np.repeat(np.arange(row_dim, dtype=np.int32), len(idx))
+        return pa.table({"idx": np.tile(idx, row_dim), "k": k, "v": out.ravel()})
+
+    schema = "idx bigint, k int, v double"
+    if other is None:
+        return cells(mat).applyInArrow(lambda block: on_blocks(block), schema)
+    return cells(mat).cogroup(cells(other)).applyInArrow(lambda one, two: on_blocks(one, two), schema)
 
 
 def widen(mat: DataFrame, row_dim: int, prefix: str = "v", keys: Iterable[str] = ("idx",)) -> DataFrame:

@@ -21,8 +21,9 @@ from gradloom.operators import gradients as G
 from gradloom.operators import ranking as R
 from gradloom.operators import scoring as S
 from gradloom.operators import transport as T
-from gradloom.operators.batches import NO_HOLD, Batch, BatchCycle
+from gradloom.operators.batches import HOLD, NO_HOLD, Batch, BatchCycle
 from gradloom.operators.vectors import widen
+from gradloom.plans.lineage import cut
 
 
 class Objective:
@@ -308,7 +309,12 @@ class PairRanking(BatchObjective):
     The cycle's targets are positives (``link_id, ex_id, item, weight,
     rel_weight``); ``sample`` makes negatives of a batch of positives and
     ``featurize`` turns keyed examples of either kind into feature rows.
-    Negatives of all rounds are scored in one query.
+    Negatives of all rounds are scored in one query; ``evaluate_rounds`` keeps
+    one round at a time instead.
+
+    With ``fresh``, ``sample`` sees the cycle's ``epoch`` as a column, and each
+    epoch has negatives of its own, drawn again only when the cycle moves on:
+    a line search that holds its batch holds its negatives too.
     """
 
     keys = ("idx", "k")
@@ -320,33 +326,80 @@ class PairRanking(BatchObjective):
         row_dim: int,
         sample: Callable[[DataFrame], DataFrame],
         featurize: Callable[[DataFrame], DataFrame],
+        fresh: bool = False,
     ):
         super().__init__(positives, dim)
-        self.row_dim = row_dim
+        self.row_dim, self.fresh = row_dim, fresh
         self.sample, self.featurize = sample, featurize
-        self._sampled: tuple[int, Batch] | None = None
+        self._sampled: tuple[tuple[int, int], Batch] | None = None
         self._hot: dict[int, int] = {}
 
     def _pairs_of(self, positives: Batch) -> Batch:
         """The positive batch and its negatives as one keyed batch, cached while current."""
-        if self._sampled is not None and self._sampled[0] == positives.number:
+        drawn = positives.number, self.cycle.epoch if self.fresh else 0
+        if self._sampled is not None and self._sampled[0] == drawn:
             return self._sampled[1].load()
         if self._sampled is not None:
             self._sampled[1].release()
-        pos = R.as_positives(R.one_per_link(positives.targets))
-        neg = self.sample(positives.targets)
-        both = pos.unionByName(neg)
-        batch = Batch(both, self.featurize, positives.number, R.RANK_KEYS, self.dim).load()
+        batch = self._with_negatives(positives, self._negatives(positives))
         self._hot = R.hot_links(batch.targets)
-        self._sampled = positives.number, batch
+        self._sampled = drawn, batch
         return batch
 
+    def _negatives(self, positives: Batch) -> DataFrame:
+        if not self.fresh:
+            return self.sample(positives.targets)
+        if "epoch" in positives.targets.columns:
+            raise ValueError("positives have a column epoch, which the sampler is to be given")
+        return self.sample(positives.targets.withColumn("epoch", F.lit(self.cycle.epoch).cast("bigint"))).drop("epoch")
+
+    def _with_negatives(self, positives: Batch, negatives: DataFrame) -> Batch:
+        both = R.as_positives(R.one_per_link(positives.targets)).unionByName(negatives)
+        return Batch(both, self.featurize, positives.number, R.RANK_KEYS, self.dim).load()
+
+    def line_starts_at_state(self) -> bool:
+        return self.cycle.policy == HOLD if self.fresh else super().line_starts_at_state()
+
+    def same_data_next(self) -> bool:
+        return not self.fresh and super().same_data_next()
+
+    def line(self, xd):
+        if self.fresh and (self.cycle.policy == NO_HOLD or not self.cycle.holding):
+            return FullLine(self, xd)
+        return super().line(xd)
+
+    def evaluate_rounds(self, x: DataFrame, rounds: int) -> tuple[float, DataFrame]:
+        """Like ``evaluate``, with the negatives of one round cached at a time.
+
+        A round adds its losses, weights and slopes to running sums; those of the gradient are a table as
+        large as the parameters.  The positives are scored again in every round.
+        """
+        positives = self.cycle.next()
+        drawn = self._negatives(positives)
+        loss = weight = 0.0
+        running = None
+        for number in range(rounds):
+            batch = self._with_negatives(positives, drawn.filter(F.col("iter") == number))
+            scored = self._keep(self._scored(batch, x))
+            losses = self._keep(self._pair_losses(scored, R.hot_links(batch.targets)))
+            total = losses.agg(F.sum("loss").alias("loss"), F.sum("weight").alias("weight")).first()
+            loss, weight = loss + (total["loss"] or 0.0), weight + (total["weight"] or 0.0)
+            sums = scored.select(*R.RANK_KEYS, *[f"s{i}" for i in range(self.row_dim)])
+            grad = self._push(batch, sums, losses, x, 1.0)
+            # Written, so that the round's rows can go.
+            running = cut(grad if running is None else running.unionByName(grad).groupBy("idx", "k").agg(F.sum("g").alias("g")))
+            self.tidy()
+            batch.release()
+        if not weight:
+            raise ValueError("no pair has a weight")
+        return loss / weight, running.withColumn("g", F.col("g") / F.lit(weight))
+
     def _scored(self, batch: Batch, x: DataFrame) -> DataFrame:
         return R.score_ranked(batch.targets, batch.for_scoring(self.dim), x, self.row_dim, self.dim)
 
-    def _pair_losses(self, scored: DataFrame) -> DataFrame:
+    def _pair_losses(self, scored: DataFrame, hot: dict[int, int] | None = None) -> DataFrame:
         positive = F.col("iter") < 0
-        return R.pair_losses(scored.filter(positive), scored.filter(~positive), self._hot)
+        return R.pair_losses(scored.filter(positive), scored.filter(~positive), self._hot if hot is None else hot)
 
     def value(self, x: DataFrame) -> float:
         batch = self._pairs_of(self.cycle.next())
@@ -407,8 +460,8 @@ class PairRanking(BatchObjective):
         return SumLine(pairs, terms, 1.0 / total)
 
 
-def fm_pair_ranking(positives, dim, row_dim, sample, featurize) -> PairRanking:
-    return PairRanking(positives, dim, row_dim, sample, featurize)
+def fm_pair_ranking(positives, dim, row_dim, sample, featurize, fresh=False) -> PairRanking:
+    return PairRanking(positives, dim, row_dim, sample, featurize, fresh)
 
 
 class TransportDual(Objective):

@@ -58,6 +58,8 @@ def rows_of(spark: SparkSession, sf: str, name: str) -> int:
 
 
 CTES: dict[str, str] = {}
+# Fixtures that a statement uses several times and that are worked out once: the joins over them have no other good order.
+ONCE = {"rank_sum", "rank_score"}
 
 
 def with_fixtures(body: str) -> str:
@@ -75,7 +77,7 @@ def with_fixtures(body: str) -> str:
 
     open_names: set[str] = set()
     visit(body)
-    parts = [f"{n} AS ({CTES[n]})" for n in used]
+    parts = [f"{n} AS {'MATERIALIZED ' if n in ONCE else ''}({CTES[n]})" for n in used]
     if not parts:
         return body
     if chained:
@@ -246,6 +248,14 @@ CTES["rank_pull"] = """SELECT f.fea_id, s.k, sum(f.value * sl.dscore * s.s) AS a
 CTES["rank_grad"] = """SELECT p.fea_id AS idx, p.k, (p.a - v.v * p.c) / (SELECT sum(weight) FROM rank_loss) AS g
   FROM rank_pull p JOIN rank_v v ON v.idx = p.fea_id AND v.k = p.k"""
 
+# The same chain with the negatives of the next epoch.
+_NEXT = r"\brank_(neg|ex|fea|sum|score|pair|loss|slope|pull|grad)\b"
+for _name in re.findall(r"rank_[a-z]+", " ".join(CTES)):
+    if re.fullmatch(_NEXT, _name):
+        CTES[_name.replace("rank_", "rank1_")] = re.sub(_NEXT, r"rank1_\1", CTES[_name])
+CTES["rank1_neg"] = CTES["rank1_neg"].replace("i * 7)", "i * 7 + 13)")
+ONCE |= {"rank1_sum", "rank1_score"}
+
 
 def rank_pos(spark, sf) -> DataFrame:
     items = read(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.min("l_partkey").alias("item"))
@@ -265,10 +275,11 @@ def modular_choice() -> Column:
     return F.col("link_id") * 31 + F.col("iter") * 17 + F.col("i") * 7
 
 
-def rank_sampler(parts: int):
+def rank_sampler(parts: int, epochs: bool = False):
+    """The sampler of ``rank_neg``; with ``epochs``, of a column ``epoch`` too."""
     from gradloom.operators.ranking import uniform_items
 
-    return uniform_items(parts, ROUNDS, PER_ROUND, modular_choice())
+    return uniform_items(parts, ROUNDS, PER_ROUND, modular_choice() + F.col("epoch") * 13 if epochs else modular_choice())
 
 
 def rank_features(parts: int):

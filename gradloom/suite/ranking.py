@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from gradloom.operators import ranking as K
 from gradloom.operators.batches import BatchCycle
 from gradloom.operators.gradients import forward
+from gradloom.plans.lineage import cut
 from gradloom.plans.objectives import fm_pair_ranking
 from gradloom.sources.generators import ranked_positives
 from gradloom.suite.base import (
@@ -42,7 +43,8 @@ def scored(spark, sf):
 
 def losses(spark, sf):
     rows = scored(spark, sf)
-    return pairs_of(rows, K.hot_links(negatives(spark, sf)))
+    # Every positive has as many negatives as any other, so its links tell the hot ones.
+    return pairs_of(rows, K.hot_links(rank_pos(spark, sf)))
 
 
 def pairs_of(rows, hot):
@@ -101,7 +103,7 @@ def forward_pairs(spark, sf):
 def backward_fm_pairs(spark, sf):
     parts = rows_of(spark, sf, "part")
     rows = scored(spark, sf)
-    pairs = pairs_of(rows, K.hot_links(negatives(spark, sf)))
+    pairs = pairs_of(rows, K.hot_links(rank_pos(spark, sf)))
     total = pairs.agg(F.sum("weight")).first()[0]
     sums = rows.select(*K.RANK_KEYS, *[f"s{i}" for i in range(FACTORS)])
     slopes = sums.join(K.pair_slopes(pairs), K.RANK_KEYS)
@@ -110,10 +112,11 @@ def backward_fm_pairs(spark, sf):
     return grad.select("idx", "k", rnd("g", 9).alias("g"))
 
 
-def ranking_model(spark, sf):
+def ranking_model(spark, sf, fresh=False):
     parts = rows_of(spark, sf, "part")
     cycle = BatchCycle(rank_pos(spark, sf), keys=["link_id"])
-    return fm_pair_ranking(cycle, parts + 26, FACTORS, lambda pos: K.neg_sample(pos, ROUNDS, PER_ROUND, rank_sampler(parts)), rank_features(parts))
+    sampler = rank_sampler(parts, fresh)
+    return fm_pair_ranking(cycle, parts + 26, FACTORS, lambda pos: K.neg_sample(pos, ROUNDS, PER_ROUND, sampler), rank_features(parts), fresh)
 
 
 @case(
@@ -127,6 +130,42 @@ def fm_pair_ranking_case(spark, sf):
     return grad.select("idx", "k", rnd("g", 9).alias("g"), rnd(F.lit(value)).alias("value"))
 
 
+def _value_grad_sql(epoch: int, chain: str) -> str:
+    return f"""SELECT {epoch}::INTEGER AS epoch, v.idx, v.k, {R('coalesce(g.g, 0)', 9)} AS g,
+    {R(f'(SELECT sum(loss) / sum(weight) FROM {chain}_loss)')} AS value
+    FROM rank_v v LEFT JOIN {chain}_grad g ON g.idx = v.idx AND g.k = v.k"""
+
+
+@case("fm_pair_ranking_epochs", f"{_value_grad_sql(0, 'rank')} UNION ALL {_value_grad_sql(1, 'rank1')}")
+def fm_pair_ranking_epochs(spark, sf):
+    """Two epochs, each with negatives of its own; within a held batch they stand still."""
+    model, v = ranking_model(spark, sf, fresh=True), rank_v(spark, sf)
+    out = []
+    for epoch in range(2):
+        value, grad = model.evaluate(v)
+        with model.cycle.held():
+            value_again = model.value(v)
+        if model.cycle.epoch != epoch or abs(value_again - value) > 1e-12 * abs(value):
+            raise ValueError("negatives changed while their batch was held")
+        full = v.select("idx", "k").join(grad, ["idx", "k"], "left")
+        out.append(full.select(F.lit(epoch).alias("epoch"), "idx", "k", rnd(F.coalesce("g", F.lit(0.0)), 9).alias("g"), rnd(F.lit(value)).alias("value")))
+        out[-1] = cut(out[-1])
+    return out[0].unionByName(out[1])
+
+
+@case(
+    "fm_pair_ranking_rounds",
+    f"""SELECT v.idx, v.k, {R('coalesce(g.g, 0)', 9)} AS g, {R('(SELECT sum(loss) / sum(weight) FROM rank_loss)')} AS value
+    FROM rank_v v LEFT JOIN rank_grad g ON g.idx = v.idx AND g.k = v.k""",
+)
+def fm_pair_ranking_rounds(spark, sf):
+    """Value and gradient added up over the sampling rounds, one of which is kept at a time."""
+    v = rank_v(spark, sf)
+    value, grad = ranking_model(spark, sf).evaluate_rounds(v, ROUNDS)
+    full = v.select("idx", "k").join(grad, ["idx", "k"], "left")
+    return full.select("idx", "k", rnd(F.coalesce("g", F.lit(0.0)), 9).alias("g"), rnd(F.lit(value)).alias("value"))
+
+
 @case(
     "neg_batches_accumulate",
     f"""SELECT iter, {R('sum(loss)', 4)} AS loss, {R('sum(weight)', 4)} AS weight,

@@ -189,8 +189,24 @@ def map_blocks_keyed(spark, sf):
     f"SELECT idx, k, {R('v * 2 + 1')} AS v FROM (SELECT idx, k, v - sum(v) OVER (PARTITION BY idx) AS v FROM mat_b)",
 )
 def mat_map_blocks(spark, sf):
-    """Blocks of whole matrix columns: a column's mean-free values, by a window over the column."""
-    wide = V.widen(mat_b(spark, sf), 5)
-    total = sum((F.col(f"v{i}") for i in range(1, 5)), F.col("v0"))
-    moved = wide.select("idx", *[((F.col(f"v{i}") - total) * 2 + 1).alias(f"v{i}") for i in range(5)])
-    return _out(V.lengthen(moved, 5, "v", "v", ["idx"]), MK)
+    """Blocks of whole matrix columns: twice a column's values less its sum, and one."""
+    return _out(V.map_matrix_blocks(mat_b(spark, sf), 5, 217, lambda m: (m - m.sum(axis=0)) * 2 + 1), MK)
+
+
+@case(
+    "mat_map_blocks_binary",
+    f"""SELECT idx, k, {R('coalesce(a, 0) * tot + coalesce(b, 0)')} AS v FROM (
+    SELECT coalesce(a.idx, b.idx) AS idx, coalesce(a.k, b.k) AS k, a.v AS a, b.v AS b,
+      sum(coalesce(b.v, 0)) OVER (PARTITION BY coalesce(a.idx, b.idx)) AS tot
+    FROM mat_a a FULL JOIN mat_b b ON a.idx = b.idx AND a.k = b.k)""",
+)
+def mat_map_blocks_binary(spark, sf):
+    """Two matrices side by side: the first times the second's column sum, plus the second."""
+    return _out(V.map_matrix_blocks(mat_a(spark, sf), 5, 217, lambda a, b: a * b.sum(axis=0) + b, mat_b(spark, sf)), MK)
+
+
+@case("mat_map_blocks_keyed", f"SELECT idx, k, {R('v * (idx % 4) + k')} AS v FROM mat_b")
+def mat_map_blocks_keyed(spark, sf):
+    import numpy as np
+
+    return _out(V.map_matrix_blocks(mat_b(spark, sf), 5, 217, lambda i, m: m * (i % 4) + np.arange(5)[:, None], keyed=True), MK)
