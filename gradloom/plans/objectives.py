@@ -13,7 +13,7 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradloom.functions import losses as L
@@ -24,6 +24,7 @@ from gradloom.operators import transport as T
 from gradloom.operators.batches import HOLD, NO_HOLD, Batch, BatchCycle
 from gradloom.operators.vectors import widen
 from gradloom.plans.lineage import cut
+from gradloom.schemas import in_range, require
 
 
 class Objective:
@@ -303,6 +304,90 @@ def linear_softmax(cycle: BatchCycle, dim: int, row_dim: int) -> SoftmaxModel:
     return SoftmaxModel(cycle, dim, row_dim)
 
 
+class LongSoftmax(BatchObjective):
+    """Multi-label softmax for any number of classes; parameters ``idx, k, v``, dense.
+
+    No column and no broadcast grows with the classes: scores are rows ``ex_id, k``, and an example's sum of
+    exponentials is kept as its largest score and a scaled sum.  The cycle's targets are long (``ex_id, cls, tw,
+    weight``); an example's are a map, which comes to its scores where they lie.  Repeated targets add up, an
+    example without features scores 0 in every class, and a class outside ``[0, row_dim)`` fails.
+    """
+
+    keys = ("idx", "k")
+
+    def __init__(self, cycle: BatchCycle, dim: int, row_dim: int):
+        super().__init__(cycle, dim)
+        self.row_dim = row_dim
+        self._weights: dict[int, float] = {}
+
+    def _targets(self, batch: Batch) -> DataFrame:
+        """``ex_id, weight, ts``: the target weights of an example by class."""
+        known = require(batch.targets, (in_range(F.col("cls"), self.row_dim), "target class outside [0, row_dim)"), (F.col("tw").isNotNull(), "null target weight"))
+        per_class = known.groupBy("ex_id", "cls").agg(F.sum("tw").alias("tw"), F.max("weight").alias("weight"))
+        entries = F.map_from_entries(F.collect_list(F.struct("cls", "tw")))
+        return per_class.groupBy("ex_id").agg(F.max("weight").alias("weight"), entries.alias("ts"))
+
+    def _total(self, batch: Batch) -> float:
+        if batch.number not in self._weights:
+            self._weights[batch.number] = batch.load().targets.groupBy("ex_id").agg(F.max("weight").alias("weight")).agg(F.sum("weight")).first()[0] or 0.0
+        return self._weights[batch.number]
+
+    def _cells(self, batch: Batch, x: DataFrame, columns: Sequence[str], names: Sequence[str]) -> DataFrame:
+        """``ex_id, weight, ts, k`` and a score per weight column; one row without k where an example has no feature."""
+        entries = self.dim * self.row_dim  # decides on the broadcast: rows of the parameter table, not coordinates
+        scores = S.weighted_sums(batch.for_scoring(entries), x, columns, names, ["ex_id", "k"], entries)
+        return self._targets(batch).join(scores, "ex_id", "left")
+
+    def _stage(self, df: DataFrame, tag: str, score: Column) -> DataFrame:
+        """Add probability, target and slope of each cell, and its part of the loss."""
+        example = Window.partitionBy("ex_id")
+        top, total, p, part, pull = (f"{n}{tag}" for n in ("top", "total", "p", "part", "pull"))
+        df = df.withColumn(p, score).withColumn(top, F.max(p).over(example)).withColumn(p, F.exp(F.col(p) - F.col(top)))
+        df = df.withColumn(total, F.sum(p).over(example))
+        # An example without features has one row, and 1 / row_dim in each class.
+        blank = F.col("k").isNull()
+        df = df.withColumn(p, F.when(blank, F.lit(1.0 / self.row_dim)).otherwise(F.col(p) / F.col(total)))
+        given = F.aggregate(F.map_values("ts"), F.lit(0.0), lambda acc, t: acc + t)
+        df = df.withColumn("t", F.when(blank, given).otherwise(F.coalesce(F.try_element_at("ts", F.col("k")), F.lit(0.0))))
+        df = df.withColumn(part, F.col("t") * F.col(p) / (F.col(p) + F.lit(L.GUARD))).withColumn(pull, F.sum(part).over(example))
+        slope = F.col("weight") * (F.col(p) * F.col(pull) - F.col(part))
+        loss = -F.col("weight") * F.col("t") * F.log(F.col(p) + F.lit(L.GUARD))
+        return df.withColumns({f"loss{tag}": loss, f"dscore{tag}": slope}).drop(top, total, p, part, pull, "t")
+
+    def losses(self, batch, x):
+        cells = self._cells(batch, x, ["v"], ["s"])
+        return self._stage(cells, "", F.coalesce("s", F.lit(0.0))).select("ex_id", "k", "loss", "dscore")
+
+    def value(self, x):
+        batch = self.cycle.next()
+        return (self.losses(batch, x).agg(F.sum("loss")).first()[0] or 0.0) / self._total(batch)
+
+    def evaluate(self, x):
+        batch = self.cycle.next()
+        losses = self._keep(self.losses(batch, x))
+        return (losses.agg(F.sum("loss")).first()[0] or 0.0) / self._total(batch), self.gradient_of(batch, losses, x)
+
+    def gradient_of(self, batch, losses, x):
+        slopes = losses.where(F.col("k").isNotNull()).select("ex_id", "k", "dscore")
+        pushed = batch.by_example.join(slopes).groupBy(F.col("fea_id").alias("idx"), "k").agg(F.sum(F.col("value") * F.col("dscore")).alias("g"))
+        return pushed.withColumn("g", F.col("g") / F.lit(self._total(batch)))
+
+    def held_line(self, batch, xd):
+        cells = self._cells(batch, xd, ["x", "d"], ["s", "sd"]).na.fill(0.0, ["s", "sd"])
+
+        def stage(df, tag, a):
+            return self._stage(df, tag, F.col("s") + F.lit(a) * F.col("sd"))
+
+        def finish(a):
+            return self.gradient_of(batch, stage(cells, "", a), xd)
+
+        return SumLine(cells, lambda tag: (F.col(f"loss{tag}"), F.col(f"dscore{tag}") * F.col("sd")), 1.0 / self._total(batch), finish, stage)
+
+
+def linear_softmax_long(cycle: BatchCycle, dim: int, row_dim: int) -> LongSoftmax:
+    return LongSoftmax(cycle, dim, row_dim)
+
+
 class PairRanking(BatchObjective):
     """Sampled pairwise ranking with a factorization machine; parameters ``idx, k, v``.
 

@@ -215,6 +215,44 @@ def m0(spark, sf) -> DataFrame:
     return cells.select("idx", "k", (((F.col("idx") * 5 + F.col("k") * 3) % 17 - 8) / 23.0).alias("v"))
 
 
+# --- two of very many classes for each customer ------------------------------------
+
+MANY = 2000
+CTES["many_fea"] = """SELECT c_custkey AS ex_id, c_nationkey::BIGINT AS fea_id, 1.0::DOUBLE AS value FROM customer
+  UNION ALL SELECT c_custkey, 25::BIGINT, c_acctbal / 10007.0::DOUBLE FROM customer"""
+CTES["many_x"] = f"""SELECT idx::BIGINT AS idx, k::INTEGER AS k, ((idx * 5 + k * 3) % 17 - 8) / 23.0::DOUBLE AS v
+  FROM range(26) i(idx), range({MANY}) j(k)"""
+CTES["many_t"] = f"""SELECT ex_id, k, sum(t) AS t FROM (
+  SELECT c_custkey AS ex_id, (c_custkey * 7) % {MANY} AS k, 0.75::DOUBLE AS t FROM customer
+  UNION ALL SELECT c_custkey, (c_custkey * 11 + 1) % {MANY}, 0.25::DOUBLE FROM customer) GROUP BY 1, 2"""
+CTES["many_p"] = """SELECT ex_id, k, e / sum(e) OVER (PARTITION BY ex_id) AS p FROM (
+  SELECT ex_id, k, exp(s - max(s) OVER (PARTITION BY ex_id)) AS e FROM (
+  SELECT ex_id, k, sum(value * v) AS s FROM many_fea JOIN many_x ON fea_id = idx GROUP BY 1, 2))"""
+CTES["many_cell"] = """SELECT p.ex_id, p.k, p, coalesce(t, 0.0::DOUBLE) AS t, (1 + p.ex_id % 3)::DOUBLE AS weight,
+  coalesce(t, 0.0::DOUBLE) * p / (p + 1e-24) AS part FROM many_p p LEFT JOIN many_t t ON p.ex_id = t.ex_id AND p.k = t.k"""
+CTES["many_loss"] = """SELECT ex_id, max(weight) AS weight, -max(weight) * sum(t * ln(p + 1e-24)) AS loss FROM many_cell GROUP BY 1"""
+CTES["many_slope"] = """SELECT ex_id, k, weight * (p * sum(part) OVER (PARTITION BY ex_id) - part) AS dscore FROM many_cell"""
+CTES["many_grad"] = """SELECT fea_id AS idx, k, sum(value * dscore) / (SELECT sum(weight) FROM many_loss) AS g
+  FROM many_fea f JOIN many_slope s ON f.ex_id = s.ex_id GROUP BY 1, 2"""
+
+
+def many_classes(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Long targets, features and parameters of ``MANY`` classes."""
+    people = read(spark, sf, "customer").withColumn("ex_id", F.col("c_custkey"))
+
+    def pairs(a, b, **names):
+        return people.select("ex_id", F.explode(F.array(F.struct(*a), F.struct(*b))).alias("e")).select("ex_id", *[F.col(f"e.col{i + 1}").cast(t).alias(n) for i, (n, t) in enumerate(names.items())])
+
+    key = F.col("c_custkey")
+    targets = pairs([((key * 7) % MANY).cast("int").alias("col1"), F.lit(0.75).alias("col2")],
+                    [((key * 11 + 1) % MANY).cast("int").alias("col1"), F.lit(0.25).alias("col2")], cls="int", tw="double")
+    fea = pairs([F.col("c_nationkey").cast("bigint").alias("col1"), F.lit(1.0).alias("col2")],
+                [F.lit(25).cast("bigint").alias("col1"), (F.col("c_acctbal") / 10007.0).alias("col2")], fea_id="bigint", value="double")
+    cells = spark.range(26).select(F.col("id").alias("idx"), F.explode(F.sequence(F.lit(0), F.lit(MANY - 1))).alias("k"))
+    x = cells.select("idx", "k", (((F.col("idx") * 5 + F.col("k") * 3) % 17 - 8) / 23.0).alias("v"))
+    return targets.withColumn("weight", (F.col("ex_id") % 3 + 1).cast("double")), fea, x
+
+
 # --- ranking of items in orders -------------------------------------------------
 
 FACTORS, ROUNDS, PER_ROUND = 4, 3, 5

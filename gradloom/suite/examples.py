@@ -24,6 +24,8 @@ from gradloom.suite.base import (
     fea,
     fea_emb,
     fea_nobias,
+    MANY,
+    many_classes,
     m0,
     pot0,
     rank_pos,
@@ -351,6 +353,26 @@ def linear_softmax(spark, sf):
     return grad.select("idx", "k", rnd("g", 7).alias("g"), rnd(F.lit(value)).alias("value"))
 
 
+@case("linear_softmax_long", f"SELECT idx, k, {R('g', 7)} AS g, {R('(SELECT sum(loss) / sum(weight) FROM mloss)')} AS value FROM mgrad")
+def linear_softmax_long(spark, sf):
+    """The same objective with classes as rows."""
+    cycle = BatchCycle(ex_multi(spark, sf), fea_emb(spark, sf))
+    value, grad = O.linear_softmax_long(cycle, EMBED_DIM, CLASSES).value_grad(m0(spark, sf))
+    return grad.select("idx", "k", rnd("g", 7).alias("g"), rnd(F.lit(value)).alias("value"))
+
+
+@case(
+    "linear_softmax_many_classes",
+    f"""SELECT x.idx, x.k, {R('coalesce(g.g, 0)', 9)} AS g, {R('(SELECT sum(loss) / sum(weight) FROM many_loss)')} AS value
+    FROM many_x x LEFT JOIN many_grad g ON g.idx = x.idx AND g.k = x.k""",
+)
+def linear_softmax_many_classes(spark, sf):
+    """Value and gradient over two thousand classes."""
+    targets, features, x = many_classes(spark, sf)
+    value, grad = O.linear_softmax_long(BatchCycle(targets, features), 26, MANY).value_grad(x)
+    return grad.select("idx", "k", rnd("g", 9).alias("g"), rnd(F.lit(value)).alias("value"))
+
+
 @case(
     "objective_lincomb",
     f"""SELECT idx, {R('0.8 * g + 0.05 * v', 8)} AS g,
