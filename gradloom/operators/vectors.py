@@ -82,25 +82,30 @@ def norm(table: DataFrame, col: str = "v", p: float = 2.0) -> DataFrame:
     return table.agg(F.coalesce(total, F.lit(0.0)).alias("norm"))
 
 
-def gram(table: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """All inner products of ``cols`` in one pass: one row, columns ``dot_i_j`` with i <= j."""
+def gram(table: DataFrame, cols: Sequence[str], *more: Column) -> DataFrame:
+    """All inner products of ``cols`` in one pass: one row, columns ``dot_i_j`` with i <= j, and ``more`` aggregates."""
     sums = [
         F.coalesce(F.sum(F.col(a) * F.col(cols[j])), F.lit(0.0)).alias(f"dot_{i}_{j}")
         for i, a in enumerate(cols)
         for j in range(i, len(cols))
     ]
-    return table.agg(*sums)
+    return table.agg(*sums, *more)
 
 
 def gram_matrix(table: DataFrame, cols: Sequence[str]) -> np.ndarray:
     """The Gram matrix as a small driver-side array of ``len(cols)`` squared numbers."""
-    row = gram(table, cols).first()
+    return gram_and_sum(table, cols, F.lit(0.0))[0]
+
+
+def gram_and_sum(table: DataFrame, cols: Sequence[str], term: Column) -> tuple[np.ndarray, float]:
+    """The Gram matrix and the sum of ``term`` over the rows, from one aggregate."""
+    row = gram(table, cols, F.sum(term).alias("total")).first()
     n = len(cols)
     out = np.empty((n, n))
     for i in range(n):
         for j in range(i, n):
             out[i, j] = out[j, i] = row[f"dot_{i}_{j}"]
-    return out
+    return out, row["total"] or 0.0
 
 
 def dense_blocks(vec: DataFrame, block_size: int, keys: Sequence[str] = VECTOR_KEYS) -> DataFrame:

@@ -8,9 +8,10 @@ they need now, so a search is usually one or two jobs.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
-from typing import NamedTuple, Protocol
+from functools import cached_property
+from typing import Protocol
 
 
 class MinimizeError(RuntimeError):
@@ -33,14 +34,21 @@ class BadHistory(MinimizeError):
     pass
 
 
-class Point(NamedTuple):
+@dataclass(frozen=True)
+class Point:
+    """A probed step; its slope may be a function, called when the slope is first read."""
+
     alpha: float
     value: float
-    slope: float
+    given: float | Callable[[], float]
+
+    @cached_property
+    def slope(self) -> float:
+        return self.given() if callable(self.given) else self.given
 
 
 class Line(Protocol):
-    def probe(self, alphas: Sequence[float]) -> list[tuple[float, float]]: ...
+    def probe(self, alphas: Sequence[float]) -> list[tuple[float, float | Callable[[], float]]]: ...
 
 
 class Search(Protocol):

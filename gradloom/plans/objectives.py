@@ -57,6 +57,14 @@ class Objective:
         """The function along ``keys, x, d``; the default evaluates everything per step."""
         return FullLine(self, xd)
 
+    def tries_at_once(self) -> bool:
+        """Whether :meth:`trials` scores its points together, so that more points cost no further pass."""
+        return False
+
+    def trials(self, points: DataFrame, names: Sequence[str]) -> "Trials":
+        """The function at the points that are the columns ``names`` of ``points``."""
+        return Trials(self, points, names)
+
     def hold(self) -> None:
         """Keep the current batch for a line search."""
 
@@ -82,6 +90,48 @@ class Objective:
         """Drop caches of finished evaluations."""
 
 
+class Trials:
+    """Values at several points of one table, and the gradient at any of them; evaluates each by itself."""
+
+    def __init__(self, objective: Objective, points: DataFrame, names: Sequence[str]):
+        self.objective, self.points, self.names = objective, points, names
+        self._gradients: dict[int, DataFrame] = {}
+
+    def values(self) -> list[float]:
+        out = []
+        for n, name in enumerate(self.names):
+            value, self._gradients[n] = self.objective.evaluate(self.points.select(*self.objective.keys, F.col(name).alias("v")))
+            out.append(value)
+        return out
+
+    def gradient(self, n: int) -> DataFrame:
+        return self._gradients[n]
+
+    def close(self) -> None:
+        self.objective.tidy()
+
+
+class SumTrials(Trials):
+    """Points scored together: ``table`` has a row for each example with its scores at every point.
+
+    ``value(n)`` is the column of its loss at point n, ``push(n)`` the gradient from the scores kept.
+    """
+
+    def __init__(self, table: DataFrame, count: int, value: Callable[[int], Column], push: Callable[[int], DataFrame], scale: float):
+        self.table = table.persist(StorageLevel.MEMORY_AND_DISK)
+        self.count, self.value, self.push, self.scale = count, value, push, scale
+
+    def values(self) -> list[float]:
+        row = self.table.agg(*[F.sum(self.value(n)).alias(f"v{n}") for n in range(self.count)]).first()
+        return [(v or 0.0) * self.scale for v in row]
+
+    def gradient(self, n: int) -> DataFrame:
+        return self.push(n)
+
+    def close(self) -> None:
+        self.table.unpersist()
+
+
 class FullLine:
     """Evaluates value and gradient afresh at every step."""
 
@@ -179,9 +229,21 @@ class BatchObjective(Objective):
             df.unpersist()
         self._cached = []
 
+    def moving(self) -> bool:
+        """Whether each evaluation takes another batch."""
+        return self.cycle.num_batches > 1 and (self.cycle.policy == NO_HOLD or not self.cycle.holding)
+
     def line(self, xd: DataFrame):
-        moving = self.cycle.num_batches > 1 and (self.cycle.policy == NO_HOLD or not self.cycle.holding)
-        return FullLine(self, xd) if moving else self.held_line(self.cycle.current, xd)
+        return FullLine(self, xd) if self.moving() else self.held_line(self.cycle.current, xd)
+
+    def tries_at_once(self) -> bool:
+        return type(self).held_trials is not BatchObjective.held_trials and not self.moving()
+
+    def trials(self, points: DataFrame, names: Sequence[str]) -> Trials:
+        return self.held_trials(self.cycle.current, points, names) if self.tries_at_once() else Trials(self, points, names)
+
+    def held_trials(self, batch: Batch, points: DataFrame, names: Sequence[str]) -> Trials:
+        raise NotImplementedError
 
     def losses(self, batch: Batch, x: DataFrame) -> DataFrame:
         raise NotImplementedError
@@ -237,6 +299,18 @@ class LinearModel(BatchObjective):
 
         return SumLine(table, terms, 1.0 / batch.total_weight, finish)
 
+    def held_trials(self, batch, points, names):
+        scores = [f"score_{n}" for n in range(len(names))]
+        sums = S.weighted_sums(batch.for_scoring(self.dim), points, names, scores, ["ex_id"], self.dim)
+        trials_of = S.with_all(batch.targets, sums, scores)
+        args = [(F.col(s), F.col("label"), F.col("weight")) for s in scores]
+
+        def push(n):
+            return self.gradient_of(batch, trials.table.select("ex_id", self.loss.slope(*args[n]).alias("dscore")), points)
+
+        trials = SumTrials(trials_of, len(names), lambda n: self.loss.value(*args[n]), push, 1.0 / batch.total_weight)
+        return trials
+
 
 def linear_l2(cycle: BatchCycle, dim: int) -> LinearModel:
     return LinearModel(cycle, dim, L.SQUARED)
@@ -299,6 +373,33 @@ class SoftmaxModel(BatchObjective):
 
         return SumLine(table, terms, 1.0 / batch.total_weight, finish, stage)
 
+    def held_trials(self, batch, points, names):
+        rng, steps = range(self.row_dim), range(len(names))
+        # One pass over the points: a column for each of them and each class.
+        cells = [
+            F.coalesce(F.max(F.when(F.col("k") == i, F.col(name))), F.lit(0.0)).alias(f"x{n}_{i}")
+            for n, name in enumerate(names) for i in rng
+        ]
+        wide = points.groupBy("idx").agg(*cells)
+        scores = [f"s{n}_{i}" for n in steps for i in rng]
+        sums = S.weighted_sums(batch.for_scoring(self.dim), wide, [f"x{n}_{i}" for n in steps for i in rng], scores, ["ex_id"], self.dim)
+        labels = [f"t{i}" for i in rng]
+        table = S.with_all(batch.targets, sums, scores)
+        for n in steps:
+            probs = [f"p{n}_{i}" for i in rng]
+            table = L.with_pull(L.with_softmax(table, [F.col(f"s{n}_{i}") for i in rng], probs), probs, labels, f"pull{n}")
+        kept = table.select("ex_id", "weight", *labels, *[f"p{n}_{i}" for n in steps for i in rng], *[f"pull{n}" for n in steps])
+
+        def value(n):
+            return L.multilabel_value([f"p{n}_{i}" for i in rng], labels, F.col("weight"))
+
+        def push(n):
+            slopes = L.multilabel_slopes([f"p{n}_{i}" for i in rng], labels, f"pull{n}", F.col("weight"))
+            return self.gradient_of(batch, trials.table.select("ex_id", *[g.alias(f"dscore{i}") for i, g in enumerate(slopes)]), points)
+
+        trials = SumTrials(kept, len(names), value, push, 1.0 / batch.total_weight)
+        return trials
+
 
 def linear_softmax(cycle: BatchCycle, dim: int, row_dim: int) -> SoftmaxModel:
     return SoftmaxModel(cycle, dim, row_dim)
@@ -668,6 +769,12 @@ class L2Penalty(Objective):
         x, d = F.col("x"), F.col("d")
         return SumLine(xd, lambda a: (F.lit(0.5) * (x + F.lit(a) * d) ** 2, (x + F.lit(a) * d) * d), 1.0)
 
+    def tries_at_once(self):
+        return True
+
+    def trials(self, points, names):
+        return PointTrials(points, self.keys, names, lambda v: F.lit(0.5) * v * v, lambda v: v)
+
 
 class L1Penalty(Objective):
     """Sum of absolute values, with the sign as its (sub)gradient."""
@@ -683,6 +790,29 @@ class L1Penalty(Objective):
         x, d = F.col("x"), F.col("d")
         return SumLine(xd, lambda a: (F.abs(x + F.lit(a) * d), F.signum(x + F.lit(a) * d) * d), 1.0)
 
+    def tries_at_once(self):
+        return True
+
+    def trials(self, points, names):
+        return PointTrials(points, self.keys, names, F.abs, F.signum)
+
+
+class PointTrials(Trials):
+    """A sum over coordinates at several points; nothing is kept, since the points are."""
+
+    def __init__(self, points: DataFrame, keys: Sequence[str], names: Sequence[str], value: Callable[[Column], Column], slope: Callable[[Column], Column]):
+        self.points, self.keys, self.names, self.value, self.slope = points, keys, names, value, slope
+
+    def values(self):
+        row = self.points.agg(*[F.sum(self.value(F.col(c))).alias(f"v{n}") for n, c in enumerate(self.names)]).first()
+        return [v or 0.0 for v in row]
+
+    def gradient(self, n):
+        return self.points.select(*self.keys, self.slope(F.col(self.names[n])).alias("g"))
+
+    def close(self) -> None:
+        """Nothing is cached."""
+
 
 class Combined(Objective):
     """a1 * f1 + a2 * f2."""
@@ -714,6 +844,12 @@ class Combined(Objective):
     def line(self, xd):
         return CombinedLine([(a, f.line(xd)) for a, f in self.parts])
 
+    def tries_at_once(self):
+        return all(f.tries_at_once() for _, f in self.parts)
+
+    def trials(self, points, names):
+        return CombinedTrials(self, [f.trials(points, names) for _, f in self.parts])
+
     def hold(self):
         for _, f in self.parts:
             f.hold()
@@ -761,3 +897,19 @@ class CombinedLine:
     def close(self):
         for _, line in self.parts:
             line.close()
+
+
+class CombinedTrials(Trials):
+    def __init__(self, owner: Combined, parts: list[Trials]):
+        self.owner, self.parts = owner, parts
+
+    def values(self):
+        weights = [a for a, _ in self.owner.parts]
+        return [sum(a * v for a, v in zip(weights, got, strict=True)) for got in zip(*(t.values() for t in self.parts), strict=True)]
+
+    def gradient(self, n):
+        return self.owner._add(*(t.gradient(n) for t in self.parts))
+
+    def close(self):
+        for t in self.parts:
+            t.close()

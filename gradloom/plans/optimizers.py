@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradloom.functions import elementwise as E
-from gradloom.operators.vectors import gram_matrix
+from gradloom.operators.vectors import gram_and_sum
 from gradloom.plans.joins import fits_broadcast
 from gradloom.plans.lineage import cut
 from gradloom.plans.linesearch import (
@@ -152,9 +152,21 @@ class Minimizer:
     def next_history(self, state: State) -> int:
         return 0
 
-    def adjusted(self, table: DataFrame, value: float) -> float:
+    def penalty(self, keys: Sequence[str]) -> Column:
+        """What the method itself adds to the value for a coordinate."""
+        return F.lit(0.0)
+
+    def adjusted(self, table: DataFrame, value: float, keys: Sequence[str] = ("idx",)) -> float:
         """Value reported and compared by the method, with its own penalties."""
-        return value
+        return value + (table.agg(F.sum(self.penalty(keys))).first()[0] or 0.0)
+
+    def measured(self, table: DataFrame, keys: Sequence[str], history: int) -> tuple[np.ndarray, float]:
+        """Gram matrix and penalty of a state, from one aggregate."""
+        return gram_and_sum(table, self.gram_columns(history), self.penalty(keys))
+
+    def plain_value(self, probed: Point, line) -> float:
+        """Value without the method's own penalties, at a step of the line."""
+        return probed.value
 
     def gram_columns(self, history: int) -> list[str]:
         return ["g"]
@@ -228,16 +240,16 @@ class Minimizer:
         # Cut here too: the first state's plan holds the model's whole input.
         table = self._place(cut(table.withColumns({n: F.lit(v) for n, v in self.extra_columns.items()})), objective)
         require_dense(table, keys, objective.extent())
-        gram = gram_matrix(table, self.gram_columns(0))
+        gram, penalty = self.measured(table, keys, 0)
         objective.tidy()
-        adjusted = self.adjusted(table, value)
+        adjusted = value + penalty
         return State(table, keys, value, adjusted, math.sqrt(gram[-1, -1]), 0, adjusted, gram=gram)
 
     def _adopt(self, state: State, objective: Objective) -> State:
         table, names = self._place(state.table, objective), self.gram_columns(state.history)
         if state.gram is not None and len(state.gram) == len(names):
             return replace(state, table=table)
-        return replace(state, table=table, gram=gram_matrix(table, names))
+        return replace(state, table=table, gram=self.measured(table, state.keys, state.history)[0])
 
     def _advance(self, objective: Objective, state: State) -> State:
         direction = self.direction(state)
@@ -253,7 +265,7 @@ class Minimizer:
             moved = state.table.withColumn("x_new", self.point(state, direction, alpha))
             grad = line.finish(alpha) if line is not None and objective.same_data_next() else None
             if grad is not None:
-                value = probes.at(alpha).value
+                value = self.plain_value(probes.at(alpha), line)
             else:
                 value, grad = objective.evaluate(moved.select(*state.keys, F.col("x_new").alias("v")))
             return self._settle(objective, state, moved, direction, alpha, value, grad)
@@ -274,10 +286,10 @@ class Minimizer:
             table = self._place(cut(table), objective)
         else:
             table = table.persist(StorageLevel.MEMORY_AND_DISK)
-        gram = gram_matrix(table, self.gram_columns(history))  # also materializes the table
+        gram, penalty = self.measured(table, keys, history)  # also materializes the table
         objective.tidy()
         grad_norm = math.sqrt(gram[-1, -1])
-        adjusted = self.adjusted(table, value)
+        adjusted = value + penalty
         improvement = relative_improvement(state.adjusted_value, adjusted, state.initial_value)
         reason = self.verdict(state.value, value, state.iteration, grad_norm)
         row = {"iter": iteration, "value": value, "adjusted_value": adjusted, "grad_norm": grad_norm,
@@ -330,11 +342,8 @@ class AdaGrad(Minimizer):
     def forget(self, state):
         return replace(state, table=state.table.withColumn("h", F.lit(0.0)))
 
-    def adjusted(self, table, value):
-        if not (self.l1 or self.l2):
-            return value
-        l2, l1 = table.agg(F.sum(F.col("x") * F.col("x")), F.sum(F.abs("x"))).first()
-        return value + 0.5 * self.l2 * l2 + self.l1 * l1
+    def penalty(self, keys):
+        return F.lit(0.5 * self.l2) * F.col("x") * F.col("x") + F.lit(self.l1) * F.abs("x")
 
     def adjusted_gradient(self, state: State) -> DataFrame:
         """Gradient with both penalty terms."""
@@ -431,7 +440,8 @@ class LBFGS(Minimizer):
 
     def forget(self, state):
         table = state.table.select(*state.keys, "x", "g")
-        return replace(state, table=table, history=0, gram=state.gram[-1:, -1:])
+        kept = len(state.gram) - 2 * state.history
+        return replace(state, table=table, history=0, gram=state.gram[-kept:, -kept:])
 
 
 class OWLQN(LBFGS):
@@ -454,16 +464,19 @@ class OWLQN(LBFGS):
         x, g = F.col("x") if x is None else x, F.col("g") if g is None else g
         return E.pseudo_gradient(x, g, self.weight(keys))
 
-    def adjusted(self, table, value):
-        keys = [c for c in table.columns if c in ("idx", "k", "side")]
-        return value + (table.agg(F.sum(self.weight(keys) * F.abs("x"))).first()[0] or 0.0)
+    def penalty(self, keys):
+        return self.weight(keys) * F.abs("x")
+
+    def gram_columns(self, history):
+        return [*pair_columns(history), "pg", "g"]
+
+    def measured(self, table, keys, history):
+        return super().measured(table.withColumn("pg", self.pseudo(keys)), keys, history)
 
     def direction(self, state):
         """Quasi-Newton direction of the pseudo-gradient, kept in its descent orthant."""
-        names = [*pair_columns(state.history), "pg"]
-        table = state.table.withColumn("pg", self.pseudo(state.keys))
-        coefficients = two_loop(gram_matrix(table, names), state.history)
-        columns = [F.col(n) for n in names[:-1]] + [self.pseudo(state.keys)]
+        coefficients = two_loop(state.gram[:-1, :-1], state.history)
+        columns = [F.col(n) for n in pair_columns(state.history)] + [self.pseudo(state.keys)]
         free = E.lincomb(*zip(coefficients, columns))
         return E.orthant_project(free, -self.pseudo(state.keys))
 
@@ -480,31 +493,85 @@ class OWLQN(LBFGS):
         search = self.custom_search or Backtracking(
             shrink=0.1 if state.iteration < 1 else 0.5, max_iter=self.max_search
         )
-        keys = list(state.keys)
-        xd = state.table.select(*keys, "x", "g", direction.alias("d"), E.orthant(F.col("x"), self.pseudo(keys)).alias("home"))
-        xd = xd.persist(StorageLevel.MEMORY_AND_DISK)
+        line = ProjectedLine(self, objective, state, direction)
         try:
-            probes = Probes(ProjectedLine(self, objective, xd, keys), speculate=False)
-            return search.minimize(probes, self.first_step(state)), None, None
-        finally:
-            xd.unpersist()
+            known = Point(0.0, state.adjusted_value, line.first_slope) if objective.line_starts_at_state() else None
+            probes = Probes(line, known, speculate=objective.tries_at_once())
+            alpha = search.minimize(probes, self.first_step(state))
+        except BaseException:
+            line.close()
+            raise
+        return alpha, line, probes
+
+    def plain_value(self, probed, line):
+        return line.plain[probed.alpha]
 
 
 class ProjectedLine:
-    """Penalized value along steps projected onto the orthant of the state."""
+    """Penalized value along steps projected onto the orthant of the state.
 
-    def __init__(self, owner: OWLQN, objective: Objective, xd: DataFrame, keys: list[str]):
-        self.owner, self.objective, self.xd, self.keys = owner, objective, xd, keys
+    A projected point is not linear in the step, so scores at two points say nothing about a third.  Instead the
+    steps of a probe are columns of one table and scored in one pass over the features; a step's slope needs its
+    gradient, which is pushed back from those scores only where the search asks for it, and is the
+    next state's gradient if the step is taken.
+    """
+
+    def __init__(self, owner: OWLQN, objective: Objective, state: State, direction: Column):
+        self.owner, self.objective, self.keys = owner, objective, list(state.keys)
+        home = E.orthant(F.col("x"), owner.pseudo(self.keys))
+        xd = state.table.select(*self.keys, "x", "g", direction.alias("d"), home.alias("home"))
+        self.xd = xd.persist(StorageLevel.MEMORY_AND_DISK)
+        self.weight = owner.weight(self.keys)
+        self.plain: dict[float, float] = {}
+        self._where: dict[float, tuple] = {}
+        self._gradients: dict[float, DataFrame] = {}
+        self._open: list = []
+        self._first_slope: float | None = None
+
+    def _point(self, alpha: float) -> Column:
+        return E.orthant_project(F.col("x") + F.lit(alpha) * F.col("d"), F.col("home"))
+
+    def first_slope(self) -> float:
+        """Slope at step 0, from the state's own gradient; the first probe brings it along."""
+        if self._first_slope is None:
+            self._first_slope = self.xd.agg(self._at_start()).first()[0] or 0.0
+        return self._first_slope
+
+    def _at_start(self) -> Column:
+        return F.sum(self.owner.pseudo(self.keys) * F.col("d"))
 
     def probe(self, alphas):
+        alphas = [float(a) for a in alphas]
+        names = [f"p{n}" for n in range(len(alphas))]
+        points = self.xd.select(*self.keys, *[self._point(a).alias(p) for a, p in zip(alphas, names)])
+        trials = self.objective.trials(points, names)
+        self._open.append(trials)
+        first, *penalties = self.xd.agg(self._at_start(), *[F.sum(self.weight * F.abs(self._point(a))) for a in alphas]).first()
+        self._first_slope = first or 0.0
         out = []
-        for a in alphas:
-            point = E.orthant_project(F.col("x") + F.lit(float(a)) * F.col("d"), F.col("home"))
-            at = self.xd.select(*self.keys, "d", point.alias("v"))
-            value, grad = self.objective.evaluate(at.select(*self.keys, "v"))
-            weight = self.owner.weight(self.keys)
-            pseudo = E.pseudo_gradient(F.col("v"), F.coalesce("g", F.lit(0.0)), weight)
-            row = at.join(grad, self.keys, "left").agg(F.sum(weight * F.abs("v")), F.sum(pseudo * F.col("d"))).first()
-            self.objective.tidy()
-            out.append((value + (row[0] or 0.0), row[1] or 0.0))
+        for n, (a, value, penalty) in enumerate(zip(alphas, trials.values(), penalties)):
+            self.plain[a], self._where[a] = value, (trials, n)
+            out.append((value + (penalty or 0.0), lambda a=a: self._slope(a)))
         return out
+
+    def _gradient(self, alpha: float) -> DataFrame:
+        if alpha not in self._gradients:
+            trials, n = self._where[alpha]
+            self._gradients[alpha] = trials.gradient(n).persist(StorageLevel.MEMORY_AND_DISK)
+        return self._gradients[alpha]
+
+    def _slope(self, alpha: float) -> float:
+        pseudo = E.pseudo_gradient(F.col("v"), F.coalesce("g", F.lit(0.0)), self.weight)
+        at = self.xd.select(*self.keys, "d", self._point(alpha).alias("v"))
+        return at.join(self._gradient(alpha), self.keys, "left").agg(F.sum(pseudo * F.col("d"))).first()[0] or 0.0
+
+    def finish(self, alpha: float) -> DataFrame:
+        """Gradient at the accepted step."""
+        return self._gradient(float(alpha))
+
+    def close(self) -> None:
+        for gradient in self._gradients.values():
+            gradient.unpersist()
+        for trials in self._open:
+            trials.close()
+        self.xd.unpersist()

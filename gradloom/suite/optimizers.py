@@ -311,6 +311,33 @@ def owlqn_fixed_steps(spark, sf):
     return _run(spark, sf, method)
 
 
+_TRIED = [0.05, 0.3, 2.0]
+_TRIED_SQL = ", ".join(f"({a}::DOUBLE)" for a in _TRIED)
+_TRIED_D = f"(CASE WHEN sign({_owl_free(0)}) = sign(-({_owl_pg()})) THEN {_owl_free(0)} ELSE 0 END)"
+CTES["owl_tried"] = f"SELECT a, idx, d, CASE WHEN sign(x + a * d) = sign(home) THEN x + a * d ELSE 0 END AS p FROM (SELECT idx, x, {_TRIED_D} AS d, CASE WHEN x <> 0 THEN x ELSE -({_owl_pg()}) END AS home FROM owl_g0), (VALUES {_TRIED_SQL}) t(a)"
+CTES["owl_tried_s"] = f"""SELECT a, ex_id, label, weight, coalesce(s, 0) AS s FROM ex_reg CROSS JOIN (VALUES {_TRIED_SQL}) t(a)
+  LEFT JOIN (SELECT a, ex_id, sum(value * p) AS s FROM fea JOIN owl_tried ON fea_id = idx GROUP BY 1, 2) USING (a, ex_id)"""
+CTES["owl_tried_g"] = "SELECT a, fea_id AS idx, sum(2 * weight * (s - label) * value) / (SELECT tw FROM tot) AS g FROM owl_tried_s JOIN fea USING (ex_id) GROUP BY 1, 2"
+
+
+@case(
+    "owlqn_projected_probe",
+    f"""SELECT a AS alpha, {R('loss + penalty')} AS value, {R('slope')} AS slope
+    FROM (SELECT a, sum(weight * pow(s - label, 2)) / sum(weight) AS loss FROM owl_tried_s GROUP BY 1)
+    JOIN (SELECT a, 0.02 * sum(abs(p)) AS penalty, sum(({_owl_pg('p', 'coalesce(g, 0)')}) * d) AS slope
+      FROM owl_tried LEFT JOIN owl_tried_g USING (a, idx) GROUP BY 1) USING (a)""",
+)
+def owlqn_projected_probe(spark, sf):
+    """Penalized value and slope at several projected steps, scored in one pass over the features."""
+    model, method = regression(spark, sf), M.OWLQN(5, 0.02)
+    state = next(method.iterations(model, w0(spark, sf)))
+    line = M.ProjectedLine(method, model, state, method.direction(state))
+    rows = [(a, value, slope()) for a, (value, slope) in zip(_TRIED, line.probe(_TRIED))]
+    line.close()
+    out = spark.createDataFrame(rows, "alpha double, value double, slope double")
+    return out.select("alpha", rnd("value").alias("value"), rnd("slope").alias("slope"))
+
+
 # --- line searches -----------------------------------------------------------------------
 
 _ALPHAS = [0.0, 0.05, 0.4]
