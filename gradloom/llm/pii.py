@@ -4,10 +4,12 @@ The base finds e-mail addresses, IP addresses, card and phone numbers by their p
 tagger (``tagger.py``) learns from labelled spans: the base's own in a bounded sample of
 documents (``Settings.rows``, those with the smallest md5 of their key), some of them rewritten in
 forms that no pattern has, such as ``jo (at) mail (dot) org`` or a phone number without its plus,
-in their own surroundings and in windows without any.  It reads every text in overlapping windows;
+in their own surroundings and in windows without any, half of them with a decoy: a hash, serial number, date,
+version or amount that is nobody's data.  It reads every text in overlapping windows;
 each character takes its label from the window in which it lies nearer the middle, and
 spans are read from the labels of the whole text, across windows.  Spans of the tagger that
-touch a base span, or have too little in them for their kind, are left out; base spans always stay.
+touch a base span, have too little in them for their kind, or are part of a longer run of letters and
+digits, are left out; base spans always stay.
 
 Positions are code points, ends exclusive.  Null text is empty and has no spans; texts of any
 length are read whole; repeated rows give equal results; other columns are not read.
@@ -21,7 +23,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradloom.llm import tagger
@@ -34,6 +36,9 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 CARD = re.compile(r"(?<![0-9])[0-9](?:[\x20-]?[0-9])+")
+_DOT = r"(?:\s?[\[(]dot[\])]\s?|\sdot\s|\.)"
+#: What an address that the tagger proposes must hold: a name, an at and a domain, in any of their spellings.
+SPOKEN = re.compile(rf"[\w%+-]+(?:{_DOT}[\w%+-]+)*(?:\s?@\s?|\s?[\[(]at[\])]\s?|\sat\s)[\w-]+(?:{_DOT}[\w-]+)+", re.I | re.A)
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 
@@ -41,8 +46,11 @@ class Settings(NamedTuple):
     rows: int = 3000  # of the sample
     windows: int = 4000  # learned from
     learn: int = 96  # characters of a window in training
+    around: int = 4000  # characters of a text in training, about its first digit or @
+    spans: int = 20  # of a text in training
+    variants: int = 20  # of a span in training, at most
     units: int = 8
-    epochs: int = 10
+    epochs: int = 20
     window: int = 256
     overlap: int = 32
     together: int = 1024  # windows of a step
@@ -89,10 +97,19 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-def _rewrite(kind: int, s: str, r: np.random.Generator) -> str:
+def _address(words: list[str], r: np.random.Generator) -> str:
+    """An address made of the text's own words, so that its form is learned and not a corpus's habit of names."""
+    part = [words[int(i)].lower() for i in r.integers(0, len(words), 3)]
+    local = (part[0], f"{part[0]}{int(r.integers(1, 100))}", f"{part[0]}.{part[1]}", f"{part[0]}_{int(r.integers(10))}")[int(r.integers(4))]
+    return f"{local}@{part[2]}{('.', '.mail.')[int(r.integers(4)) == 0]}{('com', 'org', 'net', 'de', 'io', 'co')[int(r.integers(6))]}"
+
+
+def _rewrite(kind: int, s: str, r: np.random.Generator, words: list[str]) -> str:
     """The span in a form of its own, or as it is."""
     way = int(r.integers(6))
     if kind == 0:
+        if words and r.integers(4):
+            s = _address(words, r)
         at, dot = ((" at ", " dot "), (" (at) ", " (dot) "), ("[at]", "[dot]"), (" @ ", "."), ("@", "."), ("@", "."))[way]
         return s.replace("@", at).replace(".", dot) if way < 3 else s.replace("@", at)
     if kind == 1:
@@ -105,6 +122,22 @@ def _rewrite(kind: int, s: str, r: np.random.Generator) -> str:
     return (f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"00{d[:-10]} {a} {b} {c}", s, s)[way]
 
 
+def _decoy(r: np.random.Generator) -> str:
+    """Digits that are no personal data: part of a hash, a number with letters, a date, version, time, amount or year."""
+    way, n = int(r.integers(7)), [int(x) for x in r.integers(0, 10, 12)]
+    if way == 0:
+        return "".join("0123456789abcdef"[x] for x in r.integers(0, 16, int(r.integers(8, 41))))
+    if way == 1:
+        return "".join("ABCDEFGHJKLMNPQRSTUVWXYZ"[x] for x in r.integers(0, 24, 2)) + "-" + "".join(map(str, n[: int(r.integers(4, 11))]))
+    if way == 2:
+        return f"20{n[0]}{n[1]}-0{n[2] % 9 + 1}-{n[3] % 3}{n[4] % 9 + 1}"
+    if way == 3:
+        return f"v{n[0]}.{n[1]}{n[2]}.{n[3]}"
+    if way == 4:
+        return f"{n[0] % 2}{n[1]}:{n[2] % 6}{n[3]}:{n[4] % 6}{n[5]}"
+    return f"{n[0]}{n[1]},{n[2]}{n[3]}{n[4]}.{n[5]}{n[6]}" if way == 5 else f"{n[0] + 1}{n[1]}{n[2]}{n[3]}"
+
+
 def examples(texts: list[str], settings: Settings, seed: int = 11) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Windows (classes, labels, lengths) of labelled spans with their surroundings, and of text without any."""
     r, size = np.random.Generator(np.random.PCG64(seed)), settings.learn
@@ -121,22 +154,36 @@ def examples(texts: list[str], settings: Settings, seed: int = 11) -> tuple[np.n
         labels.append(label)
         lengths.append(max(len(code), 1))
 
+    known = []
     for text in texts:
         spans = sorted(base_spans(text), key=lambda s: s[1])
         spans = [s for i, s in enumerate(spans) if not i or s[1] >= spans[i - 1][2]]
-        for k, a, b in spans[:20]:
-            before = int(r.integers(4, size // 2))
-            left = a - min(a, before)
-            left = max([left, *(e for _, s, e in spans if e <= a)])  # no other span may lie in the window
-            right = min([len(text), *(s for _, s, e in spans if s >= b)])
-            new = _rewrite(k, text[a:b], r)
-            add(text[left:a] + new + text[b:right], [(k, a - left, a - left + len(new))])
+        known += [(text, spans, s) for s in spans[: settings.spans]]
         for _ in range(2):
             left = int(r.integers(max(len(text) - size, 1)))
             if text and not any(s < left + size and e > left for _, s, e in spans):
-                add(text[left : left + size], [])
-    pick = r.permutation(len(chars))[: settings.windows]
-    if not len(pick):
+                part = text[left : left + size]
+                gap = part.find(" ", int(r.integers(size // 2)))
+                if gap >= 0 and r.integers(2):
+                    part = f"{part[:gap]} {_decoy(r)}{part[gap:]}"
+                add(part, [])
+    # Half of what is learned from has no span; the spans come again in other forms until they are the other half.
+    half = settings.windows // 2
+    pick = r.permutation(len(chars))[:half].tolist()
+    blank = len(chars)
+    by_kind = [[x for x in known if x[2][0] == k] for k in range(len(KINDS))]
+    kinds = [k for k in range(len(KINDS)) if by_kind[k]]
+    for n in range(min(half, settings.variants * len(known))):
+        mine = by_kind[kinds[n % len(kinds)]]
+        text, spans, (k, a, b) = mine[int(r.integers(len(mine)))]
+        before = int(r.integers(4, size // 2))
+        left = a - min(a, before)
+        left = max([left, *(e for _, s, e in spans if e <= a)])  # no other span may lie in the window
+        right = min([len(text), *(s for _, s, e in spans if s >= b)])
+        new = _rewrite(k, text[a:b], r, [w for w in text[left:right].split() if w.isalpha() and w.isascii()][:50])
+        add(text[left:a] + new + text[b:right], [(k, a - left, a - left + len(new))])
+    pick += range(blank, len(chars))
+    if not pick:
         return np.zeros((0, size), np.uint8), np.zeros((0, size), np.uint8), np.zeros(0, np.int64)
     return np.array(chars)[pick], np.array(labels)[pick], np.array(lengths)[pick]
 
@@ -144,10 +191,20 @@ def examples(texts: list[str], settings: Settings, seed: int = 11) -> tuple[np.n
 def fit(docs: DataFrame, settings: Settings = Settings(), key: str = "doc_id", text: str = "text") -> tagger.Weights:
     """Learn from the sample; only texts with a digit or @ can have a span and are drawn for it, half as many of the others."""
     rows = docs.select(F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")).alias("o"), F.col(text).alias("t")).where("t IS NOT NULL")
-    # Surroundings only, so what comes to the driver is bounded too: 4,000 characters around the first sign.
+    # Surroundings only, so what comes to the driver is bounded too.
     sign = F.regexp_instr("t", F.lit(r"[0-9@]"))
-    rows = rows.select("o", (sign > 0).alias("some"), F.substring("t", F.greatest(sign - 2000, F.lit(1)), F.lit(4000)).alias("t"))
-    with_, without = ([r["t"] for r in rows.where(c).orderBy("o", "t").limit(n).collect()] for c, n in (("some", settings.rows), ("NOT some", settings.rows // 2)))
+    begin = F.greatest(sign - settings.around // 2, F.lit(1))
+
+    def sample(some: Column, n: int) -> list[str]:
+        # The keys first: a task sends n hashes, and only texts of the sample.
+        mine = rows.where(some)
+        last = mine.select("o").orderBy("o").limit(n).agg(F.max("o")).first()[0]
+        if last is None:
+            return []
+        parts = mine.where(F.col("o") <= last).select("o", F.substring("t", begin, F.lit(settings.around)).alias("t"))
+        return [r["t"] for r in parts.orderBy("o", "t").limit(n).collect()]
+
+    with_, without = sample(sign > 0, settings.rows), sample(sign <= 0, settings.rows // 2)
     return tagger.fit(*examples(with_ + without, settings), units=settings.units, epochs=settings.epochs)
 
 
@@ -180,7 +237,7 @@ def label(w: tagger.Weights, points: np.ndarray, starts: np.ndarray, s: Settings
 def _enough(kind: int, s: str) -> bool:
     d = len(_digits(s))
     if kind == 0:
-        return len(s) >= 8 and sum(c.isalpha() for c in s) >= 5 and ("@" in s or re.search(r"\bat\b", s, re.I) is not None)
+        return len(s) >= 8 and sum(c.isalpha() for c in s) >= 5
     return d >= (4, 13, 9)[kind - 1] and d <= (12, 19, 15)[kind - 1]
 
 
@@ -192,7 +249,11 @@ def added_spans(text: str, labels: np.ndarray, base: list[tuple[int, int, int]])
         if labels[a]:
             part = text[a:b]
             a, b = int(a) + len(part) - len(part.lstrip()), int(b) - (len(part) - len(part.rstrip()))
-            if _enough(int(labels[a]) - 1, text[a:b]) and not any(x < b and y > a for _, x, y in base):
+            if labels[a] == 1:  # words before or after an address are not part of it
+                address = SPOKEN.search(text, a, b)
+                a, b = address.span() if address else (a, a)
+            glued = (a > 0 and text[a - 1].isalnum() and text[a].isalnum()) or (b < len(text) and text[b].isalnum() and text[b - 1].isalnum())
+            if not glued and _enough(int(labels[a]) - 1, text[a:b]) and not any(x < b and y > a for _, x, y in base):
                 out.append((int(labels[a]) - 1, a, b))
     return out
 

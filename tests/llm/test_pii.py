@@ -88,6 +88,51 @@ def test_tagger_adds_forms_without_pattern(learned):
     assert found >= 3
 
 
+def held_out(r, words):
+    """Forms without a pattern, made apart from the training forms, each between words of other documents."""
+    digits = lambda n: "".join(map(str, r.integers(0, 10, n)))
+    word = lambda: str(r.choice(words)).lower()
+    for _ in range(100):
+        a, b, c = digits(3), digits(3), digits(4)
+        card = next(x for x in iter(lambda: digits(16), "") if luhn(x))
+        yield 0, (f"{word()}.{digits(2)} at {word()} dot com", f"{word()} (at) {word()} (dot) org", f"{word()}_{digits(1)}[at]{word()}[dot]net")[int(r.integers(3))]
+        yield 1, (" . ", "[.]")[int(r.integers(2))].join(str(x) for x in r.integers(1, 256, 4))
+        yield 2, ".".join(card[i : i + 4] for i in range(0, 16, 4))
+        yield 3, (f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}")[int(r.integers(3))]
+        yield None, ("".join("0123456789abcdef"[x] for x in r.integers(0, 16, 16)), f"QX-{digits(9)}", f"2023-11-{10 + int(r.integers(18))}", f"{digits(2)},{digits(3)}.{digits(2)}")[int(r.integers(4))]
+
+
+def test_recall_and_precision_on_held_out_forms(spark, learned):
+    """By kind: a span is found if its kind is right and 80 % of it is covered; a span that meets none of its kind is wrong."""
+    texts = [r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").where("text IS NOT NULL").orderBy("doc_id").limit(40).collect()]
+    words = [w for t in texts for w in t.split() if w.isalpha()]
+    r = np.random.default_rng(99)
+    found, said, right, decoys = [0] * 4, [0] * 4, [0] * 4, 0
+    for kind, form in held_out(r, words):
+        before, after = (" ".join(r.choice(words, 8)) for _ in "ab")
+        text = f"{before} {form} {after}"
+        a, b = len(before) + 1, len(before) + 1 + len(form)
+        points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        got = pii.added_spans(text, pii.label(learned, points, np.array([0, len(points)]), pii.Settings()), pii.base_spans(text))
+        for k, x, y in got:
+            said[k] += 1
+            right[k] += k == kind and x < b and y > a
+            decoys += kind is None
+        if kind is not None:
+            found[kind] += any(k == kind and min(y, b) - max(x, a) >= 0.8 * len(form) for k, x, y in got)
+    print("recall", found, "precision", [p / max(n, 1) for p, n in zip(right, said, strict=True)], "spans in 100 decoys", decoys)
+    assert min(found) >= 60 and sum(found) >= 320
+    assert all(p >= 0.85 * n for p, n in zip(right, said, strict=True)) and decoys <= 5
+
+
+def test_nothing_inside_longer_runs():
+    """A span glued to letters or digits outside it is none."""
+    text = "id 33e61083.12.9.7aa and 10[.]1[.]22[.]3 x"
+    labels = np.zeros(len(text), np.uint8)
+    labels[5:18] = labels[25:40] = 2
+    assert pii.added_spans(text, labels, []) == [(1, 25, 40)]
+
+
 def test_windows_reconcile(learned):
     """A span on any border of windows is found as it is elsewhere."""
     s = pii.Settings(window=64, overlap=32)
