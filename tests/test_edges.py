@@ -473,3 +473,33 @@ def test_held_batch_is_released_when_a_search_fails(spark):
         with cycle.held():
             raise LineSearchFailed("no")
     assert not cycle.holding
+
+
+def test_points_of_one_place_are_one_site(spark):
+    """Many points on few places: the sums of all pairs from tiles of places; steps and costs too."""
+    rng = np.random.default_rng(8)
+    places, n, m, eps = rng.random((4, 2)), 90, 35, 0.05
+    a, b = places[rng.integers(0, 4, n)], places[rng.integers(0, 3, m)]
+    u, v, du, dv = rng.normal(size=n), rng.normal(size=m), rng.normal(size=n), rng.normal(size=m)
+    points = [spark.createDataFrame([(10 * i, [float(z) for z in p]) for i, p in enumerate(pts)], "id bigint, p array<double>") for pts in (a, b)]
+    cost = 0.5 * ((a[:, None] - b[None]) ** 2).sum(2)
+    pair = T.PointPair.of(*points)
+    assert pair.counts["u"] <= 4 and pair.counts["v"] <= 3
+    assert pair.tiles.agg(F.sum(F.size("xi") * F.size("yj"))).first()[0] == pair.counts["u"] * pair.counts["v"]
+    rows = [(s, 10 * i, float(p), float(d)) for s, ps, ds in (("u", u, du), ("v", v, dv)) for i, (p, d) in enumerate(zip(ps, ds))]
+    xd = spark.createDataFrame(rows, "side string, idx bigint, x double, d double")
+
+    def dual(t):
+        e = np.exp((u[:, None] + t * du[:, None] + v + t * dv - cost) / eps) / cost.size
+        return e, eps * e.sum() - (u + t * du).mean() - (v + t * dv).mean(), (e * (du[:, None] + dv)).sum() - du.mean() - dv.mean()
+
+    mass = {(r["side"], r["idx"]): r["mass"] for r in T.ot_mass(pair, xd.select("side", "idx", F.col("x").alias("p")), eps).collect()}
+    e = dual(0.0)[0]
+    assert mass == pytest.approx({("u", 10 * i): z for i, z in enumerate(e.sum(1))} | {("v", 10 * j): z for j, z in enumerate(e.sum(0))}, rel=1e-10)
+    line = O.TransportDual(pair, eps).line(xd)
+    for t, (value, slope) in zip((0.0, 0.1, 0.3), line.probe([0.0, 0.1, 0.3])):
+        assert (value, slope) == pytest.approx(dual(t)[1:], rel=1e-10)
+    line.close()
+    got = {(r["i"], r["j"]): r["c"] for r in T.ot_costs(pair).collect()}
+    assert got == pytest.approx({(10 * i, 10 * j): cost[i, j] for i in range(n) for j in range(m)}, abs=1e-12)
+    pair.close()
