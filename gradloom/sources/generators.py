@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 from gradloom.functions.losses import with_softmax
 
+# Draws of a partition, about: what one task tells apart.
+PART_DRAWS = 2_000_000
+
 
 def uniform(seed: int, *keys: str) -> Column:
     """Uniform number in [0, 1) that depends on the keys and the seed only."""
@@ -42,8 +45,10 @@ def sparse_examples(
 
     A feature drawn twice is kept once, with its first draw.  ``pick`` and
     ``value`` override the hashed draws; they may use ``ex_id`` and ``draw``.
+    Only ids move: their draws are made and told apart where they lie, a bounded number in a task.
     """
-    draws = ids.select("ex_id", F.explode(F.sequence(F.lit(0), F.lit(per_example - 1))).alias("draw"))
+    parts = max(int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-ids.count() * per_example // PART_DRAWS))
+    draws = ids.select("ex_id").repartition(parts, "ex_id").select("ex_id", F.explode(F.sequence(F.lit(0), F.lit(per_example - 1))).alias("draw"))
     pick = F.floor(uniform(seed, "ex_id", "draw") * F.lit(dim)) if pick is None else pick
     value = F.lit(2.0) * uniform(seed + 1, "ex_id", "draw") - 1.0 if value is None else value
     drawn = draws.select("ex_id", "draw", pick.cast("bigint").alias("fea_id"), value.alias("value"))
