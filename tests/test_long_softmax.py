@@ -58,3 +58,17 @@ def test_fits_and_refuses(spark):
         O.linear_softmax_long(BatchCycle(bad, fea), DIM, CLASSES).value(x)
     with pytest.raises(PySparkException, match="null target weight"):
         O.linear_softmax_long(BatchCycle(targets.withColumn("tw", F.lit(None).cast("double")), fea), DIM, CLASSES).value(x)
+
+
+def test_cells_stay_where_their_examples_lie(spark, monkeypatch):
+    """The sums leave a task, not a row for each example and class; whatever part of the examples a task works on at a time."""
+    targets, fea, x = tables(spark)
+    model = O.linear_softmax_long(BatchCycle(targets, fea), DIM, CLASSES)
+    value, grad = model.evaluate(x)
+    sums = model._cached[-1]
+    tasks = model._examples(model.cycle.current).rdd.getNumPartitions()
+    assert sums.count() <= tasks * (1 + DIM) and "Window" not in sums._jdf.queryExecution().toString()
+    cells = as_cells(grad, "g")
+    monkeypatch.setattr("gradloom.operators.classes.CELLS", 1)
+    again, other = O.linear_softmax_long(BatchCycle(targets, fea), DIM, CLASSES).evaluate(x)
+    assert again == pytest.approx(value, rel=1e-12) and as_cells(other, "g") == pytest.approx(cells, abs=1e-12)
