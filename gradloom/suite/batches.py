@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gradloom.operators.batches import BatchCycle
+from gradloom.plans.lineage import cut
 from gradloom.plans.objectives import linear_l2
 from gradloom.suite.base import CTES, R, case, dim, ex_reg, fea, rnd, w0
 
@@ -59,8 +60,10 @@ def batch_gradients(spark, sf):
     for _ in range(BATCHES):
         _, grad = model.value_grad(x)
         used = batches.current.by_example.plain.select(F.col("fea_id").alias("idx")).distinct()
-        part = grad.join(used, "idx").select(F.lit(batches.position).cast("bigint").alias("batch_id"), "idx", rnd("g", 8).alias("g"))
+        # Written while its batch is the current one.
+        part = cut(grad.join(used, "idx").select(F.lit(batches.position).cast("bigint").alias("batch_id"), "idx", rnd("g", 8).alias("g")))
         out = part if out is None else out.unionByName(part)
+    batches.free()
     return out
 
 
