@@ -9,10 +9,12 @@ goes too; so what goes does not depend on how the work is dealt out.  The join i
   (``BUCKETS`` counters, the only thing that passes through the driver), then by hash.
   Lines that match share one of their first n - ceil(n * percent) + 1 words (prefix).
 * Two lines meet on such a word only if they may still match: their sizes are close enough
-  (length), enough words follow the shared one in both (position; the first shared word of a
-  matching pair always passes), and few enough bits differ between their parity sketches.
-* Each line is compared with the first line that has its word before all others, and is done if
-  it matches: a line needs one match only, so large groups of near copies are no pairs.
+  (length), enough words follow the shared one in both (position), and few enough bits differ
+  between their parity sketches.  Lines of n and m words that match share at least k = need - ceil(max(n, m)
+  * percent) + 1 words of their prefixes, and the first k of them always pass; pairs with fewer go, which is
+  what tells long lines apart, whose sketches are full.
+* Each line is compared with the first line that has its word before all others (if it shares k
+  words with that one), and is done if it matches: a line needs one match only, so large groups of near copies are no pairs.
 * What is left is verified on the words themselves.
 
 A frequent word, which its bucket's count tells, is dealt to ``SALTS`` parts; its lines meet all parts.
@@ -25,25 +27,42 @@ its order.  A null id comes before all others.  Other columns are kept as they a
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 PERCENT = 80
-BUCKETS = 1 << 20
+BUCKETS = 1 << 23
 SALTS = 16
-#: Documents (with ten times as many of their lines' numbers) that may be broadcast, about 16 MB; five times as many single lines.
-BROADCAST_ROWS = 200_000
+#: Documents (with ten times as many of their lines' numbers) that may be broadcast, about 100 MB; as many single lines.
+BROADCAST_ROWS = 1_000_000
+#: Words that a pair has to share before its own words are compared, where its sizes ask for as many.
+SHARED = 3
 #: A word in more lines than this is split over ``SALTS`` parts.
 HOT_LINES = 50_000
 
 _HASH_BITS = 56
 _LINE = ["__id", "__row", "__pos"]
-_SPACE = r"[\x20\x09-\x0D]+"
+#: What parts words besides a blank; lines hold no line feed.
+_SPACES = "\t\x0b\x0c\r"
+
+
+def _parts(line: Column) -> Column:
+    """The words of a line, with empty ones; split at blanks, which is plain text and not a pattern."""
+    odd = F.lit(False)
+    for c in _SPACES:
+        odd = odd | F.contains(line, F.lit(c))
+    return F.split(F.lower(F.when(odd, F.translate(line, _SPACES, " " * len(_SPACES))).otherwise(line)), " ")
 
 
 def _words(line: Column) -> Column:
-    return F.array_remove(F.array_distinct(F.split(F.lower(line), _SPACE)), "")
+    return F.array_remove(F.array_distinct(_parts(line)), "")
+
+
+def _hashes(line: Column) -> Column:
+    """Hashes of the different words of a line."""
+    return F.array_remove(F.array_distinct(F.transform(_parts(line), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
 
 
 def _identified(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -111,15 +130,16 @@ def _copies(docs: DataFrame, written) -> DataFrame:
 
 
 def _rarity(lines: DataFrame, written) -> DataFrame:
-    """One row, a byte for each bucket of word hashes: three times the binary logarithm of how many lines have a word of it."""
-    words = lines.select(F.explode(_words(F.col("__line"))).alias("w"))
-    counts = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("b")).agg(F.floor(3 * F.log2(F.count("*"))).cast("int").alias("c"))
-    found = counts.groupBy((F.col("b") % 256).alias("g")).agg(F.collect_list(F.col("b") * 128 + F.col("c")).alias("packed"))
-    table = bytearray(BUCKETS)
+    """One row, a byte for each bucket of word hashes: three times the binary logarithm of how many lines have a word of it; 0 for one line or none."""
+    words = lines.select(F.explode(_hashes(F.col("__line"))).alias("h"))
+    counts = words.groupBy(F.col("h").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("b")).agg(F.count("*").alias("n")).where("n > 1")
+    packed = F.col("b").cast("long") * 128 + F.floor(3 * F.log2("n"))
+    found = counts.groupBy((F.col("b") % 256).alias("g")).agg(F.collect_list(packed).alias("packed"))
+    table = np.zeros(BUCKETS, np.uint8)
     for row in found.toLocalIterator():  # BUCKETS numbers at most, by 256ths
-        for x in row["packed"]:
-            table[x >> 7] = x & 127
-    return written(lines.sparkSession.createDataFrame([(table,)], "rank binary"), "rarity")
+        some = np.array(row["packed"], np.int64)
+        table[some >> 7] = some & 127
+    return written(lines.sparkSession.createDataFrame([(bytearray(table),)], "rank binary"), "rarity")
 
 
 def _need(n: Column, m: Column, percent: int) -> Column:
@@ -133,31 +153,43 @@ def _prefixes(lines: DataFrame, rarity: DataFrame, percent: int) -> DataFrame:
     # A subquery, not a literal: plans and their many descriptions on the driver would hold a megabyte for each use.
     lines = lines.withColumn("__rank", rarity.scalar())
 
-    def ranked(w: Column) -> Column:
-        h = F.xxhash64(w)
+    def ranked(h: Column) -> Column:
         rarity = F.ascii(F.substring("__rank", (h.bitwiseAND(F.lit(BUCKETS - 1)) + 1).cast("int"), F.lit(1)).cast("string"))
-        return F.shiftleft(rarity.cast("long"), _HASH_BITS).bitwiseOR(h.bitwiseAND(F.lit(mask)))
+        return F.shiftleft(F.coalesce(rarity.cast("long"), F.lit(0)), _HASH_BITS).bitwiseOR(h.bitwiseAND(F.lit(mask)))
 
-    rows = lines.select(*_LINE, F.sort_array(F.transform(_words(F.col("__line")), ranked)).alias("__keys")).withColumn("__n", F.size("__keys"))
+    rows = lines.select(*_LINE, F.sort_array(F.transform(_hashes(F.col("__line")), ranked)).alias("__keys")).withColumn("__n", F.size("__keys"))
     bit = lambda a, t: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(F.lit(63)).cast("int")))
     rows = rows.withColumn("__parity", F.aggregate("__keys", F.lit(0).cast("long"), bit))
     first = F.slice("__keys", F.lit(1), F.col("__n") - F.ceil(percent * F.col("__n") / 100).cast("int") + 1)
     rows = rows.select(*_LINE, "__n", "__parity", F.posexplode(first).alias("__i", "__word"))
+    rows = rows.where(F.shiftright("__word", _HASH_BITS) > 0)  # a word of one line is shared with none
     hot = F.shiftright("__word", _HASH_BITS) > int(3 * (HOT_LINES.bit_length() - 1))
     return rows.withColumn("__salt", F.when(hot, F.pmod(F.xxhash64(*_LINE), F.lit(SALTS)) + 1).otherwise(F.lit(0)).cast("int"))
 
 
+def _shared(n: Column, m: Column, percent: int) -> Column:
+    """How many words the prefixes of two matching sets of these sizes share at least; ``SHARED`` at most, below 1 if sizes are too far apart."""
+    return F.least(F.lit(SHARED), _need(n, m, percent) - F.ceil(percent * F.greatest(n, m) / 100) + 1)
+
+
 _ROW = [*_LINE, "__n", "__i", "__parity"]
 
 
 def _may_match(percent: int) -> Column:
-    """Whether an earlier line (columns with ``e``) and a later one that share a word may match."""
+    """Whether an earlier line (columns with ``e``) and a later one that share a word may match.
+
+    In whole numbers, cheap and seldom true parts first: need <= x if and only if percent * (n + m) <= (100 + percent) * x.
+    """
     n, m = F.col("__n"), F.col("e__n")
-    need = _need(n, m, percent)
+    follow = F.least(n - F.col("__i"), m - F.col("e__i"))
+    differ = F.bit_count(F.col("__parity").bitwiseXOR(F.col("e__parity")))
+    need, shared = _need(n, m, percent), _shared(n, m, percent)
     return (
-        (F.struct(*[F.col(f"e{c}") for c in _LINE]) < F.struct(*_LINE))
-        & (F.least(n - F.col("__i"), m - F.col("e__i")) >= need)
-        & (F.bit_count(F.col("__parity").bitwiseXOR(F.col("e__parity"))) <= n + m - 2 * need)
+        (percent * (n + m) <= (100 + percent) * (follow + F.lit(SHARED - 1)))
+        & (percent * (n + m) <= (100 + percent) * F.shiftright(n + m - differ, 1))
+        & (shared >= 1)
+        & (follow > need - shared)
+        & (F.struct(*[F.col(f"e{c}") for c in _LINE]) < F.struct(*_LINE))
     )
 
 
@@ -165,8 +197,11 @@ def _earlier(rows: DataFrame) -> DataFrame:
     return rows.select("__word", "__salt", *[F.col(c).alias(f"e{c}") for c in _ROW])
 
 
-def _pairs(joined: DataFrame) -> DataFrame:
-    return joined.select(*_LINE, *[f"e{c}" for c in _LINE]).distinct()
+def _pairs(joined: DataFrame, percent: int) -> DataFrame:
+    """Pairs that met, with a row for each word they met on, as often as matching ones do."""
+    ends = [*_LINE, *[f"e{c}" for c in _LINE]]
+    met = joined.select(*ends, _shared(F.col("__n"), F.col("e__n"), percent).alias("least")).groupBy(*ends)
+    return met.agg(F.count("*").alias("n"), F.max("least").alias("least")).where("n >= least").select(*ends)
 
 
 def _verified(pairs: DataFrame, docs: _Documents, percent: int, written, name: str) -> DataFrame:
@@ -194,21 +229,24 @@ def repeated(docs: _Documents, folder: str, percent: int = PERCENT) -> DataFrame
     gone = _by_document(copies, written, "copies-by-document")
     fresh = _at(docs.join(gone, "left", ["__text"], split=True).where("__split IS NOT NULL"), _others("__places"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = _prefixes(fresh, _rarity(fresh, written), percent).repartition(parts, "__word", "__salt").persist(StorageLevel.MEMORY_AND_DISK)
+    rows = _prefixes(fresh, _rarity(fresh, written), percent).repartition(parts, "__word", "__salt")
+    # Sorted once: sums by word and joins on it go along this order, and no part of a table is held for them.
+    rows = rows.sortWithinPartitions("__word", "__salt").persist(StorageLevel.MEMORY_AND_DISK)
 
     # The first line that has a word, against the others that have it.
     first = rows.groupBy("__word", "__salt").agg(F.min(F.struct(*_ROW)).alias("f"), F.count("*").alias("k")).where("k > 1")
     first = first.select("__word", "__salt", *[F.col(f"f.{c}").alias(f"e{c}") for c in _ROW])
-    met = rows.join(first.hint("shuffle_hash"), ["__word", "__salt"]).where(_may_match(percent))
-    done = _verified(_pairs(met), docs, percent, written, "first-matches")
+    met = rows.join(first.hint("merge"), ["__word", "__salt"]).where(_may_match(percent))
+    done = _verified(_pairs(met, percent), docs, percent, written, "first-matches")
 
     # All others against all earlier lines; the parts of a frequent word meet each other too.
-    small = done.count() <= 5 * BROADCAST_ROWS
+    small = done.count() <= BROADCAST_ROWS
     left = rows.join(F.broadcast(done) if small else done, _LINE, "left_anti")
-    met = left.where("__salt = 0").join(_earlier(rows.where("__salt = 0")).hint("shuffle_hash"), ["__word", "__salt"]).where(_may_match(percent))
+    met = left.where("__salt = 0").join(_earlier(rows.where("__salt = 0")).hint("merge"), ["__word", "__salt"]).where(_may_match(percent))
     every = _earlier(rows.where("__salt > 0")).withColumn("__salt", F.explode(F.sequence(F.lit(1), F.lit(SALTS))))
+    both = [*_ROW, *[f"e{c}" for c in _ROW]]
     hot = left.where("__salt > 0").join(every, ["__word", "__salt"]).where(_may_match(percent))
-    rest = _verified(_pairs(met).union(_pairs(hot)).distinct(), docs, percent, written, "other-matches")
+    rest = _verified(_pairs(met.select(*both).union(hot.select(*both)), percent), docs, percent, written, "other-matches")
     rows.unpersist()
     return _by_document(copies.union(done).union(rest), written, "gone")
 
