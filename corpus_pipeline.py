@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,30 +34,48 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return done.withColumn("n_chars", length.cast("long")).select(*docs.columns)
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """The documents with a number each, ``__row``, in the order of their ids; null ids come last."""
-    order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text")]
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    # Written once: the numbers must be the same wherever they are read.
-    return cut(rows.withColumn("__row", F.monotonically_increasing_id()))
+def told_apart(docs: DataFrame) -> DataFrame:
+    """The documents with ``__same``, a number below 2**62 that rows share if and only if they share their text (null is empty).
+
+    It is a hash of the text; by another one a seed is found for which no two texts meet.  So no text is moved for it.
+    """
+    text = F.coalesce(F.col("text"), F.lit(""))
+    for seed in itertools.count():
+        key = F.xxhash64(text, F.lit(seed)).bitwiseAND(F.lit(jaccard.UNNAMED - 1))
+        other = docs.select(key.alias("k"), F.xxhash64(F.lit(seed), text).alias("o")).groupBy("k")
+        if other.agg(F.min("o").alias("low"), F.max("o").alias("high")).where("low <> high").isEmpty():
+            return docs.withColumn("__same", key)
 
 
 def join_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one whose id is the smallest.  Documents without words stay.
 
-    Rows are told apart by number, not id: of repeated rows one stays, other texts of an id and
-    rows with a null id are documents of their own.
+    Rows are told apart by id and text: of repeated rows one stays, other texts of an id and
+    rows with a null id, which come last, are documents of their own.
     """
-    rows = numbered(docs)
-    groups = jaccard.join(rows.select(F.col("__row").alias("doc_id"), "text"), new_folder(spark, "jaccard"))
-    others = groups.where((F.col("n_shingles") > 0) & (F.col("component_id") != F.col("doc_id"))).select(F.col("doc_id").alias("__copy")).distinct()
-    return rows.join(checked(cut(others)), F.col("__row") == F.col("__copy"), "left_anti").select(*docs.columns)
+    rows = told_apart(docs)
+    groups = jaccard.join(rows.select("__same", "text"), new_folder(spark, "jaccard"), key="__same")
+    groups = groups.where("n_shingles > 0").groupBy("__same").agg(F.min("component_id").alias("__group"))
+    # A row for each text, so that neither a text nor a group with very many rows meets in a task.
+    ids = rows.groupBy("__same", "doc_id").agg(F.count("*").alias("n"))
+    own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "n")
+    texts = cut(ids.groupBy("__same").agg(F.min(own).alias("own"), F.sum("n").alias("rows")).join(groups, "__same"))
+    first = texts.groupBy("__group").agg(F.min(F.struct("own.none", "own.doc_id", "__same")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    fate = texts.join(checked(cut(first)), "__group", "left").select(
+        "__same", F.coalesce(F.col("first.__same") != F.col("__same"), F.lit(False)).alias("__gone"), F.col("own.doc_id").alias("__first"), (F.col("own.n") > 1).alias("__twice"), "rows"
+    )
+    fate = cut(fate.where("__gone OR rows > 1").drop("rows"))
+    rows = rows.join(checked(fate), "__same", "left")
+    rows = rows.where("__gone IS NULL OR (NOT __gone AND doc_id <=> __first)")
+    if not fate.where("__twice AND NOT __gone").isEmpty():
+        twice = F.coalesce("__twice", F.lit(False))
+        rows = rows.where(~twice).union(rows.where(twice).dropDuplicates(["__same"]))
+    return rows.select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark item; each row goes or stays by its own text, also where its id is null or repeated."""
-    return decontaminate.clean(numbered(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), key="__row").select(*docs.columns)
+    return decontaminate.clean(told_apart(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), key="__same").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

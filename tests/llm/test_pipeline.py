@@ -69,3 +69,22 @@ def test_repeated_and_null_ids(spark, tmp_path):
     assert order(map(tuple, done.collect())) == order(want)
     done = P.drop_contaminated(spark, docs, str(tmp_path))
     assert order(map(tuple, done.collect())) == order(r for r in rows if r[1] != leak)
+
+
+def test_rows_are_told_apart_where_they_lie(spark, tmp_path):
+    """Stages 3 and 4 write no copy of their texts, and tell rows apart by text whatever their ids."""
+    from pyspark.sql import functions as F
+
+    same = " ".join(f"w{i}" for i in range(40))
+    rows = [(None, same), (7, same), (7, same), (5, f"{same} more"), (5, f"{same} more"), (9, ""), (9, ""), (9, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    texts = P.told_apart(docs).select("__same", F.coalesce("text", F.lit("")).alias("t")).distinct()
+    assert texts.count() == texts.select("__same").distinct().count() == 3
+    done = P.join_near_copies(spark, docs, str(tmp_path))
+    assert sorted(map(tuple, done.collect()), key=repr) == sorted([(5, f"{same} more"), (9, ""), (9, ""), (9, None)], key=repr)
+    docs.write.parquet(f"{tmp_path}/docs")
+    spark.createDataFrame([(1, same)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    for stage in (P.join_near_copies, P.drop_contaminated):
+        plan = stage(spark, docs, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+        assert "LogicalRDD" not in "".join(line for line in plan.splitlines() if "text" in line)
