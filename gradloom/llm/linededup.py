@@ -5,8 +5,8 @@ line number), has a Jaccard similarity of ``percent`` or more to it, whether or
 goes too; so what goes does not depend on how the work is dealt out.  The join is exact:
 
 * Lines equal as text are found by hash first, and only their first ones go on.
-* Words are ordered rare first, by how many of these lines have a word of their hash bucket
-  (``BUCKETS`` counters, the only thing that passes through the driver), then by hash.
+* Words are ordered rare first, by how often these lines have a word of their hash bucket
+  (``BUCKETS`` counters at most, the only thing that passes through the driver), then by hash.
   Lines that match share one of their first n - ceil(n * percent) + 1 words (prefix).
 * Two lines meet on such a word only if they may still match: their sizes are close enough
   (length), enough words follow the shared one in both (position), and few enough bits differ
@@ -29,18 +29,22 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 PERCENT = 80
 BUCKETS = 1 << 23
+#: Halves of the rarity table are laid upon each other while it has so many buckets for each word that lines share.
+SPARSE = 8
 SALTS = 16
 #: Documents (with ten times as many of their lines' numbers) that may be broadcast, about 100 MB; as many single lines.
 BROADCAST_ROWS = 1_000_000
 #: Words that a pair has to share before its own words are compared, where its sizes ask for as many.
 SHARED = 3
-#: A word in more lines than this is split over ``SALTS`` parts.
+#: A word that lines have more often than this is split over ``SALTS`` parts.
 HOT_LINES = 50_000
+#: Its rank, three times the binary logarithm of that.
+HOT_RANK = 3 * (HOT_LINES.bit_length() - 1)
 
 _HASH_BITS = 56
 _LINE = ["__id", "__row", "__pos"]
@@ -81,9 +85,7 @@ class _Documents:
     def __init__(self, docs: DataFrame):
         self.docs, self._placed = docs, False
 
-    def join(self, places: DataFrame, how: str, columns: list[str] | None = None, split: bool = False) -> DataFrame:
-        size = places.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("__places")), F.lit(0)).alias("places")).first()
-        small = size["n"] <= BROADCAST_ROWS and size["places"] <= 10 * BROADCAST_ROWS
+    def join(self, places: DataFrame, small: bool, how: str, columns: list[str] | None = None, split: bool = False) -> DataFrame:
         if not small and not self._placed:
             parts = int(self.docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
             self.docs, self._placed = self.docs.repartition(parts, "__id", "__row").persist(StorageLevel.MEMORY_AND_DISK), True
@@ -114,9 +116,12 @@ def _at(docs: DataFrame, places: Column) -> DataFrame:
     return lines.where(F.col("__line").rlike(r"[^\x20\x09-\x0D]"))
 
 
-def _by_document(lines: DataFrame, written, name: str) -> DataFrame:
-    """(id, row, places) of lines: as many places as the document has lines at most."""
-    return written(lines.groupBy("__id", "__row").agg(F.sort_array(F.collect_set("__pos")).alias("__places")), name)
+def _by_document(lines: DataFrame, written, name: str) -> tuple[DataFrame, bool]:
+    """(id, row, places) of lines: as many places as the document has lines at most; and whether they may be broadcast."""
+    found = lines.groupBy("__id", "__row").agg(F.sort_array(F.collect_set("__pos")).alias("__places"))
+    size = Observation()
+    found = written(found.observe(size, F.count("*").alias("n"), F.coalesce(F.sum(F.size("__places")), F.lit(0)).alias("places")), name)
+    return found, size.get["n"] <= BROADCAST_ROWS and size.get["places"] <= 10 * BROADCAST_ROWS
 
 
 def _copies(docs: DataFrame, written) -> DataFrame:
@@ -129,17 +134,29 @@ def _copies(docs: DataFrame, written) -> DataFrame:
     return lines.join(first, ["__a", "__b"]).where(F.struct(*_LINE) > F.col("__first")).select(*_LINE)
 
 
-def _rarity(lines: DataFrame, written) -> DataFrame:
-    """One row, a byte for each bucket of word hashes: three times the binary logarithm of how many lines have a word of it; 0 for one line or none."""
-    words = lines.select(F.explode(_hashes(F.col("__line"))).alias("h"))
-    counts = words.groupBy(F.col("h").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("b")).agg(F.count("*").alias("n")).where("n > 1")
+def _folded(table: np.ndarray) -> np.ndarray:
+    """The table as short as its words allow: what a task holds, and what passes through the driver, is in proportion to them."""
+    some = np.count_nonzero(table)
+    while len(table) > max(SPARSE * some, 1):
+        table = table.reshape(2, -1).max(axis=0)  # a bucket is then the lower bits of the hash, one fewer
+    return table
+
+
+def _rarity(lines: DataFrame) -> tuple[DataFrame, int, bool]:
+    """One row, a byte for each bucket of word hashes: three times the binary logarithm of how often lines have a word of it; 0 for once or never.
+
+    And how many buckets there are, and whether any word is frequent.  Words are split and hashed in compiled code, one a row, so one that a line repeats counts again.
+    """
+    words = lines.select(F.explode(_parts(F.col("__line"))).alias("w")).where("w <> ''")
+    counts = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("b")).agg(F.count("*").alias("n")).where("n > 1")
     packed = F.col("b").cast("long") * 128 + F.floor(3 * F.log2("n"))
     found = counts.groupBy((F.col("b") % 256).alias("g")).agg(F.collect_list(packed).alias("packed"))
     table = np.zeros(BUCKETS, np.uint8)
     for row in found.toLocalIterator():  # BUCKETS numbers at most, by 256ths
         some = np.array(row["packed"], np.int64)
         table[some >> 7] = some & 127
-    return written(lines.sparkSession.createDataFrame([(bytearray(table),)], "rank binary"), "rarity")
+    table = _folded(table)
+    return lines.sparkSession.createDataFrame([(bytearray(table),)], "rank binary"), len(table), int(table.max()) > HOT_RANK
 
 
 def _need(n: Column, m: Column, percent: int) -> Column:
@@ -147,14 +164,14 @@ def _need(n: Column, m: Column, percent: int) -> Column:
     return F.ceil(percent * (n + m) / (100 + percent))
 
 
-def _prefixes(lines: DataFrame, rarity: DataFrame, percent: int) -> DataFrame:
+def _prefixes(lines: DataFrame, rarity: DataFrame, buckets: int, percent: int) -> DataFrame:
     """A row for each of a line's first words in the common order: word, its place, the line's size and parity sketch."""
     mask = (1 << _HASH_BITS) - 1
     # A subquery, not a literal: plans and their many descriptions on the driver would hold a megabyte for each use.
     lines = lines.withColumn("__rank", rarity.scalar())
 
     def ranked(h: Column) -> Column:
-        rarity = F.ascii(F.substring("__rank", (h.bitwiseAND(F.lit(BUCKETS - 1)) + 1).cast("int"), F.lit(1)).cast("string"))
+        rarity = F.ascii(F.substring("__rank", (h.bitwiseAND(F.lit(buckets - 1)) + 1).cast("int"), F.lit(1)).cast("string"))
         return F.shiftleft(F.coalesce(rarity.cast("long"), F.lit(0)), _HASH_BITS).bitwiseOR(h.bitwiseAND(F.lit(mask)))
 
     rows = lines.select(*_LINE, F.sort_array(F.transform(_hashes(F.col("__line")), ranked)).alias("__keys")).withColumn("__n", F.size("__keys"))
@@ -163,7 +180,7 @@ def _prefixes(lines: DataFrame, rarity: DataFrame, percent: int) -> DataFrame:
     first = F.slice("__keys", F.lit(1), F.col("__n") - F.ceil(percent * F.col("__n") / 100).cast("int") + 1)
     rows = rows.select(*_LINE, "__n", "__parity", F.posexplode(first).alias("__i", "__word"))
     rows = rows.where(F.shiftright("__word", _HASH_BITS) > 0)  # a word of one line is shared with none
-    hot = F.shiftright("__word", _HASH_BITS) > int(3 * (HOT_LINES.bit_length() - 1))
+    hot = F.shiftright("__word", _HASH_BITS) > HOT_RANK
     return rows.withColumn("__salt", F.when(hot, F.pmod(F.xxhash64(*_LINE), F.lit(SALTS)) + 1).otherwise(F.lit(0)).cast("int"))
 
 
@@ -204,32 +221,34 @@ def _pairs(joined: DataFrame, percent: int) -> DataFrame:
     return met.agg(F.count("*").alias("n"), F.max("least").alias("least")).where("n >= least").select(*ends)
 
 
-def _verified(pairs: DataFrame, docs: _Documents, percent: int, written, name: str) -> DataFrame:
-    """The later lines of pairs that match."""
+def _verified(pairs: DataFrame, docs: _Documents, percent: int, written, name: str) -> tuple[DataFrame, bool]:
+    """The later lines of pairs that match, and whether they may be broadcast."""
     pairs = written(pairs, f"{name}-pairs")
     ends = pairs.select(*_LINE).union(pairs.select(*[F.col(f"e{c}").alias(c) for c in _LINE]))
-    places = _by_document(ends, written, f"{name}-lines")
-    words = _at(docs.join(places, "inner", ["__text"], split=True), F.col("__places")).select(*_LINE, _words(F.col("__line")).alias("w")).dropDuplicates(_LINE)
+    places, few = _by_document(ends, written, f"{name}-lines")
+    words = _at(docs.join(places, few, "inner", ["__text"], split=True), F.col("__places")).select(*_LINE, _words(F.col("__line")).alias("w")).dropDuplicates(_LINE)
     earlier = words.select(*[F.col(c).alias(f"e{c}") for c in _LINE], F.col("w").alias("v"))
     both = pairs.join(words, _LINE).join(earlier, [f"e{c}" for c in _LINE])
     shared = F.size(F.array_intersect("w", "v"))
     match = (100 + percent) * shared >= percent * (F.size("w") + F.size("v"))
-    return written(both.where(match).select(*_LINE).distinct(), name)
+    size = Observation()
+    found = written(both.where(match).select(*_LINE).distinct().observe(size, F.count("*").alias("n")), name)
+    return found, size.get["n"] <= BROADCAST_ROWS
 
 
-def repeated(docs: _Documents, folder: str, percent: int = PERCENT) -> DataFrame:
-    """(id, row, places) of the lines that go; of identified documents."""
+def repeated(docs: _Documents, folder: str, percent: int = PERCENT) -> tuple[DataFrame, bool]:
+    """(id, row, places) of the lines that go, and whether they may be broadcast; of identified documents."""
     spark = docs.docs.sparkSession
 
     def written(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(f"{folder}/{name}")
         return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
 
-    copies = written(_copies(docs.docs, written), "copies")
-    gone = _by_document(copies, written, "copies-by-document")
-    fresh = _at(docs.join(gone, "left", ["__text"], split=True).where("__split IS NOT NULL"), _others("__places"))
+    copies, few = _by_document(_copies(docs.docs, written), written, "copies")
+    fresh = _at(docs.join(copies, few, "left", ["__text"], split=True).where("__split IS NOT NULL"), _others("__places"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = _prefixes(fresh, _rarity(fresh, written), percent).repartition(parts, "__word", "__salt")
+    rarity, buckets, frequent = _rarity(fresh)
+    rows = _prefixes(fresh, rarity, buckets, percent).repartition(parts, "__word", "__salt")
     # Sorted once: sums by word and joins on it go along this order, and no part of a table is held for them.
     rows = rows.sortWithinPartitions("__word", "__salt").persist(StorageLevel.MEMORY_AND_DISK)
 
@@ -237,24 +256,27 @@ def repeated(docs: _Documents, folder: str, percent: int = PERCENT) -> DataFrame
     first = rows.groupBy("__word", "__salt").agg(F.min(F.struct(*_ROW)).alias("f"), F.count("*").alias("k")).where("k > 1")
     first = first.select("__word", "__salt", *[F.col(f"f.{c}").alias(f"e{c}") for c in _ROW])
     met = rows.join(first.hint("merge"), ["__word", "__salt"]).where(_may_match(percent))
-    done = _verified(_pairs(met, percent), docs, percent, written, "first-matches")
+    done, few = _verified(_pairs(met, percent), docs, percent, written, "first-matches")
 
-    # All others against all earlier lines; the parts of a frequent word meet each other too.
-    small = done.count() <= BROADCAST_ROWS
-    left = rows.join(F.broadcast(done) if small else done, _LINE, "left_anti")
+    # All others against all earlier lines; the parts of a frequent word, if there is one, meet each other too.
+    left = rows.join(F.broadcast(done) if few else done, _LINE, "left_anti")
     met = left.where("__salt = 0").join(_earlier(rows.where("__salt = 0")).hint("merge"), ["__word", "__salt"]).where(_may_match(percent))
-    every = _earlier(rows.where("__salt > 0")).withColumn("__salt", F.explode(F.sequence(F.lit(1), F.lit(SALTS))))
     both = [*_ROW, *[f"e{c}" for c in _ROW]]
-    hot = left.where("__salt > 0").join(every, ["__word", "__salt"]).where(_may_match(percent))
-    rest = _verified(_pairs(met.select(*both).union(hot.select(*both)), percent), docs, percent, written, "other-matches")
+    met = met.select(*both)
+    if frequent:
+        every = _earlier(rows.where("__salt > 0")).withColumn("__salt", F.explode(F.sequence(F.lit(1), F.lit(SALTS))))
+        hot = left.where("__salt > 0").join(every, ["__word", "__salt"]).where(_may_match(percent))
+        met = met.union(hot.select(*both))
+    rest, _ = _verified(_pairs(met, percent), docs, percent, written, "other-matches")
     rows.unpersist()
-    return _by_document(copies.union(done).union(rest), written, "gone")
+    lines = copies.select("__id", "__row", F.explode("__places").alias("__pos"))
+    return _by_document(lines.union(done).union(rest), written, "gone")
 
 
 def dedup(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "text", percent: int = PERCENT, counts: bool = False) -> DataFrame:
     """``docs`` without repeated lines; with ``counts`` also __lines (with words) and __gone."""
     identified = _Documents(_identified(docs, key, text))
-    rows = identified.join(repeated(identified, folder, percent), "left")
+    rows = identified.join(*repeated(identified, folder, percent), "left")
     rows = rows.withColumn("__split", F.when(F.col("__places").isNotNull(), F.split("__text", "\n")))
     kept = F.array_join(F.transform(_others("__places"), lambda p: F.col("__split")[p]), "\n")
     rows = rows.withColumn("__kept", F.when(F.col("__places").isNotNull(), kept).otherwise(F.col("__text")))

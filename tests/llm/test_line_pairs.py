@@ -2,6 +2,7 @@
 
 import random
 
+from pyspark.sql import functions as F
 from test_pipeline import plain_lines
 
 from gradloom.llm import linededup
@@ -34,3 +35,27 @@ def test_lines_of_all_sizes_and_spaces(spark):
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     rows = linededup.dedup(docs, new_folder(spark, "lines"), counts=True).where("__lines = 0 OR __gone < __lines")
     assert {r["doc_id"]: r["text"] for r in rows.collect()} == plain_lines(texts)
+
+
+def test_the_rarity_table_is_as_short_as_its_words_allow(spark):
+    """What passes through the driver is in proportion to the words that lines share; none of these gets the rank of a word of one line."""
+    texts = [f"own{i} " + " ".join(f"shared{i // 2}x{k}" for k in range(20)) for i in range(200)]
+    lines = linededup._lines(linededup._identified(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "doc_id", "text"))
+    table, buckets, frequent = linededup._rarity(lines)
+    rank = table.first()["rank"]
+    assert len(rank) == buckets <= 8 * 2000 and not frequent
+    hashes = lines.select(F.explode(linededup._words(F.col("__line"))).alias("w")).select("w", F.xxhash64("w").alias("h")).distinct().collect()
+    assert all(rank[r["h"] & (buckets - 1)] for r in hashes if r["w"].startswith("shared"))
+    assert sum(rank[r["h"] & (buckets - 1)] == 0 for r in hashes if r["w"].startswith("own")) > 100
+    assert len(linededup._rarity(lines.limit(0))[0].first()["rank"]) == 1
+
+
+def test_frequent_words_and_words_repeated_in_a_line(spark, monkeypatch):
+    """The parts of frequent words, which small tables do not have, find the same lines."""
+    draw = random.Random(5)
+    texts = {i: "\n".join(" ".join(f"w{draw.randint(0, 11)}" for _ in range(draw.randint(1, 9))) for _ in range(4)) for i in range(150)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for rank in (linededup.HOT_RANK, 12):
+        monkeypatch.setattr(linededup, "HOT_RANK", rank)
+        rows = linededup.dedup(docs, new_folder(spark, "lines"), counts=True).where("__lines = 0 OR __gone < __lines")
+        assert {r["doc_id"]: r["text"] for r in rows.collect()} == plain_lines(texts)
